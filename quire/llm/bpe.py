@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import map_rows, table
 
-MAX_STATES, MAX_WORDS = 250_000, 400_000
-#: White space beside a space or line feed: such texts aren't cut at spaces first.
-ODD = re.compile(r"[ \n](?=\s)|\s(?=[ \n])|\x00")
+MAX_STATES, MAX_WORDS = 250_000, 500_000
+#: White space beside a space or line feed, or a stop or comma there after another sign: such texts
+#: aren't cut in the simple way.
+ODD = re.compile(r"[ \n](?=\s)|\s(?=[ \n])|\x00|[\W_][.,](?=[ \n])")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -176,7 +177,8 @@ def cut_at_spaces(text: str) -> list[str] | None:
     """The text in parts that no piece of the pattern crosses, or None where cutting isn't that simple."""
     if ODD.search(text):
         return None
-    return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+    text = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
+    return text.replace(".\0", "\0.\0").replace(",\0", "\0,\0").split("\0")
 
 
 class Words(dict):
@@ -202,17 +204,17 @@ class Encoder:
 
         self.transducer = Transducer(read_ranks(path))
         self.pieces = regex.compile(pattern).findall
-        self.words, self.known = Words(self._parts), Words(lambda p: self.transducer.encode(p.encode()))
+        self.words = Words(self._parts)
         self.table = [self.transducer.bytes_of.get(i, b"") for i in range(max(self.transducer.bytes_of) + 1)]
 
     def _parts(self, text: str) -> bytes:
-        known = self.known
-        return b"".join([known[p] for p in self.pieces(text)])
+        return b"".join([self.transducer.encode(p.encode()) for p in self.pieces(text)])
 
     def encode(self, text: str) -> bytes:
         parts = cut_at_spaces(text)
         if parts is None:
-            return self._parts(text)
+            words = self.words
+            return b"".join([words[p] for p in self.pieces(text)])
         return b"".join(map(self.words.__getitem__, parts))
 
     def decode(self, packed: bytes) -> bytes:

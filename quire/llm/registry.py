@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, line_quality
+from quire.llm import bpe, line_quality, packing
 
 QUERIES = {
+    "op5_packing": packing.query,
     "op7_bpe": bpe.query,
     "op10_line_quality": line_quality.query,
 }
