@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, line_quality, packing
+from quire.llm import bpe, licenses, line_quality, multiset, packing
 
 QUERIES = {
+    "op3_fingerprints": multiset.query,
+    "op8_licenses": licenses.query,
     "op5_packing": packing.query,
     "op7_bpe": bpe.query,
     "op10_line_quality": line_quality.query,
