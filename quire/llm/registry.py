@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, licenses, line_quality, multiset, packing
+from quire.llm import bpe, licenses, line_quality, multiset, packing, simhash
 
 QUERIES = {
+    "op1_simhash": simhash.query,
     "op3_fingerprints": multiset.query,
     "op8_licenses": licenses.query,
     "op5_packing": packing.query,
