@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, licenses, line_quality, multiset, packing, simhash
+from quire.llm import bpe, licenses, line_quality, multiset, packing, simhash, warc
 
 QUERIES = {
+    "op4_warc": warc.query,
     "op1_simhash": simhash.query,
     "op3_fingerprints": multiset.query,
     "op8_licenses": licenses.query,
@@ -14,5 +15,6 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_warc": warc.ORACLE,
     "op10_line_quality": line_quality.ORACLE,
 }
