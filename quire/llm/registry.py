@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, licenses, line_quality, multiset, packing, pii, simhash, toxicity, warc
+from quire.llm import bpe, katz, licenses, line_quality, multiset, packing, pii, simhash, toxicity, warc
 
 QUERIES = {
+    "op9_katz": katz.query,
     "op2_toxicity": toxicity.query,
     "op6_pii": pii.query,
     "op4_warc": warc.query,
