@@ -28,7 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from quire.llm.common import slices, table
 
-CAPACITY, GROUP, PIECE = 1024, 512, 256
+CAPACITY, GROUP, PIECE = 1024, 256, 256
 MAX_PARTS = 700_000
 
 
@@ -88,20 +88,37 @@ class Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.sign = self.tokenizer.model, _signs()
+        self.shown = {0x20: self.sign[0x20]}
         self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         from quire.llm.bpe import cut_at_spaces
 
-        if len(self.parts) > MAX_PARTS:
-            self.parts = {"": b""}
         cut = [cut_at_spaces(t) for t in texts]
-        new = list({p for parts in cut if parts for p in parts}.difference(self.parts))
+        used = set().union(*(parts for parts in cut if parts))
+        if len(self.parts) > MAX_PARTS:
+            self.parts = {p: x for p, x in self.parts.items() if p in used}
+        new = list(used.difference(self.parts))
+        rest = []
+        for p in new:
+            core = p[1:] if p[0] == " " else p
+            if core.isalpha():  # one piece of the pattern: the model alone gives its ids
+                self.parts[p] = _packed([t.id for t in self.model.tokenize(p.translate(self.shown) if p.isascii() else "".join(map(self.sign.__getitem__, p.encode())))])
+            else:
+                rest.append(p)
         whole = [t for t, parts in zip(texts, cut) if parts is None]
-        found = [_packed(e.ids) for e in self.tokenizer.encode_batch_fast([*new, *whole], add_special_tokens=False)]
-        self.parts.update(zip(new, found))
-        rest, known = iter(found[len(new) :]), self.parts.__getitem__
-        return [next(rest) if parts is None else b"".join(map(known, parts)) for parts in cut]
+        found = [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest + whole, add_special_tokens=False)]
+        self.parts.update(zip(rest, found))
+        odd, known = iter(found[len(rest) :]), self.parts.__getitem__
+        return [next(odd) if parts is None else b"".join(map(known, parts)) for parts in cut]
+
+
+def _signs() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
 
 
 def _packed(ids: list[int]) -> bytes:
