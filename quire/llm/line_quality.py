@@ -47,9 +47,22 @@ def line_first_clean(
     exclamation marks a word (three at least), bare_words words or more and no punctuation at all, or
     if it is navigation or boilerplate. Windows are compared by a 64-bit hash of their words' hashes.
     """
-    d = df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return _cleaned(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t")), [id_col], max_loss, min_words, max_repeat, symbols_per_word, shouts_per_word, bare_words)
+
+
+def clean_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
+    """The rows of df that are kept, with their cleaned texts; all other columns, whatever their names,
+    pass through."""
+    packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    settings = {"max_loss": 0.5, "min_words": 20, "max_repeat": 0.3, "symbols_per_word": 0.3, "shouts_per_word": 0.5, "bare_words": 10} | rules
+    # a filter moved below the steps would repeat their expressions in itself; it stays above an id
+    d = _cleaned(packed, ["row"], **settings).withColumn("at", F.monotonically_increasing_id()).where("kept AND at >= 0")
+    return d.select(*(F.col("clean_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns))
+
+
+def _cleaned(d: DataFrame, carried: list[str], max_loss: float, min_words: int, max_repeat: float, symbols_per_word: float, shouts_per_word: float, bare_words: int) -> DataFrame:
     d = d.select(
-        id_col,
+        *carried,
         "t",
         F.array_remove(F.split(F.translate("t", SPACES, " " * len(SPACES)), " "), "").alias("w"),
         F.length(F.translate("t", " " + SPACES, "")).cast("long").alias("word_chars"),
@@ -59,7 +72,7 @@ def line_first_clean(
     )
     d = d.withColumn("wh", F.when(F.size("w") >= WINDOW, F.transform("w", lambda x: F.xxhash64(x))))
     d = d.select(
-        id_col,
+        *carried,
         "t",
         "word_chars",
         "n_symbols",
@@ -75,7 +88,7 @@ def line_first_clean(
     d = d.withColumn("p", F.when(F.col("s").isNotNull(), F.sort_array(F.transform(F.filter("s", lambda e, k: F.coalesce(twin(e, k), F.lit(False))), lambda e: e["i"]))))
     covered = F.transform("p", lambda q, k: F.least(F.lit(WINDOW), F.coalesce(F.get("p", k + 1) - q, F.lit(WINDOW))))
     d = d.select(
-        id_col,
+        *carried,
         "n_words",
         "word_chars",
         "n_symbols",

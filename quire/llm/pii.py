@@ -24,6 +24,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -208,6 +209,40 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return d.select("row", id_col, "base", F.transform(every, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
 
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df with every span of personal data replaced by its kind in brackets.
+
+    Patterns are learned from the whole corpus first; then each row is searched again by itself, so no
+    text is shuffled. The confident patterns go to the tasks as a bit set of fixed size.
+    """
+    scanned = written(scan_texts(df, id_col, text_col), "scanned")
+    bits = np.zeros(BITS, np.uint8)
+    marks = confident_patterns(scanned, df, text_col).select((F.crc32(F.concat_ws(" ", "kind", "pattern").cast("binary")) % BITS).alias("bit")).distinct()
+    for (bit,) in marks.toLocalIterator():  # at most BITS numbers
+        bits[bit] = 1
+    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+
+    def clean(texts: pd.Series) -> pd.Series:
+        flags = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
+        return texts.map(lambda t: t if t is None else _redacted(t, flags))
+
+    return df.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col)))
+
+
+def _redacted(text: str, flags: np.ndarray) -> str:
+    spans = base_spans(text)
+    if flags.any():
+        spans += [(k, a, b) for k, a, b in _candidates(text, spans) if any(flags[_bit(f"{k} {p}")] for p in _contexts(text, a))]
+    out, done = [], 0
+    for start, end, kind in sorted((a, b, k) for k, a, b in spans):
+        if end <= done:
+            continue
+        if start >= done:  # else it goes on from the span before
+            out += [text[done:start], f"[{kind.upper()}]"]
+        done = end
+    return "".join(out) + text[done:] if out else text
+
+
 def written_out(spans: str):
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

@@ -134,3 +134,139 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def query(spark, sf_dir: str) -> DataFrame:
     d = near_classes(table(spark, sf_dir, "documents"))
     return d.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# Similarity of shingle sets. Three of 64 bits is far stricter than a Jaccard similarity of 0.8, whose
+# pairs differ in about ten bits, so fingerprints alone can't find them; bands of minima join them here.
+BANDS, BAND_ROWS = 30, 7
+#: Shingles and nodes of a block: two blocks are compared by one task at a time.
+BLOCK_SHINGLES, BLOCK_NODES = 200_000, 256
+MULTIPLIERS = (np.random.default_rng(7).integers(1, 1 << 63, (BANDS * BAND_ROWS, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+
+
+def band_keys(distinct: np.ndarray) -> list[int]:
+    """A 64-bit key for each band of the set's minima."""
+    import xxhash
+
+    least = np.full(BANDS * BAND_ROWS, (1 << 64) - 1, np.uint64)
+    for at in range(0, len(distinct), 2048):
+        least = np.minimum(least, (MULTIPLIERS * distinct[None, at : at + 2048]).min(axis=1))
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return [int(np.uint64(xxhash.xxh64_intdigest(b.tobytes(), i)).astype(np.int64)) for i, b in enumerate(bands)]
+
+
+def _sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """Per row: id, mark (a hash of the text), node (of its set of shingles), fp, bands, shingles."""
+
+    def kernel(keys: list, marks: list, texts: list) -> tuple:
+        import xxhash
+
+        nodes, fps, bands, sets = [], [], [], []
+        for t in texts:
+            hashes = shingle_hashes(t or "", shingle)
+            distinct = np.unique(hashes)
+            nodes.append(xxhash.xxh3_128_hexdigest(distinct.tobytes()))
+            fps.append(int(np.uint64(fingerprint(hashes)).astype(np.int64)))
+            bands.append(band_keys(distinct) if len(distinct) else [])
+            sets.append(np.unique((distinct >> np.uint64(32)).astype(np.uint32)).tobytes())
+        return keys, marks, nodes, fps, bands, sets
+
+    kind = df.select(id_col).dtypes[0][1]
+    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("mark"), F.col(text_col).alias("text"))
+    return map_rows(rows, kernel, f"id {kind}, mark long, node string, fp long, bands array<long>, shingles binary")
+
+
+class _Forest(dict):
+    def find(self, x):
+        while self.setdefault(x, x) != x:
+            self[x] = x = self.setdefault(self[x], self[x])
+        return x
+
+
+def _spanning_links(similarity: float):
+    """For a group's nodes and shingles: links of similarity or more that connect what such links connect."""
+
+    def run(part):
+        import pandas as pd
+
+        part = part.sort_values("node", kind="stable")
+        nodes, blocks = part["node"].tolist(), part["block"].to_numpy()
+        sets = [np.frombuffer(x, np.uint32) for x in part["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        own, code = np.unique(np.concatenate(sets), return_inverse=True)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        order = np.argsort(code, kind="stable")
+        holders = owner[order]
+        ends = np.cumsum(np.bincount(code, minlength=len(own)))
+        starts = ends - np.bincount(code, minlength=len(own))
+        forest, links = _Forest(), []
+        edges = np.cumsum([0, *sizes])
+        one_block = part["i"].iat[0] == part["j"].iat[0]
+        for x in range(len(sets)):
+            codes = code[edges[x] : edges[x + 1]]
+            common = np.zeros(len(sets), np.int64)
+            for at in range(0, len(codes), 4096):  # at most so many times the group's nodes at once
+                c = codes[at : at + 4096]
+                lens = ends[c] - starts[c]
+                places = np.repeat(starts[c] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
+                common += np.bincount(holders[places], minlength=len(sets))
+            near = common >= similarity * (sizes[x] + sizes - common) - 1e-9
+            near[: x + 1] = False
+            if not one_block:
+                near &= blocks != blocks[x]
+            for y in np.nonzero(near)[0]:
+                a, b = forest.find(x), forest.find(int(y))
+                if a != b:
+                    forest[max(a, b)] = min(a, b)
+                    links.append((nodes[x], nodes[y]))
+        return pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
+def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of all nodes that have a link of the given Jaccard similarity or more.
+
+    Nodes that share a band or whose fingerprints are linked are first joined to clusters, by stars. A
+    cluster's links are then found exactly: its nodes are dealt to blocks of bounded size, every two of
+    its blocks are compared by a task of their own, and each task returns a spanning forest of its links.
+    """
+    reps = written(sketches.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first(F.length("shingles") / 4).alias("n")), "nodes")
+    banded = reps.select("node", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
+    stars = banded.join(hubs, "band").where("a != node").select("a", F.col("node").alias("b"))
+    by_fp = written(reps.groupBy("fp").agg(F.min("node").alias("a")), "fingerprints")
+    same = reps.join(by_fp, "fp").where("a != node").select("a", F.col("node").alias("b"))
+    near = fingerprint_links(by_fp).alias("l").join(by_fp.alias("x"), F.expr("l.a = x.fp")).join(by_fp.alias("y"), F.expr("l.b = y.fp"))
+    near = near.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
+    clusters = components(stars.unionByName(same).unionByName(near)).join(reps.select("node", "n"), "node")
+    sized = clusters.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
+    dealt = clusters.join(sized.select("root", blocks.alias("of")), "root").select("root", "node", "of", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("block"))
+    sets = sketches.select("node", "shingles").join(dealt, "node").groupBy("node", "root", "of", "block").agg(F.first("shingles").alias("shingles"))
+    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
+    tasks = sets.withColumn("p", pairs).select("root", "node", "block", "shingles", "p.i", "p.j")
+    links = tasks.groupBy("root", "i", "j").applyInPandas(_spanning_links(similarity), "a string, b string")
+    return components(links)
+
+
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df without near-duplicates: of each class, joined by links of the given Jaccard
+    similarity of word shingles, the row with the least id stays (of those, that with the least hash).
+
+    Texts without words are copies of one another. Of repeated rows one stays, whichever, as they
+    differ at most in columns that aren't compared.
+    """
+    sketches = written(_sketches(df, id_col, text_col, shingle), "sketches")
+    roots = similar_classes(sketches, similarity)
+    rows = sketches.select("id", "mark", "node").join(roots, "node", "left").select("id", "mark", F.coalesce("root", "node").alias("root"))
+    stays = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark")).alias("k")).select("k.*")
+    copies = rows.groupBy("id", "mark").agg(F.count("*").alias("copies"))
+    key = [F.col("stays.id").eqNullSafe(F.col("copies.id")), F.col("stays.mark") == F.col("copies.mark")]
+    kept = stays.alias("stays").join(copies.alias("copies"), key[0] & key[1]).select(F.col("stays.id").alias("_kept_id"), F.col("stays.mark").alias("_kept_mark"), F.col("copies").alias("_copies"))
+    kept = written(kept, "kept")
+    marked = df.withColumn("_mark", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    found = marked.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_mark") == F.col("_kept_mark")))
+    once = found.where("_copies = 1").select(df.columns)
+    again = found.where("_copies > 1").dropDuplicates([c for c in (id_col, "_mark")]).select(df.columns)
+    return once.unionByName(again)

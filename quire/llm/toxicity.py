@@ -23,6 +23,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +186,17 @@ def score_texts(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: s
     return map_rows(df.select(id_col, text_col), lambda m, keys, texts: (keys, [m.score(t or "") for t in texts]), f"`{id_col}` {kind}, score double", lambda: shared.value)
 
 
+def keep_clean(df: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of df whose score is under threshold."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+
+    def scores(texts: pd.Series) -> pd.Series:
+        model = shared.value
+        return texts.map(lambda t: model.score(t or ""))
+
+    return df.where(F.pandas_udf(scores, "double")(F.col(text_col)) < threshold)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_texts(docs, train(docs, table(spark, sf_dir, "labels")))
