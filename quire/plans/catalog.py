@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quire.plans import page_queries  # noqa: F401  (registers)
+from quire.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
