@@ -17,14 +17,24 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: A kernel gets at most so many rows, or about so many bytes of Arrow data, at once.
 SLICE_ROWS, SLICE_BYTES = 1024, 8 << 20
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows at most: texts may be long, and several batches are held at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    small_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = f"file://{tempfile.mkdtemp(prefix='quire-')}"
@@ -67,6 +77,7 @@ def map_rows(df: DataFrame, kernel: Callable[..., tuple], schema: str, setup: Ca
 
     setup, if given, is called once a task; what it returns is the kernel's first argument.
     """
+    small_batches(df.sparkSession)
     out = T._parse_datatype_string(schema)
     arrow = to_arrow_schema(out)
 

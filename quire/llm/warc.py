@@ -234,11 +234,12 @@ def verified(found: DataFrame, files: DataFrame) -> DataFrame:
 
 def read_archive(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per record: page_id, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits)."""
-    ranges = written(byte_ranges(files, range_bytes).repartition("path", "start"), "ranges")
-    found = written(candidates(ranges), "candidates")
+    ranges = written(byte_ranges(files, range_bytes), "ranges")
+    tasks = max(1, ranges.count())  # a range each: the rows are small, but not what they stand for
+    found = written(candidates(ranges.repartition(tasks)), "candidates")
     # a chain enters a range at one offset at most: that one and its successors within the range are records
     entries = verified(found, files).join(found.select("path", "start", "offset"), ["path", "offset"])
-    todo = ranges.join(entries, ["path", "start"]).select("path", "bytes", "start", "end", "offset")
+    todo = ranges.join(entries, ["path", "start"]).select("path", "bytes", "start", "end", "offset").repartition(tasks)
     schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
