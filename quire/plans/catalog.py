@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import page_queries  # noqa: F401  (registers)
+from quire.plans import page_queries, source_queries, table_queries  # noqa: F401  (registers)
 from quire.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
