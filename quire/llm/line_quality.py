@@ -10,6 +10,9 @@ so their names can't clash. Nothing is shuffled: a document's arrays live in its
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +20,7 @@ SPACES = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 8
-#: Both are applied to lines in lower case (A-Z) and hold for Java's regular expressions and RE2.
+#: Both ignore the case of A-Z only, and hold for Java's regular expressions and RE2.
 NAVIGATION = (
     r"^[^a-z]*(home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|subscribe|next( page)?|prev(ious)?( page)?|back to top|"
     r"share( this)?|skip to (main )?content|read more|contact( us)?|about( us)?|site ?map|faq|help|top)"
@@ -27,6 +30,8 @@ BOILERPLATE = (
     r"all rights reserved|(accept|use|uses|of|our) cookies|cookie policy|enable javascript|javascript is (disabled|required)|"
     r"privacy policy|terms of (use|service)|lorem ipsum|click here|powered by [a-z]+"
 )
+#: One of these is in every text that has boilerplate.
+BOILERPLATE_PARTS = ("rights reserved", "cookie", "javascript", "privacy policy", "terms of", "lorem ipsum", "click here", "powered by")
 
 
 def line_first_clean(
@@ -61,26 +66,28 @@ def clean_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def _cleaned(d: DataFrame, carried: list[str], max_loss: float, min_words: int, max_repeat: float, symbols_per_word: float, shouts_per_word: float, bare_words: int) -> DataFrame:
+    low = F.lower("t")  # of letters outside A-Z too, but lines are judged exactly below
     d = d.select(
         *carried,
         "t",
-        F.array_remove(F.split(F.translate("t", SPACES, " " * len(SPACES)), " "), "").alias("w"),
-        F.length(F.translate("t", " " + SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.array_remove(F.split("t", r"[\x20\x09-\x0D]+"), "").alias("w"),
+        F.regexp_count("t", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.filter(F.split("t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("worded"),
-        F.translate("t", UPPER, LOWER).rlike(BOILERPLATE).alias("boiler"),
+        F.contains("t", F.lit("!")).alias("shouts"),
+        reduce(or_, (F.contains(low, F.lit(x)) for x in BOILERPLATE_PARTS)).alias("boiler"),
     )
     d = d.withColumn("wh", F.when(F.size("w") >= WINDOW, F.transform("w", lambda x: F.xxhash64(x))))
+    judged = lambda line: _fails(line, F.col("n_symbols") >= 3, F.col("shouts"), F.col("boiler"), symbols_per_word, shouts_per_word, bare_words)
     d = d.select(
         *carried,
         "t",
-        "word_chars",
+        F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
         "worded",
         F.size("w").cast("long").alias("n_words"),
         (F.size("worded") - F.size(F.array_distinct("worded"))).cast("long").alias("n_dup_lines"),
         F.when(F.col("wh").isNotNull(), F.transform(F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("wh", i, WINDOW)))).alias("h"),
-        F.transform("worded", lambda line: _judged(line, F.col("boiler"), symbols_per_word, shouts_per_word, bare_words)).alias("lines"),
+        F.transform("worded", judged).alias("bad"),
     )
     again = F.col("h").isNotNull() & (F.size(F.array_distinct("h")) < F.size("h"))
     d = d.withColumn("s", F.when(again, F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("x"), i.alias("i"))))))
@@ -94,26 +101,25 @@ def _cleaned(d: DataFrame, carried: list[str], max_loss: float, min_words: int,
         "n_symbols",
         "n_dup_lines",
         F.when(F.col("p").isNotNull(), F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)).otherwise(F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.aggregate(F.filter("lines", lambda x: x["bad"]), F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("lost_chars"),
-        F.when(F.exists("lines", lambda x: x["bad"]), F.array_join(F.transform(F.filter("lines", lambda x: ~x["bad"]), lambda x: x["line"]), "\n")).otherwise(F.col("t")).alias("clean_text"),
+        F.when(F.array_contains("bad", True), F.length(F.translate(F.array_join(F.filter("worded", lambda x, i: F.get("bad", i)), ""), " " + SPACES, ""))).otherwise(0).cast("long").alias("lost_chars"),
+        F.when(F.array_contains("bad", True), F.array_join(F.filter("worded", lambda x, i: ~F.get("bad", i)), "\n")).otherwise(F.col("t")).alias("clean_text"),
     )
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > F.lit(round(100 * max_repeat)) * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * F.lit(max_loss)))
 
 
-def _judged(line, boiler, symbols_per_word: float, shouts_per_word: float, bare_words: int):
-    flat = F.translate(line, SPACES, " " * len(SPACES))
-    words = F.size(F.array_remove(F.split(flat, " "), ""))
-    low = F.translate(line, UPPER, LOWER)
-    count = lambda of: F.length(line) - F.length(F.translate(line, of, ""))
-    bad = (
-        ((count(SYMBOLS) >= 3) & (count(SYMBOLS) >= words * F.lit(symbols_per_word)))
-        | ((count("!") >= 3) & (count("!") >= words * F.lit(shouts_per_word)))
-        | ((words >= bare_words) & (count(".,;:!?") == 0))
-        | ((F.length(line) <= 400) & low.rlike(NAVIGATION))
-        | (boiler & low.rlike(BOILERPLATE))
+def _fails(line, symbols, shouts, boiler, symbols_per_word: float, shouts_per_word: float, bare_words: int):
+    """Whether a line fails. symbols, shouts and boiler say if the text has any: cheap tests come first."""
+    words = F.size(F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), ""))
+    count = lambda of: F.regexp_count(line, F.lit(of))
+    many = lambda of, share: (count(of) >= 3) & (count(of) >= words * F.lit(share))
+    return (
+        (symbols & many(r"[#*$%&|<>]", symbols_per_word))
+        | (shouts & many("!", shouts_per_word))
+        | (~reduce(or_, (F.contains(line, F.lit(x)) for x in ".,;:!?")) & (words >= bare_words))
+        | ((F.length(line) <= 400) & line.rlike("(?i)" + NAVIGATION))
+        | (boiler & line.rlike("(?i)" + BOILERPLATE))
     )
-    return F.struct(line.alias("line"), F.length(F.translate(line, " " + SPACES, "")).cast("long").alias("chars"), bad.alias("bad"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
