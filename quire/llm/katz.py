@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from quire.llm.common import filesystem, fold, fresh_dir, slices, table, written
 
 FOLDS, HELD_OUT = 7, 2
-CHUNK, PART, K = 2_000_000, 1_500_000, 5
+CHUNK, PART, K = 1_000_000, 1_500_000, 5
 END, START = np.uint64(1), np.uint64(2)
 
 
