@@ -60,8 +60,7 @@ def clean_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pass through."""
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     settings = {"max_loss": 0.5, "min_words": 20, "max_repeat": 0.3, "symbols_per_word": 0.3, "shouts_per_word": 0.5, "bare_words": 10} | rules
-    # a filter moved below the steps would repeat their expressions in itself; it stays above an id
-    d = _cleaned(packed, ["row"], **settings).withColumn("at", F.monotonically_increasing_id()).where("kept AND at >= 0")
+    d = _cleaned(packed, ["row"], **settings).where("kept")
     return d.select(*(F.col("clean_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns))
 
 
@@ -104,6 +103,11 @@ def _cleaned(d: DataFrame, carried: list[str], max_loss: float, min_words: int,
         F.when(F.array_contains("bad", True), F.length(F.translate(F.array_join(F.filter("worded", lambda x, i: F.get("bad", i)), ""), " " + SPACES, ""))).otherwise(0).cast("long").alias("lost_chars"),
         F.when(F.array_contains("bad", True), F.array_join(F.filter("worded", lambda x, i: ~F.get("bad", i)), "\n")).otherwise(F.col("t")).alias("clean_text"),
     )
+    # A filter that the optimizer moves below these steps would repeat their expressions in itself,
+    # again and again. It can't be moved below the making of an id, on which the columns depend here.
+    d = d.withColumn("at", F.monotonically_increasing_id())
+    held = (F.when(F.col("at") >= 0, F.col(c)).alias(c) for c in ("n_repeat_words", "lost_chars", "clean_text"))
+    d = d.select(*carried, "n_words", "word_chars", "n_symbols", "n_dup_lines", *held)
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > F.lit(round(100 * max_repeat)) * F.col("n_words"))
     return d.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("lost_chars") <= F.col("word_chars") * F.lit(max_loss)))
 
