@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ATTR = r"(?:\{" + r"[^}]*\})?"
 TARGET = r"\(" + r"[^)]*\)"
 ANCHOR = r"\(#" + r"[^)]*\)"
 LABEL = r"\[" + r"[^\]]*\]"
+EMPTY_LINES = r"\n\n\n+"
+UNITS = "B KiB MiB GiB TiB".split()
 TAGS = ("br", "div", "em", "p", "span", "strong", "sub", "sup")
 
 #: (name, pattern for Java and RE2, replacement with $1 for the group), in order. Line ends are \n only.
@@ -30,10 +33,10 @@ RULES: tuple[tuple[str, str, str], ...] = (
     ("tags", f"</?(?:{'|'.join(TAGS)})[^>]*>", ""),
     ("empty_parens", r"\(\s*" + r"[,;]?\s*\)", ""),
     ("empty_brackets", r"\[\s*\]", ""),
-    ("space_before_sign", r"[ \t]+([.,;:)])", "$1"),
+    ("space_before_sign", r"[ \t]+" + r"([),.:;])", "$1"),
     ("space_after_paren", r"\(\s+", "("),
     ("blanks", r"[ \t]{2,}", " "),
-    ("blank_lines", r"\n{3,}", "\n\n"),
+    ("blank_lines", EMPTY_LINES, "\n\n"),
 )
 RESIDUE = "|".join((r"\[@", r"\{#", r"\{\.[A-Za-z]", r"\{[A-Za-z]" + r'[\w-]*="', ":::", "<(?:figure|div|span)", r"\[\\\[", r"\]\(#"))
 MATH = r"(?s)\$\$.{0,1998}?\$\$|\$[^$\n]+\$"
@@ -57,7 +60,7 @@ def collapse(c: Column) -> Column:
 def clean_target(c: Column) -> Column:
     """Image links out, line ends trimmed, blank lines collapsed; stripped, with one line end."""
     c = F.regexp_replace(c, "!" + LABEL + TARGET, "")
-    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), r"\n{3,}", "\n\n")
+    c = F.regexp_replace(F.regexp_replace(c, r"[ \t]+\n", "\n"), EMPTY_LINES, "\n\n")
     return F.concat(strip(c), F.lit("\n"))
 
 
@@ -116,7 +119,7 @@ def titled(title: Column, authors: Column, body: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    value, units = n.cast("double"), ("B", "KiB", "MiB", "GiB", "TiB")
+    value, units = n.cast("double"), UNITS
     out = F.format_string("%.2f TiB", value / 1024**4)
     for i in reversed(range(len(units) - 1)):
         out = F.when(value < 1024 ** (i + 1), F.format_string(f"%.2f {units[i]}", value / 1024**i)).otherwise(out)
@@ -148,3 +151,30 @@ def glob_pattern(glob: str) -> str:
 
     out = "".join(".*" if c == "*" else "." if c == "?" else re.escape(c) for c in glob)
     return f"(?s)^{out}$"
+
+
+def _money(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None or v != v else f"{v:.2f}")
+
+
+def money(c: Column) -> Column:
+    """Two decimals, ties by the binary value, which format_string rounds up."""
+    return F.pandas_udf(_money, "string")(c)
+
+
+def _heads(texts: pd.Series) -> pd.DataFrame:
+    from quire.sources.readers import flat_yaml
+
+    found = [flat_yaml(t or "") for t in texts]
+    keep = lambda v: v if isinstance(v, str) else None
+    return pd.DataFrame({"title": [keep(f.get("title")) for f in found], "abstract": [keep(f.get("abstract")) for f in found]})
+
+
+def clean_documents(df: DataFrame, text: str, authors: str | None = None) -> DataFrame:
+    """df with its front matter's title as heading, and abstract and body scrubbed together."""
+    yaml, body = front_matter(F.col(text))
+    d = df.withColumns({"_head": F.pandas_udf(_heads, "title string, abstract string")(yaml), "_body": body})
+    by = F.col(authors) if authors else F.lit(None).cast("string")
+    whole = F.concat(F.coalesce(F.concat("_head.abstract", F.lit("\n\n")), F.lit("")), "_body")
+    d = d.withColumn("_body", scrub(whole))
+    return d.withColumn(text, F.concat(titled(F.col("_head.title"), by, F.col("_body")), F.lit("\n"))).drop("_head", "_body")

@@ -290,7 +290,7 @@ def sca21_29_30_32_scalars(spark, sf):
     )
 
 
-@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at FROM events")
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d') || 'T' || strftime(ts, '%H:%M:%S') || 'Z' AS at FROM events")
 def sca31_utc_timestamp(spark, sf):
     return read(spark, sf, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"))
 
@@ -438,3 +438,79 @@ def src16_smp02_synthetic_items(spark, sf):
     names = F.array(*map(F.lit, ("bolt", "cog", "gear", "nut", "pin")))
     order = F.array_sort(F.transform(names, lambda n: F.struct(F.md5(F.concat(F.lit("9:"), F.col("doc_id").cast("string"), F.lit(":"), n)).alias("h"), n.alias("n"))))
     return read(spark, sf, "documents").select("doc_id", F.array_join(F.transform(F.slice(order, 1, 3), lambda x: x["n"]), ",").alias("items"), F.concat(F.lit("2026-07-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0")).alias("day"))
+
+
+# -- formats, masks and rules that are left
+
+
+@query("SELECT p_partkey, printf('%.2f', p_retailprice / 8) AS money, p_partkey % 10000 AS n, printf('%05d', p_partkey % 10000) AS padded FROM part")
+def sca18_number_formats(spark, sf):
+    k = F.col("p_partkey") % 10000
+    return read(spark, sf, "part").select("p_partkey", X.money(F.col("p_retailprice") / 8).alias("money"), k.alias("n"), F.lpad(k.cast("string"), 5, "0").alias("padded"))
+
+
+@query("SELECT doc_id, len(string_split('<image>' || text || '<image>', '<image>')) - 1 AS images, len(string_split(text, '<image>')) = 1 AS target_ok FROM documents")
+def sca19_prd20_placeholder_count(spark, sf):
+    n = lambda c: F.size(F.split(c, "<image>")) - 1
+    return read(spark, sf, "documents").select("doc_id", n(F.concat(F.lit("<image>"), "text", F.lit("<image>"))).alias("images"), (n(F.col("text")) == 0).alias("target_ok"))
+
+
+@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 7 END, CASE WHEN doc_id % 2 = 0 THEN 2 END, 0) AS pad_id FROM documents")
+def sca38_pad_id(spark, sf):
+    i = F.col("doc_id")
+    return read(spark, sf, "documents").select("doc_id", F.coalesce(F.when(i % 3 == 0, 7), F.when(i % 2 == 0, 2), F.lit(0)).alias("pad_id"))
+
+
+@query(f"WITH {TOY} SELECT doc_id, array_to_string([CASE WHEN k <= 9 AND (k < 3 OR 9 - k < 4) THEN '0' ELSE '-inf' END FOR k IN range(0, len(ids))], ',') AS mask FROM toy WHERE len(ids) > 9")
+def sca41_additive_mask(spark, sf):
+    d = _toy(spark, sf).where("size(ids) > 9")
+    seen = K.visible(F.lit(9), F.lit(3), 4, F.transform("ids", lambda x: F.lit(True)))
+    mask = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda k: F.when(F.array_contains(seen, k), "0").otherwise("-inf"))
+    return d.select("doc_id", F.array_join(mask, ",").alias("mask"))
+
+
+def _document_sql() -> str:
+    from quire.plans.page_queries import _scrub_sql
+
+    body = _scrub_sql("documents", "'Abs <em>x</em>' || chr(10) || chr(10) || text")
+    return f"SELECT doc_id, '# T <b>' || chr(10) || chr(10) || t || chr(10) AS t FROM ({body})"
+
+
+@query(_document_sql())
+def sca11_clean_document(spark, sf):
+    t = F.concat(F.lit("---\ntitle: T <b>\nabstract: 'Abs <em>x</em>'\nyear: 2026\n---\n"), "text")
+    return read(spark, sf, "documents").select("doc_id", t.alias("t")).transform(X.clean_documents, "t").select("doc_id", "t")
+
+
+@query("SELECT doc_id, doc_id || ' | ' || lang AS line FROM documents WHERE length(text) > 800")
+def snk05_snk08_good_rows_as_text(spark, sf):
+    from quire.sources.writers import scratch, write_texts
+
+    d = read(spark, sf, "documents").where("length(text) > 800")
+    path = scratch(spark, "text")
+    write_texts(d.select(F.concat("doc_id", F.lit(" | "), "lang").alias("line")), "line", path)
+    return spark.read.text(path).select(F.split("value", r" \| ")[0].cast("long").alias("doc_id"), F.col("value").alias("line"))
+
+
+@query("SELECT doc_id, CAST(strlen(text) AS BIGINT) AS length FROM documents WHERE doc_id % 200 = 0")
+def src08_recursive_listing(spark, sf):
+    from quire.sources.readers import tex_files
+    from quire.sources.writers import scratch
+
+    path = scratch(spark, "tex")
+    d = read(spark, sf, "documents").where("doc_id % 200 = 0")
+
+    def write(batches):
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(path)
+        for batch in batches:
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                where.create_dir(f"{root}/{i % 3}/sub", recursive=True)
+                for name in (f"{i}.tex", f"{i}.txt"):
+                    with where.open_output_stream(f"{root}/{i % 3}/sub/{name}") as f:
+                        f.write(t.encode())
+        yield from ()
+
+    d.select("doc_id", "text").mapInArrow(write, "x long").write.format("noop").mode("overwrite").save()
+    return tex_files(spark, path).select(F.regexp_extract("path", r"(\d+)\.tex$", 1).cast("long").alias("doc_id"), "length")

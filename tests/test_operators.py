@@ -9,7 +9,7 @@ from quire.operators import evaluation as E
 from quire.operators import manifest as M
 from quire.operators import pages as P
 from quire.operators import samples as S
-from quire.schema import SAMPLE
+from quire.schema import IGNORE, SAMPLE
 from quire.sources import readers as R
 from quire.sources import writers as Z
 from quire.streaming.ingest import ingest
@@ -25,7 +25,7 @@ def test_image_tokens(spark):
 
 
 def test_visibility_golden(spark):
-    labels = F.array(*map(F.lit, [-100, -100, -100, 5, 6, 7, 8]))
+    labels = F.array(*map(F.lit, [IGNORE] * 3 + list(range(5, 9))))
     real = F.array(*[F.lit(True)] * 7)
     see = lambda q: one(spark, K.visible(F.lit(q), K.first_supervised(labels), 2, real))
     assert see(5) == [0, 1, 2, 4, 5]
