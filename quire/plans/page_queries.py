@@ -31,6 +31,12 @@ def page_convert(spark, sf):
     )
 
 
+@query(f"{WITH_PAGES} SELECT 'page_' || lpad(CAST(row_number() OVER (ORDER BY ord) - 1 AS VARCHAR), 4, '0') AS sample_id, id, chunk, length(natural_text) AS char_len FROM (SELECT * FROM pages0 WHERE contains(pdf_relpath, 'src1') ORDER BY ord LIMIT 30)")
+def prj09_lim05_probe_samples(spark, sf):
+    d = pages(spark, sf).where(F.col("pdf_relpath").contains("src1")).orderBy("ord").limit(30)
+    return P.sequence_ids(d, "ord", "page_", 4).select("sample_id", "id", "chunk", F.length("natural_text").alias("char_len"))
+
+
 @query(f"{WITH_PAGES} SELECT count(*) AS n, min(length(natural_text)) AS lo, CAST(trunc(median(length(natural_text))) AS BIGINT) AS med, max(length(natural_text)) AS hi, count_if(is_table) AS has_table, count_if(is_diagram) AS has_diagram FROM pages0 WHERE {CONVERT.replace('AND is_diagram IS DISTINCT FROM true', '')}")
 def agg01_02_page_stats(spark, sf):
     d = pages(spark, sf).where("primary_language = 'en'").where(P.not_false(F.col("is_rotation_valid")))
