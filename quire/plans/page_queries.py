@@ -37,7 +37,7 @@ def prj09_lim05_probe_samples(spark, sf):
     return P.sequence_ids(d, "ord", "page_", 4).select("sample_id", "id", "chunk", F.length("natural_text").alias("char_len"))
 
 
-@query(f"{WITH_PAGES} SELECT count(*) AS n, min(length(natural_text)) AS lo, CAST(trunc(median(length(natural_text))) AS BIGINT) AS med, max(length(natural_text)) AS hi, count_if(is_table) AS has_table, count_if(is_diagram) AS has_diagram FROM pages0 WHERE {CONVERT.replace('AND is_diagram IS DISTINCT FROM true', '')}")
+@query(f"{WITH_PAGES} SELECT count(*) AS n, min(length(natural_text)) AS lo, CAST(trunc(median(length(natural_text))) AS BIGINT) AS med, max(length(natural_text)) AS hi, CAST(count_if(is_table) AS BIGINT) AS has_table, CAST(count_if(is_diagram) AS BIGINT) AS has_diagram FROM pages0 WHERE {CONVERT.replace('AND is_diagram IS DISTINCT FROM true', '')}")
 def agg01_02_page_stats(spark, sf):
     d = pages(spark, sf).where("primary_language = 'en'").where(P.not_false(F.col("is_rotation_valid")))
     n = F.length(X.strip(F.col("natural_text")))

@@ -46,7 +46,7 @@ def src03_src04_pruned_parquet(spark, sf):
     return read(spark, sf, "documents").select("doc_id", "text")
 
 
-@query("SELECT doc_id, lang, CAST(NULL AS BOOLEAN) AS is_table, CAST(NULL AS INTEGER) AS page_number FROM documents")
+@query("SELECT doc_id, lang, CAST(NULL AS BOOLEAN) AS is_table, CAST(NULL AS BIGINT) AS page_number FROM documents")
 def src05_tolerant_parquet(spark, sf):
     return R.read_columns(spark, f"{sf}/documents.parquet", {"doc_id": "long", "lang": "string", "is_table": "boolean", "page_number": "int"})
 

@@ -78,7 +78,7 @@ def jon01_jon02_metadata_members(spark, sf):
 MODES = "VALUES " + ", ".join(f"('{m}', {b}, {t}, {str(c).lower()})" for m, (b, t, c) in PRESETS.items())
 
 
-@query(f"SELECT doc_id, mode, base, tile, crop FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'single_gundam' WHEN 1 THEN 'single_base' WHEN 2 THEN 'multi_base' ELSE 'none' END AS mode FROM documents) JOIN ({MODES}) v(mode, base, tile, crop) USING (mode)")
+@query(f"SELECT doc_id, mode, CAST(base AS BIGINT) AS base, CAST(tile AS BIGINT) AS tile, crop FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'single_gundam' WHEN 1 THEN 'single_base' WHEN 2 THEN 'multi_base' ELSE 'none' END AS mode FROM documents) JOIN ({MODES}) v(mode, base, tile, crop) USING (mode)")
 def jon08_presets_join(spark, sf):
     mode = F.expr("CASE doc_id % 4 WHEN 0 THEN 'single_gundam' WHEN 1 THEN 'single_base' WHEN 2 THEN 'multi_base' ELSE 'none' END").alias("mode")
     v = spark.createDataFrame([(m, *p) for m, p in PRESETS.items()], "mode string, base int, tile int, crop boolean")
@@ -108,7 +108,7 @@ def set03_prd19_membership(spark, sf):
     return d.join(d.where("doc_id < 5").select("source").distinct(), "source", "left_semi").select("doc_id", "source")
 
 
-@query("SELECT 0 AS part, doc_id AS id FROM documents UNION ALL SELECT 1, page_id FROM pages")
+@query("SELECT CAST(0 AS BIGINT) AS part, doc_id AS id FROM documents UNION ALL SELECT CAST(1 AS BIGINT), page_id FROM pages")
 def set04_ordered_concat(spark, sf):
     return read(spark, sf, "documents").select(F.lit(0).alias("part"), F.col("doc_id").alias("id")).unionByName(read(spark, sf, "pages").select(F.lit(1).alias("part"), F.col("page_id").alias("id")))
 
@@ -325,7 +325,7 @@ def agg11_prd23_trn01_parameters(spark, sf):
     return read(spark, sf, "part").agg(F.countDistinct("p_type").alias("modules"), part.alias("trainable"), total.alias("total"), F.round(100.0 * part / F.greatest(total, F.lit(1)), 6).alias("pct"))
 
 
-@query("SELECT count_if(p_brand LIKE '%1%') AS attn, count_if(p_brand LIKE '%2%') AS shared, count(*) - count_if(p_brand LIKE '%1%') - count_if(p_brand LIKE '%2%') AS dense FROM part")
+@query("SELECT CAST(count_if(p_brand LIKE '%1%') AS BIGINT) AS attn, CAST(count_if(p_brand LIKE '%2%') AS BIGINT) AS shared, CAST(count(*) - count_if(p_brand LIKE '%1%') - count_if(p_brand LIKE '%2%') AS BIGINT) AS dense FROM part")
 def agg12_module_classes(spark, sf):
     a, s = F.count_if(F.col("p_brand").contains("1")), F.count_if(F.col("p_brand").contains("2"))
     return read(spark, sf, "part").agg(a.alias("attn"), s.alias("shared"), (F.count("*") - a - s).alias("dense"))
@@ -414,7 +414,7 @@ def doc01_mixture_sample(spark, sf):
     return E.mixture(read(spark, sf, "documents"), "lang", {"en": 0.5, "de": 0.25}, "doc_id").select("doc_id", "lang")
 
 
-@query(f"{WITH_PAGES} SELECT ord, CAST(unnest(range(0, CASE WHEN is_table THEN 3 ELSE 1 END)) AS INT) AS copy FROM pages0")
+@query(f"{WITH_PAGES} SELECT ord, CAST(unnest(range(0, CASE WHEN is_table THEN 3 ELSE 1 END)) AS BIGINT) AS copy FROM pages0")
 def doc02_upsample_tables(spark, sf):
     return E.upsampled(pages(spark, sf), "is_table", 3).select("ord", "copy")
 
@@ -455,7 +455,7 @@ def sca19_prd20_placeholder_count(spark, sf):
     return read(spark, sf, "documents").select("doc_id", n(F.concat(F.lit("<image>"), "text", F.lit("<image>"))).alias("images"), (n(F.col("text")) == 0).alias("target_ok"))
 
 
-@query("SELECT doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN 7 END, CASE WHEN doc_id % 2 = 0 THEN 2 END, 0) AS pad_id FROM documents")
+@query("SELECT doc_id, CAST(coalesce(CASE WHEN doc_id % 3 = 0 THEN 7 END, CASE WHEN doc_id % 2 = 0 THEN 2 END, 0) AS BIGINT) AS pad_id FROM documents")
 def sca38_pad_id(spark, sf):
     i = F.col("doc_id")
     return read(spark, sf, "documents").select("doc_id", F.coalesce(F.when(i % 3 == 0, 7), F.when(i % 2 == 0, 2), F.lit(0)).alias("pad_id"))
