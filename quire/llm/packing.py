@@ -18,6 +18,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -29,7 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.llm.common import slices, table
 
 CAPACITY, GROUP, PIECE = 1024, 256, 256
-MAX_PARTS = 700_000
+MAX_PARTS = 1_500_000
 
 
 def kk_partition(sizes: list[int], k: int) -> list[list[int]]:
@@ -89,7 +90,6 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.sign = self.tokenizer.model, _signs()
-        self.shown = {0x20: self.sign[0x20]}
         self.parts: dict[str, bytes] = {"": b""}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -101,10 +101,12 @@ class Tokens:
             self.parts = {p: x for p, x in self.parts.items() if p in used}
         new = list(used.difference(self.parts))
         rest = []
+        tokenize, sign, space = self.model.tokenize, self.sign.__getitem__, self.sign[0x20]
         for p in new:
             core = p[1:] if p[0] == " " else p
             if core.isalpha():  # one piece of the pattern: the model alone gives its ids
-                self.parts[p] = _packed([t.id for t in self.model.tokenize(p.translate(self.shown) if p.isascii() else "".join(map(self.sign.__getitem__, p.encode())))])
+                shown = p.replace(" ", space) if p.isascii() else "".join(map(sign, p.encode()))
+                self.parts[p] = _packed([t.id for t in tokenize(shown)])
             else:
                 rest.append(p)
         whole = [t for t, parts in zip(texts, cut) if parts is None]
@@ -122,9 +124,7 @@ def _signs() -> list[str]:
 
 
 def _packed(ids: list[int]) -> bytes:
-    import array
-
-    return array.array("I", ids).tobytes()
+    return array("I", ids).tobytes()
 
 
 _tokens: dict[str, Tokens] = {}
