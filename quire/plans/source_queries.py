@@ -54,7 +54,7 @@ def src05_tolerant_parquet(spark, sf):
 @query("SELECT doc_id || '.pdf' AS member, './' || doc_id || '.pdf' AS raw, strlen(text) AS n, sha256(text) AS sha FROM documents WHERE doc_id % 5 = 0")
 def src06_tar_scan(spark, sf):
     spark.dataSource.register(R.TarSource)
-    d = read(spark, sf, "documents").where("doc_id % 5 = 0").select(F.concat(F.lit("./"), "doc_id", F.lit(".pdf")).alias("m"), "text")
+    d = read(spark, sf, "documents").select(F.concat(F.lit("./"), "doc_id", F.lit(".pdf")).alias("m"), "text")
     path = Z.scratch(spark, "tar")
     Z.write_tars(d, path, "m", "text")
     t = spark.read.format("tar").option("suffix", ".pdf").load(path)
@@ -65,7 +65,7 @@ def src06_tar_scan(spark, sf):
 def src07_source_bundles(spark, sf):
     import gzip
 
-    d = read(spark, sf, "documents").where("doc_id % 50 = 0")
+    d = read(spark, sf, "documents")
     packed = d.select(F.col("doc_id").cast("string").alias("path"), F.pandas_udf(lambda s: s.map(lambda t: gzip.compress(t.encode())), "binary")("text").alias("content"))
     return R.extract_sources(packed).select(F.col("path").cast("long").alias("id"), "name", "text")
 

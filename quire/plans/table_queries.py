@@ -201,7 +201,7 @@ def prd15_magic_bytes(spark, sf):
     FROM (SELECT event_id, CAST(size * (event_id % 1000 + 1) * 2 + 1 AS DOUBLE) AS s FROM files0) WHERE event_id % 10 = 3"""
 )
 def sca13_human_bytes(spark, sf):
-    return files(spark, sf).where("event_id % 10 = 3").select("event_id", X.human_bytes(F.col("size") * (F.col("event_id") % 1000 + 1) * 2 + 1).alias("human"))
+    return files(spark, sf).select("event_id", X.human_bytes(F.col("size") * (F.col("event_id") % 1000 + 1) * 2 + 1).alias("human"))
 
 
 @query("SELECT doc_id, url_encode_path AS q FROM (SELECT doc_id, replace(url_encode(left(text, 60) || '/ *~'), '%2F', '/') AS url_encode_path FROM documents)")
@@ -263,7 +263,7 @@ def sca37_39_agg17_pad_batch(spark, sf):
     SELECT doc_id, bound, q, array_to_string([k FOR k IN range(0, q + 1) IF (k < bound OR q - k < 4) AND ids[k + 1] <> 0], ',') AS visible FROM q WHERE doc_id % 20 = 0"""
 )
 def sca40_jon10_win05_06_visibility(spark, sf):
-    d = _toy(spark, sf).where("doc_id % 20 = 0").select("doc_id", "ids", K.first_supervised(F.col("labels")).alias("bound"), F.transform("ids", lambda x: x != 0).alias("real"))
+    d = _toy(spark, sf).select("doc_id", "ids", K.first_supervised(F.col("labels")).alias("bound"), F.transform("ids", lambda x: x != 0).alias("real"))
     d = d.select("doc_id", "bound", "real", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("q"))
     seen = K.visible(F.col("q"), F.col("bound"), 4, F.col("real"))
     return d.select("doc_id", "bound", "q", F.array_join(F.transform(seen, lambda x: x.cast("string")), ",").alias("visible"))
@@ -498,7 +498,7 @@ def src08_recursive_listing(spark, sf):
     from quire.sources.writers import scratch
 
     path = scratch(spark, "tex")
-    d = read(spark, sf, "documents").where("doc_id % 200 = 0")
+    d = read(spark, sf, "documents")
 
     def write(batches):
         from pyarrow import fs
