@@ -49,9 +49,9 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return d.select(*keys, *(F.col("last").getField(c).alias(c) for c in rest))
 
 
-def sequence_ids(df: DataFrame, order: str, prefix: str, digits: int, name: str = "sample_id") -> DataFrame:
-    """Dense zero-based ids in order, after all filters. Ranks are counted within ranges of the order
-    column and shifted by the counts of the ranges before, so no partition holds all rows."""
+def positions(df: DataFrame, order: str, within: list[str], name: str) -> DataFrame:
+    """Dense zero-based positions by within, which begins with order, a number. Ranks are counted within
+    ranges of the order column and shifted by the counts of the ranges before, so no partition holds all rows."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted({float(x) for x in df.approxQuantile(order, [i / n for i in range(1, n)], 0.01)}) if n > 1 else []
@@ -59,9 +59,14 @@ def sequence_ids(df: DataFrame, order: str, prefix: str, digits: int, name: str
     d = df.withColumn("_part", part)
     counts = d.groupBy("_part").count()  # as many rows as shuffle partitions
     before = counts.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))
-    d = d.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(order))).join(F.broadcast(before), "_part")
-    number = (F.col("_before") + F.col("_rank") - 1).cast("string")
-    return d.withColumn(name, F.concat(F.lit(prefix), F.lpad(number, digits, "0"))).drop("_part", "_rank", "_before")
+    d = d.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*within))).join(F.broadcast(before), "_part")
+    return d.withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")
+
+
+def sequence_ids(df: DataFrame, order: str, prefix: str, digits: int, name: str = "sample_id") -> DataFrame:
+    """Dense zero-based ids in order, after all filters."""
+    d = positions(df, order, [order], "_at")
+    return d.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_at").cast("string"), digits, "0"))).drop("_at")
 
 
 def fixed_groups(df: DataFrame, order: str, size: int, text: str, separator: str, of: list[str] | None = None) -> DataFrame:

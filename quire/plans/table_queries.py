@@ -428,8 +428,10 @@ def doc03_verifiers(spark, sf):
 
 @query("SELECT doc_id, row_number() OVER (ORDER BY md5('7:0:' || doc_id)) - 1 AS pos, (row_number() OVER (ORDER BY md5('7:0:' || doc_id)) - 1) // 8 AS batch FROM documents QUALIFY pos < 400")
 def smp01_bat01_epoch_shuffle(spark, sf):
-    d = read(spark, sf, "documents").withColumn("k", E.shuffle_key(F.col("doc_id"), 7, 0)).orderBy("k").limit(400)
-    d = d.withColumn("pos", F.row_number().over(W.orderBy("k")) - 1)  # of the first 400
+    # the key's first 48 bits are a number for the ranges; within one, the whole key orders
+    k = E.shuffle_key(F.col("doc_id"), 7, 0)
+    d = read(spark, sf, "documents").select("doc_id", k.alias("k"), F.conv(F.substring(k, 1, 12), 16, 10).cast("long").alias("r"))
+    d = P.positions(d, "r", ["r", "k", "doc_id"], "pos")
     return d.select("doc_id", "pos", F.floor(F.col("pos") / 8).alias("batch"))
 
 

@@ -47,3 +47,10 @@ def test_human_bytes_of_all_events(spark):
 
 def test_visibility_of_all_documents(spark, docs):
     assert {r["doc_id"] for r in rows(spark, "sca40_jon10_win05_06_visibility")} == {i for i, t in docs.items() if t}
+
+
+def test_epoch_shuffle_numbers_all_documents(spark, tmp_path):
+    spark.range(1000).withColumnRenamed("id", "doc_id").write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted((r["pos"], r["doc_id"], r["batch"]) for r in catalog.QUERIES["smp01_bat01_epoch_shuffle"](spark, str(tmp_path)).collect())
+    order = sorted(range(1000), key=lambda i: hashlib.md5(f"7:0:{i}".encode()).hexdigest())
+    assert got == [(p, i, p // 8) for p, i in enumerate(order)]
