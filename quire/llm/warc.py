@@ -35,7 +35,7 @@ from quire.llm.common import filesystem, fresh_dir, slices, table, written
 
 MIN_REVISIT, FILE_BYTES, RANGE_BYTES = 100, 64 << 20, 8 << 20
 PLAIN, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
-MAX_HEADER = 64 << 10
+HEADER_STEP = 64 << 10
 
 
 class Record(NamedTuple):
@@ -115,6 +115,16 @@ def write_archive(pages: DataFrame, out: str, id_col: str = "page_id", url_col:
     return written(d.mapInArrow(run, schema), "warc-files")
 
 
+def _blank_line(data: memoryview | bytes, at: int) -> int:
+    """The offset of the first blank line from at on, however far, or -1."""
+    while at < len(data):
+        found = bytes(data[at : at + HEADER_STEP]).find(b"\r\n\r\n")
+        if found >= 0:
+            return at + found
+        at += HEADER_STEP - 3  # a blank line may begin in one step and end in the next
+    return -1
+
+
 def read_record(data: memoryview | bytes, at: int, whole: bool) -> Record | int | None:
     """The record at offset at; None if there is none; -1 if more bytes are needed (not whole)."""
     if data[at : at + 3] == GZIP:
@@ -134,12 +144,11 @@ def read_record(data: memoryview | bytes, at: int, whole: bool) -> Record | int
         return found._replace(end=end - len(unpack.unused_data))
     if data[at : at + len(PLAIN)] != PLAIN:
         return None
-    head = bytes(data[at : at + MAX_HEADER])
-    cut = head.find(b"\r\n\r\n")
+    cut = _blank_line(data, at)
     if cut < 0:
-        return None if whole or len(head) == MAX_HEADER else -1
+        return None if whole else -1
     headers = {}
-    for line in head[:cut].decode("utf-8", "replace").split("\r\n")[1:]:
+    for line in bytes(data[at:cut]).decode("utf-8", "replace").split("\r\n")[1:]:
         key, colon, value = line.partition(":")
         if not colon:
             return None
@@ -147,7 +156,7 @@ def read_record(data: memoryview | bytes, at: int, whole: bool) -> Record | int
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         return None
-    start = at + cut + 4
+    start = cut + 4
     end = start + int(size) + 4
     if end > len(data):
         return None if whole else -1
@@ -194,8 +203,8 @@ def byte_ranges(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
 
 def candidates(ranges: DataFrame) -> DataFrame:
     """Per candidate: path, start (of its range), offset, succ (its record's end), out (the first offset
-    of its chain beyond the range)."""
-    schema = "path string, start long, offset long, succ long, `out` long"
+    of its chain beyond the range), n (the chain's records before out)."""
+    schema = "path string, start long, offset long, succ long, `out` long, n long"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,11 +212,11 @@ def candidates(ranges: DataFrame) -> DataFrame:
             for path, size, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 span = Range(path, start, end, size)
                 succ = {at: found.end for at in span.candidates() if (found := span.record(at))}
-                out = {}
+                out, n = {}, {}
                 for at in sorted(succ, reverse=True):
-                    out[at] = out.get(succ[at], succ[at])
-                rows = [(path, start, at, succ[at], out[at]) for at in sorted(succ)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(list(zip(*rows)) or [()] * 5, arrow)], schema=arrow)
+                    out[at], n[at] = out.get(succ[at], succ[at]), n.get(succ[at], 0) + 1
+                rows = [(path, start, at, succ[at], out[at], n[at]) for at in sorted(succ)]
+                yield _batch(rows, arrow)
 
     return ranges.select("path", "bytes", "start", "end").mapInArrow(run, schema)
 
@@ -232,13 +241,26 @@ def verified(found: DataFrame, files: DataFrame) -> DataFrame:
         jumps = written(double.select("x.path", "x.offset", F.coalesce("y.out", "x.out").alias("out")), "jumps")
 
 
+def _whole(files: DataFrame, reached: DataFrame, entries: DataFrame) -> None:
+    """Raises unless each file's chain ends at its size, and has the records that files counts, if it does."""
+    ends = reached.select("path", F.col("offset").alias("bytes")).withColumn("ended", F.lit(True))
+    counts = entries.groupBy("path").agg(F.sum("n").alias("found"))
+    known = F.col("records") if "records" in files.columns else F.col("found")
+    d = files.where("bytes > 0").join(ends, ["path", "bytes"], "left").join(counts, "path", "left")
+    bad = d.where(F.col("ended").isNull() | ~known.eqNullSafe(F.col("found"))).select("path", "bytes", "found").take(3)
+    if bad:
+        raise ValueError(f"archives that can't be read to their end or count (path, bytes, records found): {[tuple(r) for r in bad]}")
+
+
 def read_archive(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per record: page_id, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits)."""
     ranges = written(byte_ranges(files, range_bytes), "ranges")
     tasks = max(1, ranges.count())  # a range each: the rows are small, but not what they stand for
     found = written(candidates(ranges.repartition(tasks)), "candidates")
     # a chain enters a range at one offset at most: that one and its successors within the range are records
-    entries = verified(found, files).join(found.select("path", "start", "offset"), ["path", "offset"])
+    reached = verified(found, files)
+    entries = reached.join(found.select("path", "start", "offset", "n"), ["path", "offset"])
+    _whole(files, reached, entries)
     todo = ranges.join(entries, ["path", "start"]).select("path", "bytes", "start", "end", "offset").repartition(tasks)
     schema = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
     arrow = to_arrow_schema(T._parse_datatype_string(schema))
@@ -254,7 +276,7 @@ def read_archive(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
                 while offset < end:
                     r = span.record(offset)
                     if r is None:
-                        break
+                        raise ValueError(f"{path}: no record at {offset}")
                     kind = r.headers.get("warc-type", "")
                     if kind == "revisit":
                         code = r.headers["warc-payload-digest"].removeprefix("sha256:")
