@@ -43,8 +43,9 @@ TEMPLATES: tuple[tuple[str, float, tuple[str, ...]], ...] = (
     ("bsd", 1.0, ("redistribution and use in source", "and binary forms", "with or without modification", "are permitted provided that", "the following conditions are met")),
     ("copyright-reserved", 0.6, ("copyright [c] {6} all rights reserved",)),
 )
-#: A text without any of these has no place where a phrase or template could stand.
-TRIGGER = re.compile(rb"licen|permission|redistribution|unencumbered|cc0|cc zero|free software|copyright")
+#: A text without any of these has no place where a phrase or template could stand. Each is within one word,
+#: for words may be parted by any punctuation.
+TRIGGER = re.compile(rb"licen|permission|redistribution|unencumbered|cc0|zero|copyright")
 KEEP = bytes(c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or chr(c).isalnum() else 0x20 for c in range(256))
 
 

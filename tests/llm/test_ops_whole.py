@@ -2,7 +2,7 @@
 
 import pytest
 
-from quire.llm import warc
+from quire.llm import licenses, warc
 from quire.llm.common import fresh_dir
 
 
@@ -27,3 +27,8 @@ def test_warc_broken_chains_raise(spark, tmp_path):
     path.write_bytes(data[:at] + b"X" + data[at + 1 :])
     with pytest.raises(ValueError, match="archives"):
         warc.read_archive(warc.local_files(spark, [str(path)]), 500)
+
+
+@pytest.mark.parametrize("text", ["CC-Zero 1.0 Universal", "cc_zero", "CC\nZERO", "cc  zero", "cc zero", "CC0"])
+def test_licenses_cc_zero_however_parted(text):
+    assert {x[0] for x in licenses.Scanner().scan(f"Given away, {text}.")[2]} == {"cc0"}
