@@ -9,8 +9,8 @@ patterns reaches MIN_CONFIDENCE. Candidates behind such patterns are added to th
 
 A pattern is counted over the corpus only if enough values stand behind it. The tasks get these
 patterns as a bit set of fixed size (BITS), whose false hits a join removes, so what is broadcast doesn't
-grow with the data. Graph rows are a candidate or seed each, and are reduced by sums with map-side
-combination.
+grow with the data. Spans are found, and redacted, by joins with the confident patterns themselves.
+Graph rows are a candidate or seed each, and are reduced by sums with map-side combination.
 
 Defined cases: a null text is an empty one (no spans); each row, repeated or with a null id, gives its
 own row; an empty table gives an empty one; other columns are not read, so names can't clash.
@@ -196,13 +196,17 @@ def confident_patterns(scanned: DataFrame, df: DataFrame, text_col: str = "text"
     return scores
 
 
+def discovered(scanned: DataFrame, scores: DataFrame) -> DataFrame:
+    """(row, more): the candidates' spans that stand behind a confident pattern."""
+    places = scanned.select("row", F.explode("instances").alias("i")).where("NOT i.seed").select("row", "i.kind", "i.start", "i.end", F.explode("i.patterns").alias("pattern"))
+    more = places.join(scores.select("kind", "pattern"), ["kind", "pattern"]).select("row", F.struct("kind", "start", "end").alias("s"))
+    return more.groupBy("row").agg(F.collect_set("s").alias("more"))  # a row's own spans
+
+
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: row, id, base (spans), spans (base and discovered ones, by kind as listed, then start)."""
     scanned = written(scan_texts(df, id_col, text_col), "scanned")
-    scores = confident_patterns(scanned, df, text_col)
-    places = scanned.select("row", F.explode("instances").alias("i")).where("NOT i.seed").select("row", "i.kind", "i.start", "i.end", F.explode("i.patterns").alias("pattern"))
-    more = places.join(scores.select("kind", "pattern"), ["kind", "pattern"]).select("row", F.struct("kind", "start", "end").alias("s"))
-    more = more.groupBy("row").agg(F.collect_set("s").alias("more"))  # a row's own spans
+    more = discovered(scanned, confident_patterns(scanned, df, text_col))
     rank = lambda s: F.struct(F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("k"), s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
     d = scanned.select("row", id_col, "base").join(more, "row", "left")
     every = F.array_sort(F.transform(F.concat("base", F.coalesce("more", F.expr("CAST(array() AS array<struct<kind string, start bigint, end bigint>>)"))), rank))
@@ -212,27 +216,29 @@ def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df with every span of personal data replaced by its kind in brackets.
 
-    Patterns are learned from the whole corpus first; then each row is searched again by itself, so no
-    text is shuffled. The confident patterns go to the tasks as a bit set of fixed size.
+    Patterns are learned from the whole corpus first, and the spans behind them are found as find_pii does.
+    The rows are written with a number, by which these spans are joined; base spans are searched again.
     """
-    scanned = written(scan_texts(df, id_col, text_col), "scanned")
-    bits = np.zeros(BITS, np.uint8)
-    marks = confident_patterns(scanned, df, text_col).select((F.crc32(F.concat_ws(" ", "kind", "pattern").cast("binary")) % BITS).alias("bit")).distinct()
-    for (bit,) in marks.toLocalIterator():  # at most BITS numbers
-        bits[bit] = 1
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(bits, bitorder="little").tobytes())
+    number, more_col = (next(f"{n}{i}" for i in range(len(df.columns) + 1) if f"{n}{i}" not in df.columns) for n in ("number", "more"))
+    rows = written(df.withColumn(number, F.monotonically_increasing_id()), "rows")
+    scanned = written(scan_texts(rows, number, text_col), "scanned")
+    more = discovered(scanned, confident_patterns(scanned, rows, text_col)).join(scanned.select("row", number), "row")
+    more = written(more.select(number, written_out("more").alias(more_col)), "more")
+    # the copied side is broadcast only where all of it is small
+    few = more.agg(F.count("*").alias("n"), F.sum(F.length(more_col)).alias("size")).first()
+    small = few["n"] <= 20_000 and (few["size"] or 0) <= 4 << 20
 
-    def clean(texts: pd.Series) -> pd.Series:
-        flags = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
-        return texts.map(lambda t: t if t is None else _redacted(t, flags))
+    def clean(texts: pd.Series, more: pd.Series) -> pd.Series:
+        return pd.Series([t if t is None else _redacted(t, m) for t, m in zip(texts, more)], dtype=object)
 
-    return df.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col)))
+    d = rows.join(F.broadcast(more) if small else more, number, "left")
+    return d.withColumn(text_col, F.pandas_udf(clean, "string")(F.col(text_col), F.col(more_col))).select(*(f"`{c}`" for c in df.columns))
 
 
-def _redacted(text: str, flags: np.ndarray) -> str:
+def _redacted(text: str, more: str | None) -> str:
+    """more: further spans as written_out writes them."""
     spans = base_spans(text)
-    if flags.any():
-        spans += [(k, a, b) for k, a, b in _candidates(text, spans) if any(flags[_bit(f"{k} {p}")] for p in _contexts(text, a))]
+    spans += [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in (more or "").split(",") if s)]
     out, done = [], 0
     for start, end, kind in sorted((a, b, k) for k, a, b in spans):
         if end <= done:

@@ -1,8 +1,11 @@
 """Inputs that the operators once passed over in part."""
 
+import itertools
+import zlib
+
 import pytest
 
-from quire.llm import licenses, warc
+from quire.llm import licenses, pii, warc
 from quire.llm.common import fresh_dir
 
 
@@ -32,3 +35,14 @@ def test_warc_broken_chains_raise(spark, tmp_path):
 @pytest.mark.parametrize("text", ["CC-Zero 1.0 Universal", "cc_zero", "CC\nZERO", "cc  zero", "cc zero", "CC0"])
 def test_licenses_cc_zero_however_parted(text):
     assert {x[0] for x in licenses.Scanner().scan(f"Given away, {text}.")[2]} == {"cc0"}
+
+
+def test_redact_ignores_false_hits_of_the_bit_set(spark):
+    rows = [(i, f"please dial hotline +1 (555) 000-{1000 + i} now") for i in range(20)]
+    shared = {zlib.crc32(f"phone {p}".encode()) % pii.BITS for p in ("hotline", "dial hotline")}
+    word = next(w for w in (f"w{i}x" for i in itertools.count()) if zlib.crc32(f"phone {w}".encode()) % pii.BITS in shared)
+    rows += [(100, "please dial hotline 555 777 1234 now"), (101, f"the {word} 555 777 9999 now"), (102, None), (102, "hotline 555 777 1234, dial hotline 555 777 4321")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in pii.redact(d).where("doc_id >= 100 AND text IS NOT NULL").collect())
+    assert got == [(100, "please dial hotline [PHONE] now"), (101, rows[21][1]), (102, "hotline [PHONE], dial hotline [PHONE]")]
+    assert pii.redact(d).where("text IS NULL").count() == 1
