@@ -33,7 +33,9 @@ def layout(q: Column, rows: Column) -> Column:
 
 
 def label_mask(ids: Column, image: Column, prompt_len: Column) -> Column:
-    return F.transform(ids, lambda x, i: F.when((i < prompt_len) | F.get(image, i), F.lit(IGNORE)).otherwise(x))
+    """ids with the prompt's and the image's ignored; image is a flag for each id. Linear in the ids."""
+    rest = F.transform(ids, lambda x, i: F.when(i < prompt_len, F.lit(IGNORE)).otherwise(x))
+    return F.zip_with(rest, image, lambda x, m: F.when(m, F.lit(IGNORE)).otherwise(x))
 
 
 def pad(a: Column, value: Column, to: Column) -> Column:
@@ -47,7 +49,11 @@ def first_supervised(labels: Column) -> Column:
 
 def visible(q: Column, boundary: Column, window: int, real: Column) -> Column:
     """Positions that position q sees: the reference before boundary, and the last window up to itself."""
-    return F.filter(F.sequence(F.lit(0), q.cast("int")), lambda k: ((k < boundary) | (q - k < window)) & F.get(real, k))
+    q, boundary = q.cast("int"), boundary.cast("int")
+    first = F.greatest(q - (window - 1), F.lit(0))
+    apart = F.concat(F.when(boundary > 0, F.sequence(F.lit(0), boundary - 1)).otherwise(F.expr("CAST(array() AS array<int>)")), F.sequence(first, q))
+    near = F.when(boundary < first, apart).otherwise(F.sequence(F.lit(0), q))
+    return F.filter(near, lambda k: F.get(real, k))
 
 
 def learning_rate(step: Column, peak: float, warmup: int, total: int) -> Column:

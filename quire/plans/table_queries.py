@@ -225,17 +225,22 @@ def sca33_token_layout(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.size(a).cast("long").alias("n"), F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
 
 
-#: Toy code-point tokens of short texts: a start id, six image ids, a prompt of five, the rest the target.
+#: Toy code-point tokens: a start id, six image ids, a prompt of five, the rest the target. The SQL takes short
+#: beginnings of the texts, the queries all of them.
 TOY = "toy AS (SELECT doc_id, doc_id // 8 AS batch, [0] || [128815 FOR i IN range(6)] || [unicode(substr(text, i, 1)) FOR i IN range(1, 1 + least(length(text), 20 + doc_id % 30))] AS ids FROM documents)"
 LABELS = "lab AS (SELECT *, [CASE WHEN i <= 12 THEN -100 ELSE ids[i] END FOR i IN range(1, len(ids) + 1)] AS labels FROM toy)"
 
 
+def _held(d, *columns):
+    """Columns computed once a row: a generator keeps the optimizer from moving them into lambdas."""
+    return d.select(F.explode(F.array(F.struct(*columns))).alias("held")).select("held.*")
+
+
 def _toy(spark, sf):
-    n = F.least(F.length("text"), 20 + F.col("doc_id") % 30).cast("int")
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.ascii(F.substring(F.col("text"), i, F.lit(1))))
-    d = read(spark, sf, "documents").where("length(text) > 0").select("doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), codes.alias("codes"))
-    ids = F.array_prepend(F.concat(F.array_repeat(F.lit(128815), 6), "codes"), 0)
-    d = d.select("doc_id", "batch", ids.alias("ids"))
+    codes = F.transform(F.split("text", ""), lambda c: F.ascii(c))  # of the whole text
+    ids = F.array_prepend(F.concat(F.array_repeat(F.lit(128815), 6), codes), 0)
+    d = read(spark, sf, "documents").where("length(text) > 0")
+    d = _held(d, "doc_id", F.floor(F.col("doc_id") / 8).alias("batch"), ids.alias("ids"))
     image = F.transform("ids", lambda x, i: x == 128815)
     return d.select("doc_id", "batch", "ids", image.alias("image"), K.label_mask(F.col("ids"), image, F.lit(12)).alias("labels"))
 
@@ -263,10 +268,9 @@ def sca37_39_agg17_pad_batch(spark, sf):
     SELECT doc_id, bound, q, array_to_string([k FOR k IN range(0, q + 1) IF (k < bound OR q - k < 4) AND ids[k + 1] <> 0], ',') AS visible FROM q WHERE doc_id % 20 = 0"""
 )
 def sca40_jon10_win05_06_visibility(spark, sf):
-    d = _toy(spark, sf).select("doc_id", "ids", K.first_supervised(F.col("labels")).alias("bound"), F.transform("ids", lambda x: x != 0).alias("real"))
-    d = d.select("doc_id", "bound", "real", F.explode(F.sequence(F.lit(0), F.size("ids") - 1)).alias("q"))
-    seen = K.visible(F.col("q"), F.col("bound"), 4, F.col("real"))
-    return d.select("doc_id", "bound", "q", F.array_join(F.transform(seen, lambda x: x.cast("string")), ",").alias("visible"))
+    d = _held(_toy(spark, sf), "doc_id", K.first_supervised(F.col("labels")).alias("bound"), F.transform("ids", lambda x: x != 0).alias("real"))
+    seen = lambda q: F.array_join(F.transform(K.visible(q, F.col("bound"), 4, F.col("real")), lambda x: x.cast("string")), ",")
+    return d.select("doc_id", "bound", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("real") - 1), seen)).alias("q", "visible"))
 
 
 @query(f"WITH {TOY}, {LABELS} SELECT batch, count(*) AS n, min(len(labels) - len(ids)) AS gap, bool_and(len(list_filter(labels, lambda x: x <> -100)) > 0) AS supervised FROM lab GROUP BY batch")
@@ -466,8 +470,8 @@ def sca38_pad_id(spark, sf):
 @query(f"WITH {TOY} SELECT doc_id, array_to_string([CASE WHEN k <= 9 AND (k < 3 OR 9 - k < 4) THEN '0' ELSE '-inf' END FOR k IN range(0, len(ids))], ',') AS mask FROM toy WHERE len(ids) > 9")
 def sca41_additive_mask(spark, sf):
     d = _toy(spark, sf).where("size(ids) > 9")
-    seen = K.visible(F.lit(9), F.lit(3), 4, F.transform("ids", lambda x: F.lit(True)))
-    mask = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda k: F.when(F.array_contains(seen, k), "0").otherwise("-inf"))
+    d = _held(d, "doc_id", "ids", K.visible(F.lit(9), F.lit(3), 4, F.transform("ids", lambda x: F.lit(True))).alias("seen"))
+    mask = F.transform(F.sequence(F.lit(0), F.size("ids") - 1), lambda k: F.when(F.array_contains("seen", k), "0").otherwise("-inf"))
     return d.select("doc_id", F.array_join(mask, ",").alias("mask"))
 
 
