@@ -3,11 +3,13 @@
 Every paragraph (a line that isn't blank) is hashed to a wide vector, and a text's fingerprint is the
 sum of its paragraphs' vectors modulo powers of two: the paragraphs' order doesn't matter, and a
 paragraph is inserted or deleted by adding or subtracting its vector. The vector has WIDE lanes modulo
-2^64 of the whole paragraph, for equality, and LANES lanes modulo 2^16 that sum signs of its groups of
-GROUP words, for likeness: the squared distance of two such sums estimates how many groups differ.
+2^64 of the whole paragraph, for equality, and LANES lanes modulo 2^32 that sum signs of its groups of
+GROUP words, for likeness: the squared distance of two such sums estimates how many groups differ. A text
+has fewer than 2^31 groups, so no lane of one wraps; differences are taken modulo 2^32 all the same, so
+that sums of many texts compare rightly as long as they differ by fewer than 2^31 groups.
 
 Defined cases: a null text is an empty one, whose fingerprint is zero; two empty texts are alike (1.0).
-Rows with equal ids follow each other by text, null ids come first, and the last row is followed by
+Rows with equal ids follow each other by a hash of their text, null ids come first, and the last row is followed by
 the first, so a table's only row is followed by itself; an empty table gives an empty one. Other
 columns are not read, so names can't clash.
 """
@@ -28,6 +30,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.llm.common import map_rows, slices, table
 
 WIDE, LANES, GROUP = 4, 128, 8
+LEAST = -(1 << 63)
 
 
 class Fingerprint:
@@ -37,7 +40,7 @@ class Fingerprint:
 
     def __init__(self, wide: np.ndarray | None = None, signs: np.ndarray | None = None):
         self.wide = np.zeros(WIDE, np.uint64) if wide is None else wide
-        self.signs = np.zeros(LANES, np.int16) if signs is None else signs
+        self.signs = np.zeros(LANES, np.int32) if signs is None else signs
 
     def __add__(self, other: Fingerprint) -> Fingerprint:
         return Fingerprint(self.wide + other.wide, self.signs + other.signs)
@@ -46,21 +49,21 @@ class Fingerprint:
         return Fingerprint(self.wide - other.wide, self.signs - other.signs)
 
     def __str__(self) -> str:
-        return self.wide.astype(">u8").tobytes().hex() + self.signs.astype(">i2").tobytes().hex()
+        return self.wide.astype(">u8").tobytes().hex() + self.signs.astype(">i4").tobytes().hex()
 
     def likeness(self, other: Fingerprint) -> float:
         """1.0 for equal multisets, about the share of common groups else."""
         if np.array_equal(self.wide, other.wide) and np.array_equal(self.signs, other.signs):
             return 1.0
-        a, b = self.signs.astype(np.int64), other.signs.astype(np.int64)
-        both = int((a * a).sum() + (b * b).sum())
-        apart = int(((a - b) ** 2).sum())
-        return min(1.0, max(0.0, 1.0 - apart / both)) if both else 0.0
+        a, b = self.signs.astype(float), other.signs.astype(float)
+        apart = (self.signs - other.signs).astype(float)  # modulo 2^32
+        both = float(a @ a + b @ b)
+        return min(1.0, max(0.0, 1.0 - float(apart @ apart) / both)) if both else 0.0
 
 
 def parse(fingerprint: str) -> Fingerprint:
     raw = bytes.fromhex(fingerprint)
-    return Fingerprint(np.frombuffer(raw[: 8 * WIDE], ">u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], ">i2").astype(np.int16))
+    return Fingerprint(np.frombuffer(raw[: 8 * WIDE], ">u8").astype(np.uint64), np.frombuffer(raw[8 * WIDE :], ">i4").astype(np.int32))
 
 
 def fingerprint(text: str, seen: dict[str, tuple[bytes, bytes]] | None = None) -> Fingerprint:
@@ -80,7 +83,7 @@ def fingerprint(text: str, seen: dict[str, tuple[bytes, bytes]] | None = None) -
     for at in range(0, len(bits), 4096):
         part = np.unpackbits(bits[at : at + 4096], axis=1)
         signs += 2 * part.sum(axis=0, dtype=np.int64) - len(part)
-    return Fingerprint(total, signs.astype(np.int16))
+    return Fingerprint(total, signs.astype(np.int32))
 
 
 def _hashed(paragraph: str) -> tuple[bytes, bytes]:
@@ -101,32 +104,35 @@ def fingerprint_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _in_order(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows in buckets by ranges of the id, sorted, each bucket with the row that follows it as a guard.
 
-    The texts are shuffled once. The driver gets one id a bucket, and buckets are as many as shuffle
-    partitions. Only ids equal to a bucket's first are copied, for their bucket's predecessor.
+    The texts are shuffled once. The driver gets one key a bucket, and buckets are as many as shuffle
+    partitions. An id that takes up several quantiles is split over as many buckets by a hash of the
+    text. Only rows with a bucket's first key are copied, for their bucket's predecessor.
     """
     spark = df.sparkSession
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ids = df.select(F.col(id_col).cast("long").alias("id"))
-    cuts = sorted({int(x) for x in ids.approxQuantile("id", [i / n for i in range(1, n)], 0.2 / n)}) if n > 1 else []
-
-    def bucket(s: pd.Series) -> pd.Series:
-        return pd.Series(np.where(s.isna(), 0, np.searchsorted(np.array(cuts, np.int64), s.fillna(0).astype(np.int64), side="right")))
-
-    firsts = dict(
-        ids.select(F.coalesce("id", F.lit(-(1 << 63))).alias("id"), F.pandas_udf(bucket, "long")("id").alias("b")).groupBy("b").agg(F.min("id")).collect()
-    )
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    d = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("mark"))
+    d = d.withColumn("key", F.coalesce("id", F.lit(LEAST)))
+    cuts = np.array(sorted(int(x) for x in d.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)) if n > 1 else [], np.int64)
+
+    def bucket(key: pd.Series, mark: pd.Series) -> np.ndarray:
+        key, share = key.to_numpy(np.int64), (mark.to_numpy(np.int64).astype(float) / 2.0**63 + 1) / 2
+        low, high = np.searchsorted(cuts, key, "left"), np.searchsorted(cuts, key, "right")
+        return np.where(high > low, np.minimum(low + 1 + (share * (high - low)).astype(np.int64), high), low)
+
+    of = F.pandas_udf(lambda key, mark: pd.Series(bucket(key, mark)), "long")
+    firsts = {r["b"]: tuple(r["k"]) for r in d.groupBy(of("key", "mark").alias("b")).agg(F.min(F.struct("key", "mark")).alias("k")).collect()}
     order = sorted(firsts)
     before = {firsts[b]: order[i - 1] for i, b in enumerate(order)}
 
-    def buckets(s: pd.Series) -> pd.Series:
-        own = bucket(s).tolist()
-        key = s.astype("Int64").fillna(-(1 << 63)).astype(np.int64).tolist()
-        return pd.Series([[b] if (g := before.get(k)) is None else [b, n + g] for b, k in zip(own, key)])
+    def buckets(key: pd.Series, mark: pd.Series) -> pd.Series:
+        rows = zip(bucket(key, mark).tolist(), key.tolist(), mark.tolist())
+        return pd.Series([[b] if (g := before.get((k, m))) is None else [b, n + g] for b, k, m in rows])
 
-    d = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("at", F.explode(F.pandas_udf(buckets, "array<long>")("id")))
-    d = d.withColumns({"guard": F.col("at") >= n, "at": F.col("at") % n})
-    return d.repartitionById(n, F.col("at").cast("int")).sortWithinPartitions("at", "guard", F.col("id").asc_nulls_first(), "text")
+    d = d.withColumn("at", F.explode(F.pandas_udf(buckets, "array<long>")("key", "mark")))
+    d = d.select("id", "text", "mark", (F.col("at") % n).alias("at"), (F.col("at") >= n).alias("guard"))
+    d = d.repartitionById(n, F.col("at").cast("int")).sortWithinPartitions("at", "guard", F.col("id").asc_nulls_first(), "mark", "text")
+    return d.select("id", "text", "at", "guard")
 
 
 def edited_neighbours(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: int = 4) -> DataFrame:
