@@ -8,8 +8,9 @@ records reached are kept, and each is read by the task whose range it begins in.
 
 Archives are plain (magic `WARC/1.`) or gzip with a member a record (magic 1f 8b 08).
 
-Defined cases: a null payload is an empty one; a null page id gives a record of its own without an id.
-Rows that repeat the smallest page id of a payload are all responses; other copies revisit it. Payloads
+Defined cases: a null payload is an empty one; a null page id gives a record of its own without an id,
+and comes after all ids: a payload that some id has is revisited, else the record is a response. Rows
+that repeat the smallest page id of a payload are all responses; other copies revisit it. Payloads
 under MIN_REVISIT bytes are never revisits. An empty table gives an empty one. Other columns are not
 read, so names can't clash.
 """
@@ -34,6 +35,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.llm.common import filesystem, fresh_dir, slices, table, written
 
 MIN_REVISIT, FILE_BYTES, RANGE_BYTES = 100, 64 << 20, 8 << 20
+#: Ranges that a task reads one after another, once there are enough for all cores.
+RANGES_PER_TASK = 16
 PLAIN, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 HEADER_STEP = 64 << 10
 
@@ -255,7 +258,9 @@ def _whole(files: DataFrame, reached: DataFrame, entries: DataFrame) -> None:
 def read_archive(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Per record: page_id, record_type, refers_to, payload_bytes, payload_digest, payload (null for revisits)."""
     ranges = written(byte_ranges(files, range_bytes), "ranges")
-    tasks = max(1, ranges.count())  # a range each: the rows are small, but not what they stand for
+    # rows are small, but not what they stand for: they are dealt evenly, several to a task once all cores have some
+    n, cores = ranges.count(), 4 * files.sparkSession.sparkContext.defaultParallelism
+    tasks = max(1, min(n, cores), -(-n // RANGES_PER_TASK))
     found = written(candidates(ranges.repartition(tasks)), "candidates")
     # a chain enters a range at one offset at most: that one and its successors within the range are records
     reached = verified(found, files)
@@ -312,7 +317,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
 d AS (SELECT page_id, strlen(h) AS n, sha256(h) AS g FROM p),
 m AS (SELECT g, min(page_id) AS least FROM d WHERE n >= {MIN_REVISIT} GROUP BY g)
 SELECT page_id, n::BIGINT AS payload_bytes, g AS payload_digest,
-       CASE WHEN least IS NOT NULL AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN page_id > least THEN least END AS refers_to
+       CASE WHEN least IS NOT NULL AND (page_id IS NULL OR page_id > least) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS NULL OR page_id > least THEN least END AS refers_to
 FROM d LEFT JOIN m USING (g)
 """
