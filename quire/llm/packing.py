@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -30,7 +31,10 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.llm.common import slices, table
 
 CAPACITY, GROUP, PIECE = 1024, 256, 256
-MAX_PARTS = 1_500_000
+#: Bytes of ids and texts that a worker keeps for parts of texts seen before; longer parts aren't kept.
+CACHE_BYTES, LONGEST_KEPT = 300 << 20, 64
+#: Letters for Python's and the tokenizer's Unicode alike; words of these alone are one piece of the pattern.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+").fullmatch
 
 
 def kk_partition(sizes: list[int], k: int) -> list[list[int]]:
@@ -91,20 +95,21 @@ class Tokens:
         self.tokenizer.encode_special_tokens = True
         self.model, self.sign = self.tokenizer.model, _signs()
         self.parts: dict[str, bytes] = {"": b""}
+        self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
         from quire.llm.bpe import cut_at_spaces
 
         cut = [cut_at_spaces(t) for t in texts]
         used = set().union(*(parts for parts in cut if parts))
-        if len(self.parts) > MAX_PARTS:
-            self.parts = {p: x for p, x in self.parts.items() if p in used}
+        if self.held > CACHE_BYTES:
+            self.parts, self.held = {"": b""}, 0
         new = list(used.difference(self.parts))
-        rest = []
+        rest, long = [], [p for p in new if len(p) > LONGEST_KEPT]
         tokenize, sign, space = self.model.tokenize, self.sign.__getitem__, self.sign[0x20]
         for p in new:
             core = p[1:] if p[0] == " " else p
-            if core.isalpha():  # one piece of the pattern: the model alone gives its ids
+            if LETTERS(core):  # one piece of the pattern: the model alone gives its ids
                 shown = p.replace(" ", space) if p.isascii() else "".join(map(sign, p.encode()))
                 self.parts[p] = _packed([t.id for t in tokenize(shown)])
             else:
@@ -113,7 +118,11 @@ class Tokens:
         found = [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest + whole, add_special_tokens=False)]
         self.parts.update(zip(rest, found))
         odd, known = iter(found[len(rest) :]), self.parts.__getitem__
-        return [next(odd) if parts is None else b"".join(map(known, parts)) for parts in cut]
+        out = [next(odd) if parts is None else b"".join(map(known, parts)) for parts in cut]
+        for p in long:
+            del self.parts[p]
+        self.held += 200 * (len(new) - len(long))  # a short text, its ids and their place take so many bytes
+        return out
 
 
 def _signs() -> list[str]:
