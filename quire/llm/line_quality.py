@@ -20,11 +20,13 @@ SPACES = "\t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 8
-#: Both ignore the case of A-Z only, and hold for Java's regular expressions and RE2.
+#: Both ignore the case of A-Z only. A line of navigation has a word of it first, and other words only behind
+#: a separator. Each part takes all it can (the + in Java; RE2 needs no mark), so lines of any length take
+#: linear time.
 NAVIGATION = (
-    r"^[^a-z]*(home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|subscribe|next( page)?|prev(ious)?( page)?|back to top|"
+    r"^[^a-z]*{all}(home|menu|search|log ?in|log ?out|sign ?in|sign ?up|register|subscribe|next( page)?|prev(ious)?( page)?|back to top|"
     r"share( this)?|skip to (main )?content|read more|contact( us)?|about( us)?|site ?map|faq|help|top)"
-    r"( *[|>/] *[a-z ]{1,24}){0,12}[^a-z]*$"
+    r"( *[|>/][a-z |>/]*{all})?[^a-z]*{all}$"
 )
 BOILERPLATE = (
     r"all rights reserved|(accept|use|uses|of|our) cookies|cookie policy|enable javascript|javascript is (disabled|required)|"
@@ -121,7 +123,7 @@ def _fails(line, symbols, shouts, boiler, symbols_per_word: float, shouts_per_wo
         (symbols & many(r"[#*$%&|<>]", symbols_per_word))
         | (shouts & many("!", shouts_per_word))
         | (~reduce(or_, (F.contains(line, F.lit(x)) for x in ".,;:!?")) & (words >= bare_words))
-        | ((F.length(line) <= 400) & line.rlike("(?i)" + NAVIGATION))
+        | line.rlike("(?i)" + NAVIGATION.replace("{all}", "+"))
         | (boiler & line.rlike("(?i)" + BOILERPLATE))
     )
 
@@ -156,7 +158,7 @@ lines AS (
 lost AS (
   SELECT doc_id, sum(length(translate(l, ' ' || {_WS}, ''))) AS n FROM lines
   WHERE (sy >= 3 AND sy >= nw * 0.3) OR (ex >= 3 AND ex >= nw * 0.5) OR (nw >= 10 AND pu = 0)
-     OR (length(l) <= 400 AND regexp_matches(low, '{NAVIGATION}')) OR regexp_matches(low, '{BOILERPLATE}')
+     OR regexp_matches(low, '{NAVIGATION.replace("{all}", "")}') OR regexp_matches(low, '{BOILERPLATE}')
   GROUP BY doc_id),
 f AS (
   SELECT b.doc_id, len(w) AS n_words, word_chars, n_symbols, len(ln) - len(list_distinct(ln)) AS n_dup_lines,
