@@ -1,11 +1,14 @@
 """Personal data: base detectors, and bootstrapped contextual extraction of what they miss.
 
 The base spans are the seeds. Their contexts, the one and the two words before them, are lexical
-patterns; so are those of candidates, tokens that look like an identifier but are no base span. Spark
-holds the graph of patterns and instances (normalised values) and scores it in rounds: a pattern's
-confidence for a kind is the known instances' share of all places where its words stand in the whole
-corpus, and it needs MIN_SUPPORT different known values; an instance becomes known if one of its
-patterns reaches MIN_CONFIDENCE. Candidates behind such patterns are added to the spans.
+patterns; so are those of candidates, texts that look like an identifier but are no base span: numbers of
+7 to 19 digits, addresses with `at` and `dot` spelt in brackets, IPv4 addresses with their points so
+bracketed, and IPv6 ones. Words are runs of letters, here and where patterns are counted, so `tel:` is the
+word `tel`. Spark holds the graph of patterns and instances (normalised values) and scores it in rounds,
+until nothing new becomes known: a pattern's confidence for a kind is the known instances' share of all
+places where its words stand in the whole corpus, and it needs MIN_SUPPORT different known values; an
+instance becomes known if one of its patterns reaches MIN_CONFIDENCE. Candidates behind such patterns are
+added to the spans.
 
 A pattern is counted over the corpus only if enough values stand behind it. The tasks get these
 patterns as a bit set of fixed size (BITS), whose false hits a join removes, so what is broadcast doesn't
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,16 +39,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from quire.llm.common import slices, table, written
 
 KINDS = ("email", "ip", "card", "phone")
-MIN_SUPPORT, MIN_CONFIDENCE, ROUNDS, BITS = 5, 0.8, 3, 1 << 20
+MIN_SUPPORT, MIN_CONFIDENCE, BITS = 5, 0.8, 1 << 20
+#: Digits that a candidate number has: those of a local phone number to those of the longest card.
+DIGITS = range(7, 20)
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: Identifier-like text that base detectors may have passed over.
-NUMBER = re.compile(r"(?<![\w.])[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9]){6,24}(?![\w])")
-SPELT = re.compile(r"(?i)[A-Za-z0-9._%+-]{1,64} ?[\[(] ?at ?[\])] ?[A-Za-z0-9-]{1,64}(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[A-Za-z0-9-]{1,64}){1,4}")
+#: Identifier-like text that base detectors may have passed over. None of these reads a text's part twice.
+NUMBER = re.compile(r"(?<![\w.])[+(]?[0-9](?:[\x20().:/-]{0,2}[0-9])++")
+SPELT_AT = re.compile(r"(?i) ?[\[(] ?at ?[\])] ?")
+SPELT_DOMAIN = re.compile(r"(?i)[a-z0-9-]++(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[a-z0-9-]++)+")
+SPELT_IP = re.compile(r"(?i)(?<![\w.])[0-9]{1,3}(?: ?[\[(] ?(?:\.|dot) ?[\])] ?[0-9]{1,3}){3}(?![\w.])")
+WIDE_IP = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:])")
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def luhn(digits: str) -> bool:
@@ -86,24 +96,76 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _numbers(text: str) -> Iterator[tuple[str, int, int]]:
+    for m in NUMBER.finditer(text):
+        start, end = m.span()
+        if end < len(text) and (text[end].isalnum() or text[end] == "_"):  # its last digits belong to a word
+            while end > start and text[end - 1].isdigit():
+                end -= 1
+            while end > start and not text[end - 1].isdigit():
+                end -= 1
+        digits = sum(map(str.isdigit, text[start:end]))
+        if digits in DIGITS:
+            yield "card" if digits > 12 else "phone", start, end
+
+
+def _spelt_emails(text: str) -> Iterator[tuple[str, int, int]]:
+    done = 0
+    for m in SPELT_AT.finditer(text):
+        start = m.start()
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < m.start() and (domain := SPELT_DOMAIN.match(text, m.end())):
+            yield "email", start, domain.end()
+            done = domain.end()
+
+
 def _candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     out = []
-    spans = sorted((a, b) for _, a, b in taken)
-    for m in NUMBER.finditer(text):
-        digits = sum(map(str.isdigit, m.group()))
-        out.append(("card" if digits > 12 else "phone", *m.span()))
-    if "at" in text and ("[" in text or "(" in text):
-        out += [("email", *m.span()) for m in SPELT.finditer(text)]
-    return [x for x in out if not any(a < x[2] and x[1] < b for a, b in spans)]
+    if "[" in text or "(" in text:
+        out += _spelt_emails(text)
+        out += [("ip", *m.span()) for m in SPELT_IP.finditer(text)]
+    if text.count(":") >= 7:
+        out += [("ip", *m.span()) for m in WIDE_IP.finditer(text)]
+    out = _outside(out, taken)
+    return out + _outside(list(_numbers(text)), taken + out)
+
+
+def _outside(found: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The places of found that overlap none of the taken ones."""
+    if not found or not taken:
+        return found
+    starts, ends = [], []  # of the taken places, joined where they overlap
+    for a, b in sorted((a, b) for _, a, b in taken):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    free = lambda a, b: not (i := bisect_left(starts, b)) or ends[i - 1] <= a
+    return [x for x in found if free(x[1], x[2])]
 
 
 def _value(kind: str, text: str) -> str:
-    return text.lower() if kind == "email" else "".join(c for c in text if c.isdigit())
+    if kind == "email":
+        return text.lower()
+    return "".join(c for c in text.lower() if c.isdigit() or kind == "ip" and c in "abcdef:")
 
 
-def _contexts(text: str, start: int) -> list[str]:
-    before = text[max(0, start - 100) : start].lower().split()
-    return [" ".join(before[-n:]) for n in (1, 2) if len(before) >= n]
+def _contexts(text: str, starts: list[int]) -> list[list[str]]:
+    """For each place that begins at one of starts: the word before it, and the two words."""
+    if not starts:
+        return []
+    words = [(m.end(), m.group().lower()) for m in WORD.finditer(text, 0, max(starts))]
+    ends = [end for end, _ in words]
+    out = []
+    for start in starts:
+        n = bisect_right(ends, start)
+        if n and n == len(ends) and ends[-1] == start and start < len(text) and WORD.match(text[start]):
+            n -= 1  # the place begins within a word
+        before = [w for _, w in words[max(0, n - 2) : n]]
+        out.append([" ".join(before[-k:]) for k in (1, 2) if len(before) >= k])
+    return out
 
 
 def _bit(pattern: str) -> int:
@@ -124,12 +186,12 @@ def scan_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for text in part.column(1).to_pylist():
                 text = text or ""
                 seeds = base_spans(text)
-                rest = _candidates(text, seeds)
+                every = seeds + _candidates(text, seeds)
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in seeds])
                 instances.append(
                     [
-                        {"kind": k, "start": a, "end": b, "seed": i < len(seeds), "value": _value(k, text[a:b]), "patterns": _contexts(text, a)}
-                        for i, (k, a, b) in enumerate(seeds + rest)
+                        {"kind": k, "start": a, "end": b, "seed": i < len(seeds), "value": _value(k, text[a:b]), "patterns": before}
+                        for i, ((k, a, b), before) in enumerate(zip(every, _contexts(text, [a for _, a, _ in every])))
                     ]
                 )
             n = part.num_rows
@@ -146,30 +208,37 @@ def count_patterns(df: DataFrame, text_col: str, bits: bytes) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags = np.unpackbits(np.frombuffer(shared.value, np.uint8), bitorder="little")
-        firsts: dict[str, bool] = {}
+        known: dict[str, str | None] = {}  # a word in lower case, or None if it isn't marked
         for part in slices(batches):
             found: Counter = Counter()
-            if len(firsts) > 300_000:
-                firsts.clear()
+            if len(known) > 300_000:
+                known.clear()
             for text in part.column(0).to_pylist():
-                words = (text or "").lower().split()
+                words = WORD.findall(text or "")
                 # a two-word pattern counts only behind a last word that is itself marked
                 for i, w in enumerate(words):
-                    hit = firsts.get(w)
-                    if hit is None:
-                        hit = firsts[w] = bool(flags[_bit(w)])
-                    if hit:
-                        found[w] += 1
+                    if w in known:
+                        hit = known[w]
+                    else:
+                        low = w.lower()
+                        hit = low if flags[_bit(low)] else None
+                        if len(w) < 64:
+                            known[w] = hit
+                    if hit is not None:
+                        found[hit] += 1
                         if i:
-                            found[f"{words[i - 1]} {w}"] += 1
+                            found[f"{words[i - 1].lower()} {hit}"] += 1
             rows = [(p, n) for p, n in found.items() if " " not in p or flags[_bit(p)]]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], names=["pattern", "n"])
 
     return df.select(text_col).mapInArrow(run, "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("total"))
 
 
-def confident_patterns(scanned: DataFrame, df: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(kind, pattern, confidence) of the patterns that reach min_confidence after the rounds."""
+def confident_patterns(scanned: DataFrame, df: DataFrame, text_col: str = "text", min_support: int = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """(kind, pattern, confidence) of the patterns that reach min_confidence when nothing new becomes known.
+
+    What is known only grows, so the rounds end; the driver gets a count a round.
+    """
     spark = df.sparkSession
     places = scanned.select(F.explode("instances").alias("i")).select("i.kind", "i.value", "i.seed", F.explode("i.patterns").alias("pattern"))
     edges = places.groupBy("kind", "pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
@@ -184,16 +253,16 @@ def confident_patterns(scanned: DataFrame, df: DataFrame, text_col: str = "text"
         totals = written(count_patterns(df, text_col, np.packbits(bits, bitorder="little").tobytes()), "totals")
     else:
         totals = spark.createDataFrame([], "pattern string, total long")
-    known = edges.where("seed").select("kind", "value").distinct()
-    scores = None
-    for _ in range(rounds):
+    known = written(edges.where("seed").select("kind", "value").distinct(), "known")
+    count = known.count()
+    while True:
         held = edges.join(known, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("n").alias("held"), F.count("*").alias("support"))
         scores = held.where(F.col("support") >= min_support).join(totals, "pattern").select("kind", "pattern", F.least(F.lit(1.0), F.col("held") / F.col("total")).alias("confidence"))
         scores = written(scores.where(F.col("confidence") >= min_confidence), "scores")
-        if not scores.take(1):
-            break
         known = written(known.unionByName(edges.join(scores, ["kind", "pattern"]).select("kind", "value")).distinct(), "known")
-    return scores
+        before, count = count, known.count()
+        if count == before:
+            return scores
 
 
 def discovered(scanned: DataFrame, scores: DataFrame) -> DataFrame:
