@@ -2,8 +2,9 @@
 
 A template is a licence's mandatory words with marked regions: `[words]` may be missing, `{n}` stands
 for up to n words of any kind, `(a|b)` is one of the choices. Each is compiled to an automaton over
-words; a place in a text is accepted if the automaton reads the mandatory wording exactly. Beside the
-templates stand the base phrases, whose every place is counted.
+words; a place in a text is accepted if the automaton reads the mandatory wording exactly. There are
+whole texts (label ending in -text, score 1), headers and notices, and openings, which say less (0.7).
+Beside the templates stand the base phrases, whose every place is counted.
 
 Words are lower-cased (A-Z) runs of ASCII letters and digits and of all other characters outside ASCII.
 
@@ -20,6 +21,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm import license_texts
 from quire.llm.common import map_rows, table
 
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
@@ -38,9 +40,15 @@ TEMPLATES: tuple[tuple[str, float, tuple[str, ...]], ...] = (
     ("cc0", 0.95, ("(cc0|cc zero) [1 0] [universal]",)),
     ("mpl-2.0", 0.95, ("mozilla public license", "[version|v] 2 0")),
     ("unlicense", 0.95, ("free and unencumbered software", "released into the public domain")),
-    ("mit-text", 1.0, ("permission is hereby granted", "free of charge to any person", "obtaining a copy of this", "software and associated documentation files", "the software", "to deal in the software", "without restriction")),
-    ("isc", 1.0, ("permission to use copy modify", "and [or] distribute this software", "for any purpose with or without fee", "is hereby granted")),
-    ("bsd", 1.0, ("redistribution and use in source", "and binary forms", "with or without modification", "are permitted provided that", "the following conditions are met")),
+    ("mit-text", 1.0, license_texts.MIT),
+    ("isc-text", 1.0, license_texts.ISC),
+    ("bsd-2-text", 1.0, license_texts.BSD_2),
+    ("bsd-3-text", 1.0, license_texts.BSD_3),
+    ("apache-2.0-text", 1.0, license_texts.APACHE_2),
+    # openings alone: whatever follows may have been altered
+    ("mit-opening", 0.7, license_texts.MIT[:6]),
+    ("isc-opening", 0.7, license_texts.ISC[:2]),
+    ("bsd-opening", 0.7, license_texts.BSD_2[:3]),
     ("copyright-reserved", 0.6, ("copyright [c] {6} all rights reserved",)),
 )
 #: A text without any of these has no place where a phrase or template could stand. Each is within one word,
