@@ -1,11 +1,16 @@
 """Byte-level BPE by a lazily determinised finite-state transducer; streaming decode.
 
 A token sequence is a piece's BPE encoding exactly if each two neighbours are what the merges leave
-side by side, so encoding is a finite-state relation: a configuration is the last token and the trie
-node of the bytes read since. The subset construction runs lazily: a state is a set of configurations
-with the tokens not yet agreed on, and a step emits what all of them share. No configuration waits
-longer than the longest token, which bounds the lookahead. States and cached words are dropped when
-there are too many, so memory stays bounded for any text.
+side by side, so encoding is a finite-state relation: a configuration is the last token, the trie node
+of the bytes read since, and the tokens that not all configurations agree on. The subset construction
+runs lazily: a state is a set of configurations, a move's output is the tokens that all of them have come
+to share, and these are emitted at once, before the piece ends. A configuration lasts no longer than the
+longest token, so tokens wait for few bytes. States and cached words are dropped when there are too many,
+so memory stays bounded for any text.
+
+Decoding streams too: an automaton over bytes knows where characters end, and what is left of one after
+a token is kept for the next. Bytes that are no UTF-8 become U+FFFD, one for each longest beginning of a
+character.
 
 Defined cases: a null text is an empty one (no tokens); each row, repeated or with a null id, gives
 its own row; an empty table gives an empty one; other columns are not read, so names can't clash.
@@ -14,6 +19,7 @@ its own row; an empty table gives an empty one; other columns are not read, so n
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -37,12 +43,13 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class Transducer:
-    """Compiled merges. encode() takes one piece of the pre-splitting pattern and returns packed ids."""
+    """Compiled merges. encode() takes one piece of the pre-splitting pattern and returns packed ids;
+    a Stream takes a piece's bytes as they come and returns ids as soon as they are sure."""
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.length = {i: len(b) for b, i in ranks.items()}
+        self.longest_whole = 0
         self.packed = {i: int(i).to_bytes(4, "little") for i in ranks.values()}
         self.split: dict[int, tuple[int, int]] = {}
         self.pair: dict[tuple[int, int], int] = {}
@@ -55,6 +62,7 @@ class Transducer:
             else:
                 parts = self._merged(token, rank)
                 if len(parts) != 2:
+                    self.longest_whole = max(self.longest_whole, len(token))
                     continue  # never what merging leaves, except for a whole piece
                 self.split[rank] = parts
                 self.pair[parts] = rank
@@ -118,34 +126,52 @@ class Transducer:
                     b = left
 
     def _reset(self) -> None:
-        self.states: list[tuple[tuple[int, int], ...]] = [((-1, 0),)]
+        self.states: list[tuple] = [((-1, 0, ()),)]
         self.ids: dict[tuple, int] = {self.states[0]: 0}
-        self.label: list[int] = [-1]
-        self.moves: dict[int, int] = {}
+        self.rest: list[bytes] = [b""]
+        self.moves: dict[int, tuple[int, bytes]] = {}
 
-    def _state(self, key: tuple) -> int:
+    def state(self, key: tuple) -> int:
         found = self.ids.get(key)
         if found is None:
             found = self.ids[key] = len(self.states)
             self.states.append(key)
-            self.label.append(next(last for last, node in key if node == 0))
+            self.rest.append(b"".join(self.packed[t] for t in next(waiting for _, node, waiting in key if node == 0)))
         return found
 
-    def _step(self, state: int, byte: int) -> int:
-        """The state after byte: every configuration's next ones. One of them has just ended a token."""
+    def _step(self, state: int, byte: int) -> tuple[int, bytes]:
+        """The state after byte, every configuration's next ones, and the ids that they now share. One of
+        the configurations has just ended a token."""
         nxt = []
-        for last, node in self.states[state]:
+        for last, node, waiting in self.states[state]:
             child = self.node.get(node << 8 | byte)
             if child is not None:
                 token = self.token_at[child]
                 if token >= 0 and (last < 0 or self._side_by_side(last, token)):
-                    nxt.append((token, 0))
+                    nxt.append((token, 0, (*waiting, token)))
                 if self.below[child]:
-                    nxt.append((last, child))
-        nxt.sort()
-        found = self.moves[state << 8 | byte] = self._state(tuple(nxt))
+                    nxt.append((last, child, waiting))
+        sure = os.path.commonprefix([waiting for _, _, waiting in nxt])
+        key = tuple(sorted((last, node, waiting[len(sure) :]) for last, node, waiting in nxt))
+        found = self.moves[state << 8 | byte] = self.state(key), b"".join(map(self.packed.__getitem__, sure))
         return found
 
+    def advance(self, state: int, data: bytes) -> tuple[int, list[bytes]]:
+        """The state after data, and the ids that have become sure."""
+        moves, out = self.moves, []
+        for byte in data:
+            move = moves.get(state << 8 | byte)
+            if move is None:
+                if len(self.states) > 2 * self.max_states:  # within one very long piece
+                    key = self.states[state]
+                    self._reset()
+                    state, moves = self.state(key), self.moves
+                move = self._step(state, byte)
+            state, sure = move
+            if sure:
+                out.append(sure)
+        return state, out
+
     def encode(self, piece: bytes) -> bytes:
         """The piece's ids as little-endian unsigned 32-bit integers."""
         whole = self.ranks.get(piece)
@@ -155,26 +181,36 @@ class Transducer:
             self.fits.clear()
         if len(self.states) > self.max_states:
             self._reset()
-        state, moves, label, ends = 0, self.moves, self.label, []
-        for byte in piece:
-            to = moves.get(state << 8 | byte)
-            if to is None:
-                if len(self.states) > 2 * self.max_states:  # within one very long piece
-                    key = self.states[state]
-                    self._reset()
-                    state, moves, label = self._state(key), self.moves, self.label
-                to = self._step(state, byte)
-            state = to
-            ends.append(label[state])
-        out, at = [], len(ends)
-        while at:
-            token = ends[at - 1]
-            out.append(self.packed[token])
-            at -= self.length[token]
-        out.reverse()
+        state, out = self.advance(0, piece)
+        out.append(self.rest[state])
         return b"".join(out)
 
 
+class Stream:
+    """One piece, byte by byte. Ids are held back only while the piece may still be a token that merging
+    never leaves, which a piece is as a whole."""
+
+    def __init__(self, transducer: Transducer):
+        self.transducer, self.key, self.begun, self.held = transducer, transducer.states[0], b"", b""
+
+    def feed(self, data: bytes) -> bytes:
+        t = self.transducer
+        state, out = t.advance(t.state(self.key), data)
+        self.key = t.states[state]
+        self.held += b"".join(out)
+        if len(self.begun) <= t.longest_whole:
+            self.begun += data[: t.longest_whole + 1]
+        if len(self.begun) <= t.longest_whole:
+            return b""
+        sure, self.held = self.held, b""
+        return sure
+
+    def end(self) -> bytes:
+        t = self.transducer
+        whole = t.ranks.get(self.begun) if len(self.begun) <= t.longest_whole else None
+        return self.held + t.rest[t.state(self.key)] if whole is None else t.packed[whole]
+
+
 def cut_at_spaces(text: str) -> list[str] | None:
     """The text in parts that no piece of the pattern crosses, or None where cutting isn't that simple."""
     for odd in ODD_ASCII if text.isascii() else ODD_ASCII + ODD_WIDE:
@@ -211,6 +247,9 @@ class Encoder:
         self.pieces = regex.compile(pattern).findall
         self.words = Words(self._parts)
         self.table = [self.transducer.bytes_of.get(i, b"") for i in range(max(self.transducer.bytes_of) + 1)]
+        #: A token's text if it is of whole characters, else None.
+        self.texts = [b.decode() if _whole(b) else None for b in self.table]
+        self.of_whole = np.array([t is not None for t in self.texts])
 
     def _parts(self, text: str) -> bytes:
         return b"".join([self.transducer.encode(p.encode()) for p in self.pieces(text)])
@@ -226,35 +265,81 @@ class Encoder:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
+#: (first bytes, bytes that may follow, state after one of these); state 0 is between characters, and 1 and 2
+#: wait for one and for two bytes of any kind.
+LEADS = ((0xC2, 0xDF, 0x80, 0xBF, 0), (0xE0, 0xE0, 0xA0, 0xBF, 1), (0xE1, 0xEC, 0x80, 0xBF, 1), (0xED, 0xED, 0x80, 0x9F, 1), (0xEE, 0xEF, 0x80, 0xBF, 1),
+         (0xF0, 0xF0, 0x90, 0xBF, 2), (0xF1, 0xF3, 0x80, 0xBF, 2), (0xF4, 0xF4, 0x80, 0x8F, 2))
+
+
+def _automaton() -> list[list[int]]:
+    """The state after each byte in each state; -1 where no character goes on so."""
+    moves = [[0] * 128 + [-1] * 128] + [[-1] * 256 for _ in range(2 + len(LEADS))]
+    for state in (1, 2):
+        moves[state][0x80:0xC0] = [state - 1] * 64
+    for state, (low, high, least, most, to) in enumerate(LEADS, 3):
+        moves[0][low : high + 1] = [state] * (high + 1 - low)
+        moves[state][least : most + 1] = [to] * (most + 1 - least)
+    return moves
+
+
+UTF8 = _automaton()
+
+
+def _whole(data: bytes) -> bool:
+    """Whether data is of whole characters."""
+    state = 0
+    for byte in data:
+        state = UTF8[state][byte]
+        if state < 0:
+            return False
+    return state == 0
+
+
 class Utf8Machine:
-    """Incremental UTF-8: feed() gives the text complete so far and keeps an unfinished character's bytes."""
+    """Incremental UTF-8: feed() gives the characters that data completes, and keeps an unfinished one."""
 
     def __init__(self):
-        self.pending = b""
+        self.state, self.begun = 0, bytearray()
 
     def feed(self, data: bytes) -> str:
-        data = self.pending + data
-        cut = len(data)
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 != 0x80:  # a first byte: how many must follow?
-                need = 1 + (byte >= 0xC0) + (byte >= 0xE0) + (byte >= 0xF0)
-                if need > back:
-                    cut -= back
-                break
-        self.pending = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        state, begun, out = self.state, self.begun, []
+        for byte in data:
+            to = UTF8[state][byte]
+            if to < 0 and state:  # the character before breaks off; the byte may begin another
+                out.append("\ufffd")
+                begun.clear()
+                to = UTF8[0][byte]
+            if to < 0:
+                out.append("\ufffd")
+                to = 0
+            else:
+                begun.append(byte)
+                if not to:
+                    out.append(begun.decode())
+                    begun.clear()
+            state = to
+        self.state = state
+        return "".join(out)
 
     def end(self) -> str:
-        rest, self.pending = self.pending, b""
-        return rest.decode("utf-8", "replace")
+        broken, self.state = bool(self.begun), 0
+        self.begun.clear()
+        return "\ufffd" if broken else ""
 
 
 def stream_decode(encoder: Encoder, packed: bytes, at_once: int = 4096) -> Iterator[str]:
     """The text of packed ids, at_once ids at a time, never cutting a character."""
-    machine = Utf8Machine()
+    machine, texts, table = Utf8Machine(), encoder.texts, encoder.table
     for i in range(0, len(packed), 4 * at_once):
-        yield machine.feed(encoder.decode(packed[i : i + 4 * at_once]))
+        ids = np.frombuffer(packed[i : i + 4 * at_once], "<u4")
+        if not machine.state and encoder.of_whole[ids].all():
+            yield "".join(map(texts.__getitem__, ids.tolist()))
+            continue
+        out = []
+        for k in ids.tolist():
+            text = texts[k]
+            out.append(text if text is not None and not machine.state else machine.feed(table[k]))
+        yield "".join(out)
     yield machine.end()
 
 
@@ -284,5 +369,3 @@ def query(spark, sf_dir: str) -> DataFrame:
 
     d = encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return d.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
-
-
