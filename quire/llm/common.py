@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -33,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only on a single machine, as in tests, one is
+    set here where that is unset."""
     small_batches(spark)
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -48,12 +52,25 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back: its lineage ends there."""
+def written(df: DataFrame, name: str, *over: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, read back: its lineage ends there. Tables written before that
+    nothing else needs any more are given as over, and deleted."""
     spark = df.sparkSession
     path = fresh_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quire_path = path
+    for old in over:
+        fs, at = filesystem(old._quire_path)
+        fs.delete_dir(at)
+    return out
+
+
+def settle(spark: SparkSession) -> None:
+    """Shuffle files of finished stages go when the driver collects its garbage. That is done here, so
+    that they don't pile up until its memory is full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:

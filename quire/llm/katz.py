@@ -1,18 +1,26 @@
-"""Language-model scoring: a Katz backoff bigram model with Good-Turing discounts.
+"""Language-model scoring: a Katz backoff trigram model with Good-Turing discounts.
 
 A text's tokens are its lower-cased (A-Z) words and one end. Counts of one to K are discounted by
-Good-Turing, and what a context's seen words give up is spread over the others in proportion to their
-unigram probability, with a weight that makes the context's probabilities sum to one exactly. A
-unigram's own discounts go to one unknown word. A token is evaluated recursively: its bigram if that
-was seen, else its context's weight times its unigram, else the unknown word.
+Good-Turing, and what a context's seen words give up is spread over the others in proportion to the
+probability that the next lower order gives them, with a weight that makes the context's probabilities
+sum to one exactly. A unigram's own discounts go to one unknown word. A token is evaluated recursively:
+its trigram if that was seen, else its two words' weight times its bigram if that was seen, else the last
+word's weight times its unigram, else the unknown word. A text's first token has its start as its only
+context.
 
 Tokens aren't shuffled one by one. Tasks gather documents in chunks of at most CHUNK tokens, written to
-the shared folder with their tokens as numbers. A chunk asks for each of its different n-grams once: the
-keys (64-bit hashes) go to the table partition that owns their range, which sums the counts of all
-chunks, counts the counts and answers in the order asked. A second exchange does the same for the
-contexts' weights: each n-gram is accounted for by one of the chunks that hold it. Partitions are cut so
-that each holds about PART keys asked for; a hot n-gram is asked for once a chunk, not once a token.
-Each exchange's answers are written as a table, so lost executors cost one exchange at most.
+the shared folder with their tokens as numbers. For each order in turn, a chunk asks for its different
+n-grams once: their keys (64-bit hashes) go in blocks to the table partition that owns their range, which
+sums the counts of all chunks, counts the counts and answers in the order asked. A last exchange gives
+the contexts' weights: each n-gram is accounted for by one of the chunks that hold it, only contexts that
+held-out text or high counts can need are accounted for, and chunks ask for those they need. Partitions
+are cut so that each holds about PART keys asked for; a hot n-gram is asked for once a chunk, not once a
+token. A block is a row: there are (chunks x partitions) of them as long as blocks are full, and never
+more than different n-grams of each chunk, so rows grow in proportion to the text at most. Each exchange's
+answers are written as a table, so lost executors cost one exchange at most.
+
+Of n different n-grams, n^2 / 2^65 pairs share a hash: none is expected below 6e9, and at 1e13 one n-gram
+in four million takes part in one. Such a pair counts as one n-gram, in all orders and in V.
 
 Defined cases: a null or empty text is its end alone; a null id counts as an empty text in the fold;
 repeated rows are scored alike; without training tokens every token has probability one. An empty table
@@ -23,7 +31,7 @@ from __future__ import annotations
 
 import io
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,17 +39,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import filesystem, fold, fresh_dir, slices, table, written
+from quire.llm.common import filesystem, fold, fresh_dir, settle, slices, table, written
 
-FOLDS, HELD_OUT = 7, 2
+FOLDS, HELD_OUT, ORDER = 7, 2, 3
 CHUNK, PART, K = 1_000_000, 1_500_000, 5
 END, START = np.uint64(1), np.uint64(2)
+#: A task's chunks are numbered from its partition's number times this.
+CHUNKS_PER_TASK = 1 << 20
+#: Kinds of rows: a chunk's place, counts of order 1, 2 and 3, and weights of contexts of one and two words.
+PLACE, COUNTS, WEIGHTS = 0, (1, 2, 3), (4, 5)
+ASKED = "part long, chunk long, kind int, at long, keys binary, x binary, y binary"
+ANSWERED = "chunk long, kind int, at long, x binary, y binary, z binary, stats array<double>"
 
 
 def planes(numbers: np.ndarray) -> bytes:
     """Numbers with their first bytes together, then their second ones, and so on: short once compressed."""
-    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes()
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
 
 
 def unplanes(data: bytes, kind: str) -> np.ndarray:
@@ -84,57 +100,79 @@ class Chunk:
         starts = np.cumsum([0, *(len(t) for t in tokens)])
         return cls(words[order], rank[np.concatenate(tokens)], starts, np.array([h for _, h in docs]), [i for i, _ in docs])
 
-    def save(self, path: str) -> None:
+    def save(self, path: str) -> int:
         fs, at = filesystem(path)
-        data = io.BytesIO()
-        np.savez(data, words=np.frombuffer(pack_keys(self.words), np.uint8), tokens=np.frombuffer(planes(self.tokens), np.uint8), starts=self.starts, held=self.held)
+        data, ids = io.BytesIO(), pa.array(self.ids, pa.int64())
+        known = ids.is_valid().to_numpy(zero_copy_only=False)
+        np.savez(
+            data, words=np.frombuffer(pack_keys(self.words), np.uint8), tokens=np.frombuffer(planes(self.tokens), np.uint8), starts=self.starts, held=self.held,
+            ids=ids.fill_null(0).to_numpy(), known=known,
+        )
         with fs.open_output_stream(at, compression=None) as f:
             f.write(pa.compress(data.getvalue(), codec="zstd", asbytes=True))
-        self.size = data.getbuffer().nbytes
+        return data.getbuffer().nbytes
 
     @classmethod
-    def load(cls, path: str, size: int, ids: list) -> Chunk:
+    def load(cls, path: str, size: int) -> Chunk:
         fs, at = filesystem(path)
         with fs.open_input_stream(at, compression=None) as f:
             data = np.load(io.BytesIO(pa.decompress(f.read(), size, codec="zstd", asbytes=True)))
+        ids = [i if known else None for i, known in zip(data["ids"].tolist(), data["known"].tolist())]
         return cls(unpack_keys(data["words"].tobytes()), unplanes(data["tokens"].tobytes(), "u4"), data["starts"], data["held"], ids)
 
-    def index(self) -> None:
-        """The chunk's different bigrams, sorted by key, with their training counts; every token's bigram."""
-        n = len(self.tokens)
-        before = np.empty(n, np.uint32)
-        before[1:] = self.tokens[:-1]
-        before[self.starts[:-1]] = int(np.searchsorted(self.words, START))
-        self.train = np.repeat(~self.held, np.diff(self.starts))
-        pair = before.astype(np.int64) << 32 | self.tokens
-        distinct, self.bigram = np.unique(pair, return_inverse=True)
-        counts = np.bincount(self.bigram, self.train, len(distinct)).astype(np.uint32)
-        first, second = (distinct >> 32).astype(np.uint32), (distinct & 0xFFFFFFFF).astype(np.uint32)
-        keys = pair_keys(self.words[first], self.words[second])
-        order = np.argsort(keys, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.bigram = place[self.bigram]
-        self.keys, self.counts, self.first, self.second = keys[order], counts[order], first[order], second[order]
-        self.word_counts = np.bincount(self.tokens[self.train], minlength=len(self.words)).astype(np.uint32)
-        self.word_counts[int(np.searchsorted(self.words, START))] = int((~self.held).sum())
+    def index(self, order: int = ORDER) -> None:
+        """The chunk's different n-grams up to an order: keys (sorted), training counts, whether held-out
+        text has them; their first part (the context) and last word; each token's n-gram."""
+        n, start = len(self.tokens), int(np.searchsorted(self.words, START))
+        firsts = self.starts[:-1]
+        held = np.repeat(self.held, np.diff(self.starts))
+        self.keys, self.counts, self.asked = {1: self.words}, {}, {}
+        self.first, self.last, self.of = {}, {}, {1: self.tokens}
+        self.counts[1] = np.bincount(self.tokens[~held], minlength=len(self.words)).astype(np.uint32)
+        self.counts[1][start] = int((~self.held).sum())
+        self.asked[1] = np.zeros(len(self.words), bool)
+        self.inner = np.ones(n, bool)  # tokens with two words before them, of which one may be the start
+        self.inner[firsts] = False
+        for k in range(2, order + 1):
+            before = np.empty(n, np.int64)
+            before[1:] = self.of[k - 1][:-1]
+            where = slice(None)
+            if k == 2:
+                before[firsts] = start
+            else:
+                where = self.inner
+            pair = before[where] << 32 | self.tokens[where]
+            distinct, at, back = np.unique(pair, return_index=True, return_inverse=True)
+            first, last = (distinct >> 32).astype(np.uint32), (distinct & 0xFFFFFFFF).astype(np.uint32)
+            keys = pair_keys(self.keys[k - 1][first], self.words[last])
+            by_key = np.argsort(keys, kind="stable")
+            rank = np.empty(len(by_key), np.int64)
+            rank[by_key] = np.arange(len(by_key))
+            self.keys[k], self.first[k], self.last[k] = keys[by_key], first[by_key], last[by_key]
+            out = held[where]
+            self.counts[k] = np.bincount(back, ~out, len(distinct)).astype(np.uint32)[by_key]
+            self.asked[k] = (np.bincount(back, out, len(distinct)) > 0)[by_key]
+            self.of[k] = np.full(n, -1, np.int64)
+            self.of[k][where] = rank[back]
+            if k == 3:  # the bigram of a trigram's last two words, and its own middle word
+                self.tail = self.of[2][where][at][by_key]
 
 
 def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
-    """(path, size, tokens, words, ids): the chunks, written to the shared folder."""
+    """(chunk, path, size, tokens, words): the chunks, written to the shared folder."""
     out = fresh_dir(df.sparkSession, "chunks")
     fs, root = filesystem(out)
     fs.create_dir(root, recursive=True)
+    schema = "chunk long, path string, size long, tokens long, words long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, numbers, tokens, total = [], {}, [], 0
+        docs, numbers, tokens, total, task = [], {}, [], 0, TaskContext.get().partitionId()
+        serial = task * CHUNKS_PER_TASK
 
         def flush() -> pa.RecordBatch:
             made = Chunk.of(docs, numbers, tokens)
-            path = f"{out}/{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}"
-            made.save(path)
-            row = [[path], [made.size], [total], [len(made.words)], [made.ids]]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())))], names=["path", "size", "tokens", "words", "ids"])
+            path = f"{out}/{task:05d}-{uuid.uuid4().hex}"
+            return _batch([(serial, path, made.save(path), total, len(made.words))], schema)
 
         for part in slices(batches):
             for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
@@ -147,70 +185,85 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -
                 total += len(found)
                 if total >= chunk:
                     yield flush()
-                    docs, numbers, tokens, total = [], {}, [], 0
+                    docs, numbers, tokens, total, serial = [], {}, [], 0, serial + 1
         if docs:
             yield flush()
 
-    d = df.select(F.col(id_col).cast("long"), text_col)
-    return written(d.mapInArrow(run, "path string, size long, tokens long, words long, ids array<long>"), "chunk-list")
+    return written(df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema), "chunk-list")
 
 
-def _cut(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(partition, from, to) of sorted keys by their first bits, without empty ones."""
-    edges = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(0, np.int64)
-    edges = [0, *edges.tolist(), len(keys)]
-    return [(p, a, b) for p, (a, b) in enumerate(zip(edges, edges[1:])) if a < b]
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list, schema: str) -> pa.RecordBatch:
+    arrow = pa.schema([(name, ARROW[kind]) for name, kind in map(str.split, schema.split(", "))])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [()] * len(arrow), arrow)], schema=arrow)
+
 
+def _blocks(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """(partition, from, to) of sorted keys by their first bits, without empty ones."""
+    if not len(keys):
+        return []
+    parts = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    edges = np.flatnonzero(np.diff(parts)) + 1
+    return list(zip(parts[np.concatenate([[0], edges])].tolist(), [0, *edges.tolist()], [*edges.tolist(), len(keys)]))
 
-ASKED = "part long, path string, kind int, at long, keys binary, x binary, y binary"
-SUMMED = "path string, kind int, at long, x binary, y binary, stats array<double>"
 
+def ask_counts(chunks: DataFrame, order: int, bits: int) -> DataFrame:
+    """Blocks of a chunk's n-grams: x their training counts, y whether held-out text has them."""
 
-def ask_counts(chunks: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                c = Chunk.load(path, size, [])
-                c.index()
-                rows = []
-                for kind, keys, counts in ((1, c.words, c.word_counts), (2, c.keys, c.counts)):
-                    for p, a, b in _cut(keys, bits):
-                        rows.append((kind << 32 | p, path, kind, a, pack_keys(keys[a:b]), planes(counts[a:b]), None))
-                yield _batch(rows, ("i8", "s", "i4", "i8", "b", "b", "b"), ASKED)
+            for chunk, path, size in zip(*(c.to_pylist() for c in batch.columns)):
+                c = Chunk.load(path, size)
+                c.index(order)
+                keys, counts, asked = c.keys[order], c.counts[order], c.asked[order]
+                rows = [(p, chunk, order, a, pack_keys(keys[a:b]), planes(counts[a:b]), np.packbits(asked[a:b]).tobytes()) for p, a, b in _blocks(keys, bits)]
+                yield _batch(rows, ASKED)
+
+    return chunks.select("chunk", "path", "size").mapInArrow(run, ASKED)
 
-    return chunks.select("path", "size").mapInArrow(run, ASKED)
+
+def _joined(part: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    part = part.sort_values(["chunk", "at"], kind="stable")
+    keys = [unpack_keys(x) for x in part["keys"]]
+    return part, keys, *np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
 
 
-def _batch(rows: list, kinds: tuple, schema: str) -> pa.RecordBatch:
-    types = {"i8": pa.int64(), "i4": pa.int32(), "s": pa.string(), "b": pa.binary(), "d": pa.list_(pa.float64()), "f": pa.float64(), "t": pa.bool_()}
-    names = [x.split()[0] for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(list(zip(*rows)) or [()] * len(kinds), kinds)], names=names)
+def _cut(values: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
+    return np.split(values, np.cumsum([len(k) for k in keys])[:-1])
+
+
+def _bits(blocks, keys: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=len(k)) for y, k in zip(blocks, keys)]).astype(bool)
 
 
 def sum_counts(part: pd.DataFrame) -> pd.DataFrame:
-    """One table partition: counts summed over chunks, the first chunk to hold a key its owner.
+    """One table partition: x counts summed over chunks; y the first chunk to hold a key as its owner;
+    z keys that held-out text has anywhere, or that are counted too often for a discount.
 
     stats: keys seen in training, their counts' sum, how many were counted 1, 2, ... K + 1 times.
     """
-    part = part.sort_values(["path", "at"], kind="stable")
-    keys = [unpack_keys(x) for x in part["keys"]]
-    own, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    part, keys, own, first, back = _joined(part)
     totals = np.bincount(back, np.concatenate([unplanes(x, "u4") for x in part["x"]]), len(own))
-    if part["kind"].iat[0] == 1:
-        totals_of_tokens = totals[own != START]
-    else:
-        totals_of_tokens = totals
-    seen = totals_of_tokens[totals_of_tokens > 0]
+    tokens = totals[own != START] if part["kind"].iat[0] == 1 else totals
+    seen = tokens[tokens > 0]
     stats = [float(len(seen)), float(seen.sum()), *(float((seen == r).sum()) for r in range(1, K + 2))]
     owner = np.zeros(len(back), bool)
     owner[first] = True
-    answers = totals[back].astype(np.uint64)
-    x, y, at = [], [], 0
-    for k in keys:
-        x.append(planes(answers[at : at + len(k)]))
-        y.append(np.packbits(owner[at : at + len(k)]).tobytes())
-        at += len(k)
-    return pd.DataFrame({"path": part["path"], "kind": part["kind"], "at": part["at"], "x": x, "y": y, "stats": [stats, *([None] * (len(part) - 1))]})
+    wanted = (np.bincount(back, _bits(part["y"], keys), len(own)) > 0) | (totals > K)
+    packed = lambda flags: [np.packbits(x).tobytes() for x in _cut(flags, keys)]
+    return pd.DataFrame(
+        {
+            "chunk": part["chunk"],
+            "kind": part["kind"],
+            "at": part["at"],
+            "x": [planes(x) for x in _cut(totals[back].astype(np.uint64), keys)],
+            "y": packed(owner),
+            "z": packed(wanted[back]),
+            "stats": [stats, *([None] * (len(part) - 1))],
+        }
+    )
 
 
 def discounts(stats: list[float]) -> np.ndarray:
@@ -232,96 +285,146 @@ def discounts(stats: list[float]) -> np.ndarray:
 class Model:
     """What all tasks need of the corpus: sums and discounts."""
 
-    def __init__(self, words: list[float], pairs: list[float]):
+    def __init__(self, stats: dict[int, list[float]]):
+        words = stats[1]
         self.types, self.tokens = words[0], words[1]
-        self.d1, self.d2 = discounts(words), discounts(pairs)
-        given = sum(words[1 + r] * r * (1 - self.d1[r]) for r in range(1, K + 1))
+        self.d = {k: discounts(stats[k]) for k in COUNTS}
+        given = sum(words[1 + r] * r * (1 - self.d[1][r]) for r in range(1, K + 1))
         self.unknown = given / self.tokens if self.tokens else 1.0
         self.kept = 1.0
         if self.tokens and self.unknown <= 0:  # no count of K or less: one more token is taken as unknown
             self.unknown, self.kept = 1 / (self.tokens + 1), self.tokens / (self.tokens + 1)
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
-        c = counts.astype(float)
-        return np.where(c > 0, self.kept * self.d1[np.minimum(counts, K + 1).astype(np.int64)] * c / max(self.tokens, 1.0), self.unknown)
+        return np.where(counts > 0, self.kept * self.discounted(1, counts) / max(self.tokens, 1.0), self.unknown)
 
-    def discounted(self, counts: np.ndarray) -> np.ndarray:
-        return self.d2[np.minimum(counts, K + 1).astype(np.int64)] * counts.astype(float)
+    def discounted(self, order: int, counts: np.ndarray) -> np.ndarray:
+        return self.d[order][np.minimum(counts, K + 1).astype(np.int64)] * counts.astype(float)
 
 
 class Answered(Chunk):
-    """A chunk with its words' and bigrams' counts in the corpus."""
+    """A chunk with its n-grams' counts in the corpus, and what its contexts have given up."""
 
-    def answer(self, rows: pd.DataFrame) -> None:
-        self.index()
+    @classmethod
+    def of_rows(cls, rows: pd.DataFrame) -> Answered:
         rows = rows.sort_values(["kind", "at"])
-        part = {k: rows[rows["kind"] == k] for k in (1, 2, 3)}
-        read = lambda k: np.concatenate([unplanes(x, "u8") for x in part[k]["x"]])
-        self.c1, self.c2 = read(1), read(2)
-        sizes = np.diff([*part[2]["at"], len(self.c2)])
-        self.owned = np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=int(n)) for y, n in zip(part[2]["y"], sizes)]).astype(bool)
-        if len(part[3]):
-            self.weight = np.concatenate([unplanes(x, "f8") for x in part[3]["x"]])
-
-
-def ask_weights(rows: pd.DataFrame, model: Model, size: int, bits: int) -> pd.DataFrame:
-    """A chunk's part of its contexts' sums: discounted counts (x), unigram probabilities of seen words (y)."""
-    path = rows["path"].iat[0]
-    c = Answered.load(path, size, [])
-    c.answer(rows)
-    mine = c.owned & (c.c2 > 0)
-    first = c.first[mine]
-    x = np.bincount(first, model.discounted(c.c2[mine]), len(c.words))
-    y = np.bincount(first, model.unigram(c.c1[c.second[mine]]), len(c.words))
-    out = [(3 << 32 | p, path, 3, a, pack_keys(c.words[a:b]), planes(np.stack([x[a:b], c.c1[a:b].astype(float)], 1)), planes(y[a:b])) for p, a, b in _cut(c.words, bits)]
-    return pd.DataFrame(out, columns=[n.split()[0] for n in ASKED.split(", ")])
+        by = {k: rows[rows["kind"] == k] for k in (PLACE, *COUNTS, *WEIGHTS)}
+        c = cls.load(by[PLACE]["x"].iat[0].decode(), int(by[PLACE]["at"].iat[0]))
+        c.index()
+        c.c, c.owned, c.wanted = {}, {}, {}
+        for k in COUNTS:
+            none = [np.zeros(0, np.uint64)]
+            c.c[k] = np.concatenate([unplanes(x, "u8") for x in by[k]["x"]] or none)
+            sizes = np.diff([*by[k]["at"], len(c.c[k])]).astype(int)
+            flags = lambda name: np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=n) for y, n in zip(by[k][name], sizes)] or none).astype(bool)  # noqa: E731, B023
+            c.owned[k], c.wanted[k] = flags("y"), flags("z")
+        c.sums = {k: [np.concatenate([unplanes(x, "f8") for x in by[kind][name]] or [np.zeros(0)]) for name in ("x", "y")] for k, kind in zip((1, 2), WEIGHTS)}
+        return c
+
+    def needs(self) -> dict[int, np.ndarray]:
+        """The contexts whose weights this chunk's tokens need: of one word and of two."""
+        unseen = self.c[3] == 0
+        two = np.zeros(len(self.keys[2]), bool)
+        two[self.first[3][unseen | (self.c[3] > K)]] = True
+        one = np.zeros(len(self.words), bool)
+        one[self.last[2][self.first[3][unseen]]] = True
+        one[np.searchsorted(self.words, START)] = True
+        return {1: one & (self.c[1] > 0), 2: two & (self.c[2] > 0)}
+
+    def given(self, model: Model) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """What the chunk's own n-grams add to their contexts' sums: discounted counts, and probabilities
+        of the next lower order, in parts of the context's own count."""
+        mine = self.owned[2] & (self.c[2] > 0)
+        first = self.first[2][mine]
+        n = len(self.words)
+        one = np.bincount(first, model.discounted(2, self.c[2][mine]), n), np.bincount(first, model.unigram(self.c[1][self.last[2][mine]]), n)
+        mine = self.owned[3] & (self.c[3] > 0) & self.wanted[2][self.first[3]]
+        first, tail = self.first[3][mine], self.tail[mine]
+        n = len(self.keys[2])
+        lower = model.discounted(2, self.c[2][tail]) / self.c[1][self.first[2][tail]].astype(float)
+        return {1: one, 2: (np.bincount(first, model.discounted(3, self.c[3][mine]), n), np.bincount(first, lower, n))}
+
+    def logs(self, model: Model) -> np.ndarray:
+        """Each token's log10 probability."""
+        needs, kept, weight = self.needs(), {}, {}
+        lower_kept = 1.0
+        for k in (1, 2):
+            count, needed = self.c[k].astype(float), needs[k]
+            held, seen = np.zeros(len(count)), np.zeros(len(count))
+            held[needed], seen[needed] = self.sums[k]
+            if k == 2:
+                lower_kept = kept[1][self.last[2]]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                left = np.where(needed, 1 - held / count, 1.0)
+                # a context all of whose counts are too high for a discount: one more count is taken as given up
+                full = left <= 1e-9
+                kept[k] = np.where(full, count / (count + 1), 1.0)
+                weight[k] = np.where(full, 1 / (count + 1), left) / (1 - lower_kept * seen)
+        c1, c2, c3 = (self.c[k].astype(float) for k in COUNTS)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            f2, f3 = self.first[2], self.first[3]
+            p2 = np.where(c2 > 0, kept[1][f2] * model.discounted(2, self.c[2]) / c1[f2], weight[1][f2] * model.unigram(self.c[1])[self.last[2]])
+            p3 = np.where(c3 > 0, kept[2][f3] * model.discounted(3, self.c[3]) / c2[f3], weight[2][f3] * p2[self.tail])
+        out = np.empty(len(self.tokens))
+        out[self.inner] = np.log10(p3)[self.of[3][self.inner]]
+        out[~self.inner] = np.log10(p2)[self.of[2][~self.inner]]
+        return out
+
+
+def ask_weights(rows: pd.DataFrame, model: Model, bits: int) -> pa.RecordBatch:
+    """A chunk's part of its contexts' sums (x, two numbers a key), and which of them it needs (y)."""
+    c = Answered.of_rows(rows)
+    chunk, needs, given, out = int(rows["chunk"].iat[0]), c.needs(), c.given(model), []
+    for k, kind in zip((1, 2), WEIGHTS):
+        held, seen = given[k]
+        some = np.flatnonzero((held > 0) | needs[k])
+        keys, held, seen, need = c.keys[k][some], held[some], seen[some], needs[k][some]
+        for p, a, b in _blocks(keys, bits):
+            out.append((kind << 40 | p, chunk, kind, a, pack_keys(keys[a:b]), planes(held[a:b]) + planes(seen[a:b]), np.packbits(need[a:b]).tobytes()))
+    return _batch(out, ASKED)
 
 
 def sum_weights(part: pd.DataFrame) -> pd.DataFrame:
-    """Every context's weight; negative where all of its counts are too high for a discount: one more
-    count is then taken as given up."""
-    part = part.sort_values(["path", "at"], kind="stable")
-    keys = [unpack_keys(x) for x in part["keys"]]
-    own, first, back = np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
-    both = np.concatenate([unplanes(x, "V16").view("f8").reshape(-1, 2) for x in part["x"]])
-    held = np.bincount(back, both[:, 0], len(own))
-    count = both[first, 1]
-    seen = np.bincount(back, np.concatenate([unplanes(y, "f8") for y in part["y"]]), len(own))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        left = 1 - held / count
-        full = left <= 1e-9
-        weight = np.where(full, -1 / (count + 1), left) / (1 - seen)
-    weight[count == 0] = 1.0
-    answers, x, at = weight[back], [], 0
-    for k in keys:
-        x.append(planes(answers[at : at + len(k)]))
-        at += len(k)
-    return pd.DataFrame({"path": part["path"], "kind": part["kind"], "at": part["at"], "x": x, "y": None, "stats": None})
-
-
-def score_chunk(rows: pd.DataFrame, model: Model, size: int, ids: list, id_col: str) -> pd.DataFrame:
-    c = Answered.load(rows["path"].iat[0], size, ids)
-    c.answer(rows)
-    uni = model.unigram(c.c1)
-    weight = c.weight[c.first]
-    context = c.c1[c.first].astype(float)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        kept = np.where(weight < 0, context / (context + 1), 1.0)
-        p = np.where(c.c2 > 0, kept * model.discounted(c.c2) / context, np.abs(weight) * uni[c.second])
-    logs = np.log10(p)[c.bigram]
-    base = np.log10((c.c1 + np.uint64(1)).astype(float) / (model.tokens + model.types + 1))[c.tokens]
+    """Both sums of every context (x and y), for the keys that chunks need."""
+    part, keys, own, _, back = _joined(part)
+    halves = lambda i: np.concatenate([unplanes(x[len(x) // 2 * i : len(x) // 2 * (i + 1)], "f8") for x in part["x"]])
+    sums = [np.bincount(back, halves(i), len(own))[back] for i in (0, 1)]
+    need = _cut(_bits(part["y"], keys), keys)
+    x, y = ([planes(v[n]) for v, n in zip(_cut(s, keys), need)] for s in sums)
+    return pd.DataFrame({"chunk": part["chunk"], "kind": part["kind"], "at": part["at"], "x": x, "y": y, "z": None, "stats": None})
+
+
+def score_chunk(rows: pd.DataFrame, model: Model, arrow: pa.Schema) -> pa.RecordBatch:
+    c = Answered.of_rows(rows)
+    base = np.log10((c.c[1] + np.uint64(1)).astype(float) / (model.tokens + model.types + 1))[c.tokens]
     total = lambda x: np.add.reduceat(x, c.starts[:-1])
-    return pd.DataFrame(
-        {
-            id_col: pd.array(c.ids, "Int64"),
-            "held_out": c.held,
-            "n_tokens": np.diff(c.starts),
-            "n_known": total((c.c1[c.tokens] > 0).astype(np.int64)),
-            "train_tokens": int(model.tokens),
-            "base_score": total(base),
-            "score": total(logs),
-        }
-    )
+    known, n = total((c.c[1][c.tokens] > 0).astype(np.int64)), len(c.ids)
+    columns = (c.ids, c.held, np.diff(c.starts), known, np.full(n, int(model.tokens)), total(base), total(c.logs(model)))
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
+
+
+def by_chunk(rows: DataFrame, chunks: DataFrame, n: int, kernel: Callable[[pd.DataFrame], pa.RecordBatch], schema: str) -> DataFrame:
+    """kernel over each chunk's answers and its place, a partition for each chunk or nearly: chunks are
+    dealt by their number, not by a hash, so that no task gets several while others get none."""
+    place = chunks.select("chunk", F.lit(PLACE).alias("kind"), F.col("size").alias("at"), F.col("path").cast("binary").alias("x"), F.lit(None).cast("binary").alias("y"), F.lit(None).cast("binary").alias("z"))
+    d = rows.select("chunk", "kind", "at", "x", "y", "z").unionByName(place)
+    number = F.shiftright("chunk", 20) * n + F.pmod("chunk", F.lit(CHUNKS_PER_TASK))
+    names = d.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[0] != held[0][0]:
+                    yield kernel(pd.DataFrame(held, columns=names))
+                    held = []
+                held.append(row)
+        if held:
+            yield kernel(pd.DataFrame(held, columns=names))
+
+    tasks, most = chunks.select(F.count("*"), F.max(number)).first()
+    parts = max(1, min(int(most) + 1, 2 * int(tasks)))
+    return d.withColumn("p", F.pmod(number, F.lit(parts)).cast("int")).repartitionById(parts, F.col("p")).drop("p").sortWithinPartitions("chunk").mapInArrow(run, schema)
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
@@ -329,24 +432,24 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     spark = df.sparkSession
     result = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     chunks = make_chunks(df, id_col, text_col, chunk)
-    n, tokens, words = chunks.agg(F.count("*"), F.sum("tokens"), F.sum("words")).first()
+    n, tokens, words, serial = chunks.agg(F.count("*"), F.sum("tokens"), F.sum("words"), F.max(F.pmod("chunk", F.lit(CHUNKS_PER_TASK)))).first()
     if not n:
         return spark.createDataFrame([], result)
-    bits = max(0, int(tokens // part).bit_length())
-    word_bits = max(0, int(words // part).bit_length())
-    spread = chunks.select("path", "size").repartition(n)
-    counted = written(ask_counts(spread, bits).groupBy("part").applyInPandas(sum_counts, SUMMED), "counts")
-    names = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 3)]
-    stats = {r["kind"]: [r[f"s{i}"] or 0.0 for i in range(K + 3)] for r in counted.where("stats IS NOT NULL").groupBy("kind").agg(*names).collect()}
-    model = Model(stats[1], stats[2])
-    sized = counted.drop("stats").join(chunks.select("path", "size"), "path")
-    asked = sized.groupBy("path", "size").applyInPandas(lambda key, rows: ask_weights(rows, model, int(key[1]), word_bits), ASKED)
-    weights = written(asked.groupBy("part").applyInPandas(sum_weights, SUMMED), "weights")
-    answers = counted.unionByName(weights).drop("stats")
-    named = chunks.select("path", "size", "ids")
-    return answers.groupBy("path").cogroup(named.groupBy("path")).applyInPandas(
-        lambda a, b: score_chunk(a, model, int(b["size"].iat[0]), list(b["ids"].iat[0]), id_col), result
-    )
+    bits = {k: int((words if k == 1 else tokens) // part).bit_length() for k in COUNTS}
+    spread = chunks.repartition(n)
+    names, stats, counted = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 3)], {}, None
+    for k in COUNTS:
+        found = written(ask_counts(spread, k, bits[k]).groupBy("part").applyInPandas(sum_counts, ANSWERED), f"counts-{k}")
+        row = found.where("stats IS NOT NULL").agg(*names).first()
+        stats[k] = [row[f"s{i}"] or 0.0 for i in range(K + 3)]
+        counted = found if counted is None else counted.unionByName(found)
+        settle(spark)
+    model = Model(stats)
+    asked = by_chunk(counted, chunks, serial + 1, lambda rows: ask_weights(rows, model, bits[1]), ASKED)
+    weights = written(asked.groupBy("part").applyInPandas(sum_weights, ANSWERED), "weights")
+    settle(spark)
+    arrow = to_arrow_schema(T._parse_datatype_string(result))
+    return by_chunk(counted.unionByName(weights), chunks, serial + 1, lambda rows: score_chunk(rows, model, arrow), result)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -269,38 +269,44 @@ def test_katz(spark, docs, texts):
     rows = {r["doc_id"]: r for r in katz.score_texts(docs, chunk=5000, part=8000).collect()}
     tokens = {i: [*lowered(t).encode().split(), 1] for i, t in texts}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
-    uni, pair = Counter(), Counter()
+    c = {1: Counter(), 2: Counter(), 3: Counter()}
     for i, t in tokens.items():
         if not held[i]:
-            uni.update(t)
-            pair.update(zip([2, *t], t))
-    n, v, starts = sum(uni.values()), len(uni), sum(not h for h in held.values())
-    stats = lambda c: [float(len(c)), float(sum(c.values())), *(float(sum(x == r for x in c.values())) for r in range(1, 7))]
-    m = katz.Model(stats(uni), stats(pair))
-    p1 = lambda w: m.d1[min(uni[w], 6)] * uni[w] / n if uni[w] else m.unknown
-    count = lambda h: starts if h == 2 else uni[h]
-    sums = {}
-    for (h, w), c in pair.items():
-        s = sums.setdefault(h, [0.0, 0.0])
-        s[0] += m.d2[min(c, 6)] * c
-        s[1] += p1(w)
-
-    def p2(h, w):
-        if not count(h):
-            return p1(w)
-        left, c = 1 - sums[h][0] / count(h), pair[h, w]
+            c[1].update((w,) for w in t)
+            c[2].update(zip([2, *t], t))
+            c[3].update(zip([2, *t], t, t[1:]))
+    n, v = sum(c[1].values()), len(c[1])
+    stats = {k: [float(len(x)), float(sum(x.values())), *(float(sum(y == r for y in x.values())) for r in range(1, 7))] for k, x in c.items()}
+    m = katz.Model(stats)
+    c[1][2,] = sum(not h for h in held.values())  # the start, as a context
+    d = lambda k, r: m.d[k][min(r, 6)] * r
+    after = {}
+    for k in (2, 3):
+        for g in c[k]:
+            after.setdefault(g[:-1], []).append(g[-1])
+
+    def p(h, w):
+        if not h:
+            return d(1, c[1][w,]) / n if c[1][w,] else m.unknown
+        k, total = len(h) + 1, c[len(h)][h]
+        if not total:
+            return p(h[1:], w)
+        left = 1 - sum(d(k, c[k][*h, x]) for x in after[h]) / total
         full = left <= 1e-9
-        if c:
-            return (count(h) / (count(h) + 1) if full else 1) * m.d2[min(c, 6)] * c / count(h)
-        return (1 / (count(h) + 1) if full else left) / (1 - sums[h][1]) * p1(w)
+        if c[k][*h, w]:
+            return (total / (total + 1) if full else 1) * d(k, c[k][*h, w]) / total
+        return (1 / (total + 1) if full else left) / (1 - sum(p(h[1:], x) for x in after[h])) * p(h[1:], w)
 
     for i, t in tokens.items():
         r = rows[i]
-        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(uni[w] > 0 for w in t), n)
-        assert r["base_score"] == pytest.approx(sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t), rel=1e-9)
-        assert r["score"] == pytest.approx(sum(math.log10(p2(h, w)) for h, w in zip([2, *t], t)), rel=1e-9)
-    for h in (2, *list(uni)[:5]):
-        assert sum(p2(h, w) for w in uni) + p2(h, b"unseen word") == pytest.approx(1, abs=1e-9)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(t), sum(c[1][w,] > 0 for w in t), n)
+        assert r["base_score"] == pytest.approx(sum(math.log10((c[1][w,] + 1) / (n + v + 1)) for w in t), rel=1e-9)
+        if held[i] or i % 5 == 0:
+            want = sum(math.log10(p(tuple([2, *t][max(0, j - 1) : j + 1]), w)) for j, w in enumerate(t))
+            assert r["score"] == pytest.approx(want, rel=1e-9)
+    seen = [w for (w,) in c[1] if w != 2]
+    for h in [(2,), *[(w,) for w in seen[:2]], *list(c[2])[:3], next(h for h in c[2] if c[2][h] > 6)]:
+        assert sum(p(h, w) for w in seen) + p(h, b"unseen word") == pytest.approx(1, abs=1e-9)
 
 
 def test_discounts_without_counts_of_counts():
