@@ -176,33 +176,34 @@ def _sketches(df: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFr
     return map_rows(rows, kernel, f"id {kind}, mark long, node string, fp long, bands array<long>, shingles binary")
 
 
-class _Forest(dict):
-    def find(self, x):
-        while self.setdefault(x, x) != x:
-            self[x] = x = self.setdefault(self[x], self[x])
-        return x
+#: A group's nodes are compared if their sides differ, or if one is of both.
+ONE, OTHER, BOTH = 0, 1, 2
 
 
 def _spanning_links(similarity: float):
-    """For a group's nodes and shingles: links of similarity or more that connect what such links connect."""
+    """For a group's nodes, sides and shingles: links of similarity or more that connect what such links
+    connect. Nodes of one label are known to be connected; a node is compared only with those that no
+    link has connected it to so far, so a group of copies takes one pass over its sets."""
 
     def run(part):
         import pandas as pd
 
         part = part.sort_values("node", kind="stable")
-        nodes, blocks = part["node"].tolist(), part["block"].to_numpy()
+        nodes, side = part["node"].tolist(), part["side"].to_numpy()
+        tree = np.unique(part["label"].to_numpy(), return_inverse=True)[1]
         sets = [np.frombuffer(x, np.uint32) for x in part["shingles"]]
         sizes = np.array([len(s) for s in sets])
         own, code = np.unique(np.concatenate(sets), return_inverse=True)
         owner = np.repeat(np.arange(len(sets)), sizes)
-        order = np.argsort(code, kind="stable")
-        holders = owner[order]
+        holders = owner[np.argsort(code, kind="stable")]
         ends = np.cumsum(np.bincount(code, minlength=len(own)))
         starts = ends - np.bincount(code, minlength=len(own))
-        forest, links = _Forest(), []
-        edges = np.cumsum([0, *sizes])
-        one_block = part["i"].iat[0] == part["j"].iat[0]
+        edges, links = np.cumsum([0, *sizes]), []
         for x in range(len(sets)):
+            open_ = (tree != tree[x]) & ((side != side[x]) | (side == BOTH))
+            open_[: x + 1] = False
+            if not open_.any():
+                continue
             codes = code[edges[x] : edges[x + 1]]
             common = np.zeros(len(sets), np.int64)
             for at in range(0, len(codes), 4096):  # at most so many times the group's nodes at once
@@ -210,26 +211,32 @@ def _spanning_links(similarity: float):
                 lens = ends[c] - starts[c]
                 places = np.repeat(starts[c] - np.cumsum(lens) + lens, lens) + np.arange(lens.sum())
                 common += np.bincount(holders[places], minlength=len(sets))
-            near = common >= similarity * (sizes[x] + sizes - common) - 1e-9
-            near[: x + 1] = False
-            if not one_block:
-                near &= blocks != blocks[x]
-            for y in np.nonzero(near)[0]:
-                a, b = forest.find(x), forest.find(int(y))
-                if a != b:
-                    forest[max(a, b)] = min(a, b)
+            near = open_ & (common >= similarity * (sizes[x] + sizes - common) - 1e-9)
+            for y in np.flatnonzero(near):
+                if tree[y] != tree[x]:
+                    tree[tree == tree[y]] = tree[x]
                     links.append((nodes[x], nodes[y]))
         return pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
 
+def _deal(nodes: DataFrame, prefix: str) -> DataFrame:
+    """nodes (root, node, n) with a block of bounded size, and of how many blocks of its cluster."""
+    sized = nodes.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
+    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES, F.lit(1))).cast("int")
+    d = nodes.join(sized.select("root", blocks.alias(f"{prefix}of")), "root")
+    return d.withColumn(f"{prefix}block", F.pmod(F.xxhash64("node"), F.col(f"{prefix}of")).cast("int"))
+
+
 def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of all nodes that have a link of the given Jaccard similarity or more.
 
     Nodes that share a band or whose fingerprints are linked are first joined to clusters, by stars. A
-    cluster's links are then found exactly: its nodes are dealt to blocks of bounded size, every two of
-    its blocks are compared by a task of their own, and each task returns a spanning forest of its links.
+    cluster's links are then found exactly, by tasks that compare two blocks of bounded size and return a
+    spanning forest. First, each block is compared with itself and with one block, the leaders, which are
+    drawn by a hash; that is linear in the cluster, and connects most of it. Then only the nodes outside
+    the largest class so found are compared with all blocks.
     """
     reps = written(sketches.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first(F.length("shingles") / 4).alias("n")), "nodes")
     banded = reps.select("node", F.explode("bands").alias("band"))
@@ -240,14 +247,30 @@ def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
     near = fingerprint_links(by_fp).alias("l").join(by_fp.alias("x"), F.expr("l.a = x.fp")).join(by_fp.alias("y"), F.expr("l.b = y.fp"))
     near = near.select(F.col("x.a").alias("a"), F.col("y.a").alias("b"))
     clusters = components(stars.unionByName(same).unionByName(near)).join(reps.select("node", "n"), "node")
-    sized = clusters.groupBy("root").agg(F.count("*").alias("nodes"), F.sum("n").alias("shingles"))
-    blocks = F.ceil(F.greatest(F.col("nodes") / BLOCK_NODES, F.col("shingles") / BLOCK_SHINGLES)).cast("int")
-    dealt = clusters.join(sized.select("root", blocks.alias("of")), "root").select("root", "node", "of", F.pmod(F.xxhash64("node"), F.col("of")).cast("int").alias("block"))
-    sets = sketches.select("node", "shingles").join(dealt, "node").groupBy("node", "root", "of", "block").agg(F.first("shingles").alias("shingles"))
-    pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j"))))
-    tasks = sets.withColumn("p", pairs).select("root", "node", "block", "shingles", "p.i", "p.j")
-    links = tasks.groupBy("root", "i", "j").applyInPandas(_spanning_links(similarity), "a string, b string")
-    return components(links)
+    dealt = _deal(clusters, "")
+    sets = written(sketches.select("node", "shingles").join(dealt, "node").groupBy("node", "root", "n", "of", "block").agg(F.first("shingles").alias("shingles")), "sets")
+    # the leaders are block 0: they go to every task of their cluster, and are compared with one another in the first
+    first, last = F.least(F.lit(1), F.col("of") - 1), F.col("of") - 1
+    to = F.explode(F.when(F.col("block") == 0, F.sequence(first, last)).otherwise(F.array("block")))
+    side = F.when((F.col("block") == 0) & (F.col("task") > 1), OTHER).otherwise(BOTH)
+    tasks = sets.withColumn("task", to).select("root", "node", F.col("node").alias("label"), side.alias("side"), "shingles", "task")
+    links = written(tasks.groupBy("root", "task").applyInPandas(_spanning_links(similarity), "a string, b string"), "links")
+    classes = components(links)
+    several = sets.where("of > 1").join(classes.select("node", F.col("root").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node")).drop("shingles")
+    counts = several.groupBy("root", "label").agg(F.count("*").alias("k"))
+    largest = counts.groupBy("root").agg(F.max(F.struct("k", "label")).alias("m")).select("root", F.col("m.label").alias("main"))
+    marked = written(several.join(largest, "root"), "marked")
+    rest = written(_deal(marked.where("label != main").select("root", "node", "n", "label"), "r_"), "rest")
+    if not rest.take(1):
+        return classes
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # of the cluster, all nodes; and a cluster's number of rest blocks, of which there is one at least
+    per = rest.groupBy("root").agg(F.first("r_of").alias("r_of"))
+    others = marked.select("root", "node", "label", "block").join(per, "root").select("root", "node", "label", F.lit(OTHER).alias("side"), "block", numbers("r_of").alias("r_block"))
+    ones = rest.join(sets.select("node", "of"), "node").select("root", "node", "label", F.lit(ONE).alias("side"), numbers("of").alias("block"), "r_block")
+    tasks = others.unionByName(ones).join(sets.select("node", "shingles"), "node")
+    more = tasks.groupBy("root", "block", "r_block").applyInPandas(_spanning_links(similarity), "a string, b string")
+    return components(links.unionByName(more))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -255,7 +278,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     similarity of word shingles, the row with the least id stays (of those, that with the least hash).
 
     Texts without words are copies of one another. Of repeated rows one stays, whichever, as they
-    differ at most in columns that aren't compared.
+    differ at most in columns that aren't compared. Sets are of the hashes' first 32 bits: of two sets of a
+    thousand shingles, one shingle in four million is taken for another's.
     """
     sketches = written(_sketches(df, id_col, text_col, shingle), "sketches")
     roots = similar_classes(sketches, similarity)

@@ -47,3 +47,49 @@ def test_penalty_spares_neutral_mentions(spark, labelled):
     assert flagged[toxicity.LAMBDA] < 0.5 * flagged[0.0]
     caught = [s >= toxicity.THRESHOLD for s in score[toxicity.LAMBDA][1]]
     assert sum(caught) >= 0.8 * len(caught)
+
+
+def test_near_dedup_of_a_large_cluster_with_outliers(spark, monkeypatch):
+    import random
+
+    from quire.llm import simhash
+
+    # a chain of texts, each near the next but not to those further on, and many copies of the first
+    monkeypatch.setattr(simhash, "BLOCK_NODES", 8)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    w = rng.choices(words, k=150)
+    rows = []
+    for i in range(60):
+        rows.append((i, " ".join(w)))
+        if i >= 40:
+            w = list(w)
+            for at in range((i - 40) * 5 % 140, (i - 40) * 5 % 140 + 8):
+                w[at] = rng.choice(words)
+        else:
+            w = [*w[:-1], rng.choice(words)]
+    rows += [(100 + i, " ".join(rng.choices(words, k=120))) for i in range(20)]
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    got = {r["doc_id"] for r in simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {find(i) for i in sets}
+
+
+def test_components_at_a_hub_and_of_odd_links(spark):
+    from quire.llm.components import components
+
+    rows = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5040)] + [(7, 7), (None, 3), (4, None), (8000, 8001), (8001, 8000)]
+    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(3000)}, **{i: 5000 for i in range(5000, 5041)}, 8000: 8000, 8001: 8000}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
