@@ -11,13 +11,14 @@ context.
 Tokens aren't shuffled one by one. Tasks gather documents in chunks of at most CHUNK tokens, written to
 the shared folder with their tokens as numbers. For each order in turn, a chunk asks for its different
 n-grams once: their keys (64-bit hashes) go in blocks to the table partition that owns their range, which
-sums the counts of all chunks, counts the counts and answers in the order asked. A last exchange gives
+sums the counts of all chunks, counts the counts and answers in the order asked. Two more exchanges give
 the contexts' weights: each n-gram is accounted for by one of the chunks that hold it, only contexts that
 held-out text or high counts can need are accounted for, and chunks ask for those they need. Partitions
 are cut so that each holds about PART keys asked for; a hot n-gram is asked for once a chunk, not once a
 token. A block is a row: there are (chunks x partitions) of them as long as blocks are full, and never
-more than different n-grams of each chunk, so rows grow in proportion to the text at most. Each exchange's
-answers are written as a table, so lost executors cost one exchange at most.
+more than different n-grams of each chunk, so rows grow in proportion to the text at most. Answers are
+stored beside their chunk, listed in a table, and an exchange's shuffle files are let go once they are:
+lost executors cost one exchange at most, and the disk holds the files of one.
 
 Of n different n-grams, n^2 / 2^65 pairs share a hash: none is expected below 6e9, and at 1e13 one n-gram
 in four million takes part in one. Such a pair counts as one n-gram, in all orders and in V.
@@ -53,6 +54,7 @@ CHUNKS_PER_TASK = 1 << 20
 PLACE, COUNTS, WEIGHTS = 0, (1, 2, 3), (4, 5)
 ASKED = "part long, chunk long, kind int, at long, keys binary, x binary, y binary"
 ANSWERED = "chunk long, kind int, at long, x binary, y binary, z binary, stats array<double>"
+LISTED = "chunk long, kind int, path string, size long, stats array<double>"
 
 
 def planes(numbers: np.ndarray) -> bytes:
@@ -81,6 +83,22 @@ def pair_keys(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _store(path: str, **arrays: np.ndarray | bytes) -> int:
+    """Writes arrays as one compressed file and returns its size before that."""
+    fs, at = filesystem(path)
+    data = io.BytesIO()
+    np.savez(data, **{k: np.frombuffer(x, np.uint8) if isinstance(x, bytes) else x for k, x in arrays.items()})
+    with fs.open_output_stream(at, compression=None) as f:
+        f.write(pa.compress(data.getvalue(), codec="zstd", asbytes=True))
+    return data.getbuffer().nbytes
+
+
+def _fetch(path: str, size: int) -> dict[str, np.ndarray]:
+    fs, at = filesystem(path)
+    with fs.open_input_stream(at, compression=None) as f:
+        return dict(np.load(io.BytesIO(pa.decompress(f.read(), size, codec="zstd", asbytes=True))))
+
+
 class Chunk:
     """Documents' tokens as numbers of the chunk's own words, which are sorted by hash."""
 
@@ -101,22 +119,13 @@ class Chunk:
         return cls(words[order], rank[np.concatenate(tokens)], starts, np.array([h for _, h in docs]), [i for i, _ in docs])
 
     def save(self, path: str) -> int:
-        fs, at = filesystem(path)
-        data, ids = io.BytesIO(), pa.array(self.ids, pa.int64())
+        ids = pa.array(self.ids, pa.int64())
         known = ids.is_valid().to_numpy(zero_copy_only=False)
-        np.savez(
-            data, words=np.frombuffer(pack_keys(self.words), np.uint8), tokens=np.frombuffer(planes(self.tokens), np.uint8), starts=self.starts, held=self.held,
-            ids=ids.fill_null(0).to_numpy(), known=known,
-        )
-        with fs.open_output_stream(at, compression=None) as f:
-            f.write(pa.compress(data.getvalue(), codec="zstd", asbytes=True))
-        return data.getbuffer().nbytes
+        return _store(path, words=pack_keys(self.words), tokens=planes(self.tokens), starts=self.starts, held=self.held, ids=ids.fill_null(0).to_numpy(), known=known)
 
     @classmethod
     def load(cls, path: str, size: int) -> Chunk:
-        fs, at = filesystem(path)
-        with fs.open_input_stream(at, compression=None) as f:
-            data = np.load(io.BytesIO(pa.decompress(f.read(), size, codec="zstd", asbytes=True)))
+        data = _fetch(path, size)
         ids = [i if known else None for i, known in zip(data["ids"].tolist(), data["known"].tolist())]
         return cls(unpack_keys(data["words"].tobytes()), unplanes(data["tokens"].tobytes(), "u4"), data["starts"], data["held"], ids)
 
@@ -130,7 +139,8 @@ class Chunk:
         self.first, self.last, self.of = {}, {}, {1: self.tokens}
         self.counts[1] = np.bincount(self.tokens[~held], minlength=len(self.words)).astype(np.uint32)
         self.counts[1][start] = int((~self.held).sum())
-        self.asked[1] = np.zeros(len(self.words), bool)
+        self.asked[1] = np.bincount(self.tokens[held], minlength=len(self.words)) > 0
+        self.asked[1][start] = True
         self.inner = np.ones(n, bool)  # tokens with two words before them, of which one may be the start
         self.inner[firsts] = False
         for k in range(2, order + 1):
@@ -192,7 +202,7 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -
     return written(df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema), "chunk-list")
 
 
-ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 
 def _batch(rows: list, schema: str) -> pa.RecordBatch:
@@ -240,7 +250,7 @@ def _bits(blocks, keys: list[np.ndarray]) -> np.ndarray:
 
 def sum_counts(part: pd.DataFrame) -> pd.DataFrame:
     """One table partition: x counts summed over chunks; y the first chunk to hold a key as its owner;
-    z keys that held-out text has anywhere, or that are counted too often for a discount.
+    z keys that held-out text has anywhere, or bigrams that are counted too often for a discount.
 
     stats: keys seen in training, their counts' sum, how many were counted 1, 2, ... K + 1 times.
     """
@@ -251,7 +261,9 @@ def sum_counts(part: pd.DataFrame) -> pd.DataFrame:
     stats = [float(len(seen)), float(seen.sum()), *(float((seen == r).sum()) for r in range(1, K + 2))]
     owner = np.zeros(len(back), bool)
     owner[first] = True
-    wanted = (np.bincount(back, _bits(part["y"], keys), len(own)) > 0) | (totals > K)
+    wanted = np.bincount(back, _bits(part["y"], keys), len(own)) > 0
+    if part["kind"].iat[0] == 2:
+        wanted |= totals > K
     packed = lambda flags: [np.packbits(x).tobytes() for x in _cut(flags, keys)]
     return pd.DataFrame(
         {
@@ -306,19 +318,22 @@ class Answered(Chunk):
     """A chunk with its n-grams' counts in the corpus, and what its contexts have given up."""
 
     @classmethod
-    def of_rows(cls, rows: pd.DataFrame) -> Answered:
-        rows = rows.sort_values(["kind", "at"])
-        by = {k: rows[rows["kind"] == k] for k in (PLACE, *COUNTS, *WEIGHTS)}
-        c = cls.load(by[PLACE]["x"].iat[0].decode(), int(by[PLACE]["at"].iat[0]))
+    def of(cls, places: list[dict]) -> Answered:
+        """The chunk and the answers that are stored in the given places."""
+        at = {p["kind"]: (p["path"], p["size"]) for p in places}
+        c = cls.load(*at[PLACE])
         c.index()
-        c.c, c.owned, c.wanted = {}, {}, {}
+        c.c, c.owned, c.wanted, c.sums = {}, {}, {}, {}
         for k in COUNTS:
-            none = [np.zeros(0, np.uint64)]
-            c.c[k] = np.concatenate([unplanes(x, "u8") for x in by[k]["x"]] or none)
-            sizes = np.diff([*by[k]["at"], len(c.c[k])]).astype(int)
-            flags = lambda name: np.concatenate([np.unpackbits(np.frombuffer(y, np.uint8), count=n) for y, n in zip(by[k][name], sizes)] or none).astype(bool)  # noqa: E731, B023
-            c.owned[k], c.wanted[k] = flags("y"), flags("z")
-        c.sums = {k: [np.concatenate([unplanes(x, "f8") for x in by[kind][name]] or [np.zeros(0)]) for name in ("x", "y")] for k, kind in zip((1, 2), WEIGHTS)}
+            n = len(c.keys[k])
+            # texts that are all empty have no trigrams
+            data = _fetch(*at[k]) if k in at else {name: np.zeros(0, np.uint8) for name in "xyz"}
+            c.c[k] = unplanes(data["x"].tobytes(), "u8")
+            c.owned[k], c.wanted[k] = (np.unpackbits(data[name], count=n).astype(bool) for name in ("y", "z"))
+        for k, kind in zip((1, 2), WEIGHTS):
+            if kind in at:
+                data = _fetch(*at[kind])
+                c.sums[k] = [unplanes(data[name].tobytes(), "f8") for name in ("x", "y")]
         return c
 
     def needs(self) -> dict[int, np.ndarray]:
@@ -331,35 +346,32 @@ class Answered(Chunk):
         one[np.searchsorted(self.words, START)] = True
         return {1: one & (self.c[1] > 0), 2: two & (self.c[2] > 0)}
 
-    def given(self, model: Model) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """What the chunk's own n-grams add to their contexts' sums: discounted counts, and probabilities
-        of the next lower order, in parts of the context's own count."""
-        mine = self.owned[2] & (self.c[2] > 0)
-        first = self.first[2][mine]
-        n = len(self.words)
-        one = np.bincount(first, model.discounted(2, self.c[2][mine]), n), np.bincount(first, model.unigram(self.c[1][self.last[2][mine]]), n)
-        mine = self.owned[3] & (self.c[3] > 0) & self.wanted[2][self.first[3]]
-        first, tail = self.first[3][mine], self.tail[mine]
-        n = len(self.keys[2])
-        lower = model.discounted(2, self.c[2][tail]) / self.c[1][self.first[2][tail]].astype(float)
-        return {1: one, 2: (np.bincount(first, model.discounted(3, self.c[3][mine]), n), np.bincount(first, lower, n))}
+    def given(self, model: Model, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """What the chunk's own n-grams add to the sums of their contexts of k words: discounted counts, and
+        the discounted counts of the next lower order. Many of these sums are equal, so they are short once
+        compressed."""
+        mine = self.owned[k + 1] & (self.c[k + 1] > 0) & self.wanted[k][self.first[k + 1]]
+        first, n = self.first[k + 1][mine], len(self.keys[k])
+        lower = self.c[1][self.last[2][mine]] if k == 1 else self.c[2][self.tail[mine]]
+        return np.bincount(first, model.discounted(k + 1, self.c[k + 1][mine]), n), np.bincount(first, model.discounted(k, lower), n)
 
     def logs(self, model: Model) -> np.ndarray:
         """Each token's log10 probability."""
         needs, kept, weight = self.needs(), {}, {}
-        lower_kept = 1.0
+        lower = model.kept / max(model.tokens, 1.0)  # what makes the lower order's discounted counts probabilities
         for k in (1, 2):
             count, needed = self.c[k].astype(float), needs[k]
             held, seen = np.zeros(len(count)), np.zeros(len(count))
-            held[needed], seen[needed] = self.sums[k]
+            if needed.any():
+                held[needed], seen[needed] = self.sums[k]
             if k == 2:
-                lower_kept = kept[1][self.last[2]]
+                lower = kept[1][self.last[2]] / np.maximum(self.c[1][self.last[2]], 1)
             with np.errstate(divide="ignore", invalid="ignore"):
                 left = np.where(needed, 1 - held / count, 1.0)
                 # a context all of whose counts are too high for a discount: one more count is taken as given up
                 full = left <= 1e-9
                 kept[k] = np.where(full, count / (count + 1), 1.0)
-                weight[k] = np.where(full, 1 / (count + 1), left) / (1 - lower_kept * seen)
+                weight[k] = np.where(full, 1 / (count + 1), left) / (1 - lower * seen)
         c1, c2, c3 = (self.c[k].astype(float) for k in COUNTS)
         with np.errstate(divide="ignore", invalid="ignore"):
             f2, f3 = self.first[2], self.first[3]
@@ -371,17 +383,15 @@ class Answered(Chunk):
         return out
 
 
-def ask_weights(rows: pd.DataFrame, model: Model, bits: int) -> pa.RecordBatch:
-    """A chunk's part of its contexts' sums (x, two numbers a key), and which of them it needs (y)."""
-    c = Answered.of_rows(rows)
-    chunk, needs, given, out = int(rows["chunk"].iat[0]), c.needs(), c.given(model), []
-    for k, kind in zip((1, 2), WEIGHTS):
-        held, seen = given[k]
-        some = np.flatnonzero((held > 0) | needs[k])
-        keys, held, seen, need = c.keys[k][some], held[some], seen[some], needs[k][some]
-        for p, a, b in _blocks(keys, bits):
-            out.append((kind << 40 | p, chunk, kind, a, pack_keys(keys[a:b]), planes(held[a:b]) + planes(seen[a:b]), np.packbits(need[a:b]).tobytes()))
-    return _batch(out, ASKED)
+def ask_weights(chunk: int, places: list[dict], model: Model, k: int, bits: int) -> pa.RecordBatch:
+    """A chunk's part of the sums of its contexts of k words (x, two numbers a key), and which of them it
+    needs (y)."""
+    c = Answered.of(places)
+    need, (held, seen) = c.needs()[k], c.given(model, k)
+    some = np.flatnonzero((held > 0) | need)
+    keys, held, seen, need = c.keys[k][some], held[some], seen[some], need[some]
+    rows = [(p, chunk, WEIGHTS[k - 1], a, pack_keys(keys[a:b]), planes(held[a:b]) + planes(seen[a:b]), np.packbits(need[a:b]).tobytes()) for p, a, b in _blocks(keys, bits)]
+    return _batch(rows, ASKED)
 
 
 def sum_weights(part: pd.DataFrame) -> pd.DataFrame:
@@ -394,8 +404,8 @@ def sum_weights(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": part["chunk"], "kind": part["kind"], "at": part["at"], "x": x, "y": y, "z": None, "stats": None})
 
 
-def score_chunk(rows: pd.DataFrame, model: Model, arrow: pa.Schema) -> pa.RecordBatch:
-    c = Answered.of_rows(rows)
+def score_chunk(places: list[dict], model: Model, arrow: pa.Schema) -> pa.RecordBatch:
+    c = Answered.of(places)
     base = np.log10((c.c[1] + np.uint64(1)).astype(float) / (model.tokens + model.types + 1))[c.tokens]
     total = lambda x: np.add.reduceat(x, c.starts[:-1])
     known, n = total((c.c[1][c.tokens] > 0).astype(np.int64)), len(c.ids)
@@ -403,28 +413,63 @@ def score_chunk(rows: pd.DataFrame, model: Model, arrow: pa.Schema) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, arrow)], schema=arrow)
 
 
-def by_chunk(rows: DataFrame, chunks: DataFrame, n: int, kernel: Callable[[pd.DataFrame], pa.RecordBatch], schema: str) -> DataFrame:
-    """kernel over each chunk's answers and its place, a partition for each chunk or nearly: chunks are
-    dealt by their number, not by a hash, so that no task gets several while others get none."""
-    place = chunks.select("chunk", F.lit(PLACE).alias("kind"), F.col("size").alias("at"), F.col("path").cast("binary").alias("x"), F.lit(None).cast("binary").alias("y"), F.lit(None).cast("binary").alias("z"))
-    d = rows.select("chunk", "kind", "at", "x", "y", "z").unionByName(place)
-    number = F.shiftright("chunk", 20) * n + F.pmod("chunk", F.lit(CHUNKS_PER_TASK))
-    names = d.columns
+def stored(answers: DataFrame, least: int, tasks: int, serials: int, name: str) -> DataFrame:
+    """Each chunk's answers of each kind in a file: (chunk, kind, path, size, stats of the rows it got).
+
+    Chunks are dealt to tasks by their number, not by a hash, so that no task gets several while others
+    get none; serials is the most chunks that one task made, least how many must have answers.
+    """
+    out = fresh_dir(answers.sparkSession, name)
+    fs, root = filesystem(out)
+    fs.create_dir(root, recursive=True)
+    names = answers.columns
+
+    def keep(held: list[tuple]) -> pa.RecordBatch:
+        rows, done = pd.DataFrame(held, columns=names), []
+        for kind, part in rows.groupby("kind"):
+            part = part.sort_values("at")
+            path = f"{out}/{int(part['chunk'].iat[0])}-{kind}-{uuid.uuid4().hex}"
+            number = "f8" if kind in WEIGHTS else "u8"
+            x = [unplanes(v, number) for v in part["x"]]
+            if kind in WEIGHTS:
+                rest = {"y": planes(np.concatenate([unplanes(v, number) for v in part["y"]]))}
+            else:
+                rest = {c: np.packbits(_bits(part[c], x)) for c in ("y", "z")}
+            stats = [v for v in part["stats"] if v is not None]
+            size = _store(path, x=planes(np.concatenate(x)), **rest)
+            done.append((int(part["chunk"].iat[0]), int(kind), path, size, np.sum(stats, axis=0).tolist() if stats else None))
+        return _batch(done, LISTED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if held and row[0] != held[0][0]:
-                    yield kernel(pd.DataFrame(held, columns=names))
+                    yield keep(held)
                     held = []
                 held.append(row)
         if held:
-            yield kernel(pd.DataFrame(held, columns=names))
+            yield keep(held)
+
+    number = F.shiftright("chunk", 20) * serials + F.pmod("chunk", F.lit(CHUNKS_PER_TASK))
+    d = answers.withColumn("p", F.pmod(number, F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("p")).drop("p")
+    found = written(d.sortWithinPartitions("chunk").mapInArrow(run, LISTED), f"{name}-list")
+    listed = found.select("chunk").distinct().count()
+    if listed < least:
+        raise ValueError(f"{name}: {listed} of {least} chunks have their answers")
+    return found
+
+
+def over_chunks(places: DataFrame, n: int, kernel: Callable[[int, list[dict]], pa.RecordBatch], schema: str) -> DataFrame:
+    """kernel over each chunk's number and the places of its files, a task a chunk."""
+    d = places.groupBy("chunk").agg(F.collect_list(F.struct("kind", "path", "size")).alias("places")).repartition(n)  # six places at most
 
-    tasks, most = chunks.select(F.count("*"), F.max(number)).first()
-    parts = max(1, min(int(most) + 1, 2 * int(tasks)))
-    return d.withColumn("p", F.pmod(number, F.lit(parts)).cast("int")).repartitionById(parts, F.col("p")).drop("p").sortWithinPartitions("chunk").mapInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, held in zip(*(c.to_pylist() for c in batch.columns)):
+                yield kernel(chunk, held)
+
+    return d.mapInArrow(run, schema)
 
 
 def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, part: int = PART) -> DataFrame:
@@ -432,24 +477,29 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     spark = df.sparkSession
     result = f"`{id_col}` long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     chunks = make_chunks(df, id_col, text_col, chunk)
-    n, tokens, words, serial = chunks.agg(F.count("*"), F.sum("tokens"), F.sum("words"), F.max(F.pmod("chunk", F.lit(CHUNKS_PER_TASK)))).first()
+    n, tokens, words, last, most = chunks.agg(F.count("*"), F.sum("tokens"), F.sum("words"), F.max(F.pmod("chunk", F.lit(CHUNKS_PER_TASK))), F.max(F.shiftright("chunk", 20))).first()
     if not n:
         return spark.createDataFrame([], result)
+    serials = int(last) + 1
+    tasks = max(1, min((int(most) + 1) * serials, 2 * n))
     bits = {k: int((words if k == 1 else tokens) // part).bit_length() for k in COUNTS}
     spread = chunks.repartition(n)
-    names, stats, counted = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 3)], {}, None
+    places = chunks.select("chunk", F.lit(PLACE).alias("kind"), "path", "size")
+    names, stats = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(K + 3)], {}
     for k in COUNTS:
-        found = written(ask_counts(spread, k, bits[k]).groupBy("part").applyInPandas(sum_counts, ANSWERED), f"counts-{k}")
+        found = stored(ask_counts(spread, k, bits[k]).groupBy("part").applyInPandas(sum_counts, ANSWERED), n if k < 3 else 0, tasks, serials, f"counts-{k}")
         row = found.where("stats IS NOT NULL").agg(*names).first()
         stats[k] = [row[f"s{i}"] or 0.0 for i in range(K + 3)]
-        counted = found if counted is None else counted.unionByName(found)
+        places = places.unionByName(found.drop("stats"))
         settle(spark)
     model = Model(stats)
-    asked = by_chunk(counted, chunks, serial + 1, lambda rows: ask_weights(rows, model, bits[1]), ASKED)
-    weights = written(asked.groupBy("part").applyInPandas(sum_weights, ANSWERED), "weights")
-    settle(spark)
+    for k in (1, 2):
+        asked = over_chunks(places, n, lambda chunk, held: ask_weights(chunk, held, model, k, bits[k]), ASKED)  # noqa: B023
+        places = places.unionByName(stored(asked.groupBy("part").applyInPandas(sum_weights, ANSWERED), 0, tasks, serials, f"weights-{k}").drop("stats"))
+        del asked
+        settle(spark)
     arrow = to_arrow_schema(T._parse_datatype_string(result))
-    return by_chunk(counted.unionByName(weights), chunks, serial + 1, lambda rows: score_chunk(rows, model, arrow), result)
+    return over_chunks(places, n, lambda _, held: score_chunk(held, model, arrow), result)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -93,3 +93,168 @@ def test_components_at_a_hub_and_of_odd_links(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(rows, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(3000)}, **{i: 5000 for i in range(5000, 5041)}, 8000: 8000, 8001: 8000}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_katz_of_empty_and_short_texts(spark):
+    import math
+
+    from quire.llm import katz
+
+    rows = {r["doc_id"]: r for r in katz.score_texts(spark.createDataFrame([(i, "") for i in range(20)], "doc_id long, text string")).collect()}
+    assert len(rows) == 20 and all(r["n_tokens"] == 1 and math.isfinite(r["score"]) for r in rows.values())
+    rows = katz.score_texts(spark.createDataFrame([(i, "a" * (i % 3)) for i in range(20)], "doc_id long, text string"), chunk=1).collect()
+    assert len(rows) == 20 and all(r["score"] <= 0 for r in rows)
+
+
+def test_transducer_emits_before_the_piece_ends():
+    P = pytest.importorskip("public_tokenizers")
+    import random
+    import string
+
+    import numpy as np
+
+    from quire.llm import bpe
+
+    t = bpe.Transducer(bpe.read_ranks(P.path("byte_bpe_50k.tiktoken")))
+    rng = random.Random(6)
+    for piece in (b"a" * 3000, "".join(rng.choices(string.ascii_lowercase, k=3000)).encode(), "é世😀".encode() * 300):
+        stream, out, sure, lag = bpe.Stream(t), b"", 0, 0
+        for i in range(len(piece)):
+            got = stream.feed(piece[i : i + 1])
+            out += got
+            sure += sum(len(t.bytes_of[k]) for k in np.frombuffer(got, "<u4").tolist())
+            lag = max(lag, i + 1 - sure)
+        assert lag <= 64 and len(out) > 0.9 * len(t.encode(piece))
+        assert out + stream.end() == t.encode(piece)
+
+
+def test_whole_piece_tokens_in_streams():
+    from quire.llm import bpe
+
+    ranks = {bytes([b]): i for i, b in enumerate(b"abcd")} | {b"ab": 4, b"abcd": 5}  # no merges leave abcd
+    t = bpe.Transducer(ranks)
+    stream = bpe.Stream(t)
+    assert stream.feed(b"abcd") == b"" and stream.end() == t.packed[5] == t.encode(b"abcd")
+    stream = bpe.Stream(t)
+    assert stream.feed(b"abcda") != b"" or stream.held == b""
+    assert t.encode(b"abcda") == b"".join(t.packed[i] for i in (4, 2, 3, 0))
+
+
+def test_utf8_machine_replaces_as_python_does():
+    import random
+
+    from quire.llm import bpe
+
+    rng = random.Random(1)
+    for _ in range(3000):
+        data = bytes(rng.choices([0x41, 0x80, 0x8F, 0x9F, 0xA0, 0xBF, 0xC0, 0xC2, 0xE0, 0xE1, 0xED, 0xF0, 0xF1, 0xF4, 0xF5, 0xFF], k=rng.randint(0, 12)))
+        machine = bpe.Utf8Machine()
+        assert "".join(machine.feed(data[i : i + 1]) for i in range(len(data))) + machine.end() == data.decode("utf-8", "replace")
+
+
+def test_likeness_of_many_repeated_lines():
+    from quire.llm import multiset
+
+    line = "one line of eight words it really is\n"
+    a, b, c = (multiset.fingerprint(line * n) for n in (33_000, 32_000, 65_536))
+    assert a.likeness(b) > 0.99 and c.likeness(a) > 0.7 and any(c.signs)
+    total = c
+    for _ in range(16):
+        total = total + total  # lanes wrap around
+    assert total.likeness(total - a + a) == 1.0
+
+
+def test_neighbours_of_a_hot_id(spark):
+    from quire.llm import multiset
+
+    rows = [(7, f"text {i} of the hot id") for i in range(120)] + [(None, f"null {i}") for i in range(60)] + [(i, f"other {i}") for i in range(20, 60)]
+    got = multiset.edited_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] for r in got), key=str) == sorted((r[0] for r in rows), key=str)
+    assert {r["fingerprint"] for r in got} == {str(multiset.fingerprint(t)) for _, t in rows}
+
+
+def test_letters_are_one_piece_of_the_pattern():
+    P = pytest.importorskip("public_tokenizers")
+    import numpy as np
+
+    from quire.llm import packing
+
+    t = packing.Tokens(P.path("byte_bpe_50k.json"))
+    letters = [c for c in map(chr, range(0x110000)) if packing.LETTERS(c)]
+    assert len(letters) > 30_000
+    words = [f" {a}{b}" for a, b in zip(letters, letters[1:])]
+    got = t.encode(words)
+    want = [e.ids for e in t.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_packing_cache_keeps_no_long_parts(monkeypatch):
+    P = pytest.importorskip("public_tokenizers")
+    from quire.llm import packing
+
+    t = packing.Tokens(P.path("byte_bpe_50k.json"))
+    text = "世界" * 5000
+    first = t.encode([text, "a few words"])
+    assert max(map(len, t.parts)) <= packing.LONGEST_KEPT
+    monkeypatch.setattr(packing, "CACHE_BYTES", 100)
+    assert t.encode([text, "a few words"]) == first and t.encode(["a few words"]) == first[1:] and len(t.parts) < 10
+
+
+def test_whole_licence_texts_match_exactly():
+    from quire.llm import license_texts, licenses
+
+    def plain(parts):
+        import re
+
+        text = " ".join(parts)
+        text = re.sub(r"\{[0-9]+\}", "the holders", text)
+        text = re.sub(r"\[[^\]|]*(\|[^\]]*)?\]", "", text)
+        return re.sub(r"\(([^)|]*)(\|[^)]*)?\)", r"\1", text)
+
+    scanner = licenses.Scanner()
+    for label, parts in (("mit-text", license_texts.MIT), ("isc-text", license_texts.ISC), ("bsd-2-text", license_texts.BSD_2), ("bsd-3-text", license_texts.BSD_3), ("apache-2.0-text", license_texts.APACHE_2)):
+        text = plain(parts)
+        odd = f"Under a licence: {text.replace(' ', ', ', 3).upper()}."
+        assert label in {x[0] for x in scanner.scan(odd)[2]}, label
+        words = text.split()
+        for at in (4, len(words) - 3):
+            changed = " ".join([*words[:at], "never", *words[at:]])
+            assert label not in {x[0] for x in scanner.scan(f"licence {changed}")[2]}, (label, at)
+
+
+def test_pii_contexts_and_candidates(spark):
+    from quire.llm import pii
+
+    text = "Tel:555 777 1234, JOHN [AT] EXAMPLE.ORG; (a@b.org) x 12 345 6789 8th host 10[.]0[.]0[.]1 " + "1 2 " * 30 + "a1234567b"
+    base = pii.base_spans(text)
+    more = pii._candidates(text, base)
+    assert [(k, text[a:b]) for k, a, b in more] == [("email", "JOHN [AT] EXAMPLE.ORG"), ("ip", "10[.]0[.]0[.]1"), ("phone", "555 777 1234"), ("phone", "12 345 6789")]
+    assert pii._contexts(text, [more[2][1], base[0][1]]) == [["tel"], ["org", "example org"]]
+    assert pii._contexts("x" * 150 + " 555", [151]) == [["x" * 150]]
+    rows = [(i, f"contact:+1 (555) 000-{1000 + i}") for i in range(20)] + [(100, "contact:555 777 1234")]
+    got = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == [("phone", 8, 20)]
+
+
+def test_pii_rounds_go_on_until_nothing_is_new(spark):
+    from quire.llm import pii
+
+    # each word stands before five numbers that only the word before it knows
+    numbers = lambda k: [f"55{k} 777 {1000 + i}" for i in range(10)]
+    rows = [f"seed +1 (555) 000-{1000 + i}" for i in range(9)] + [f"seed {x}" for x in numbers(0)[:2]]
+    for k in range(6):
+        word = chr(ord("a") + k) * 3
+        rows += [f"{word} {x}" for x in ([*numbers(k)[:8]] if k else numbers(0)[:8])]
+    d = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    found = {r["pattern"] for r in pii.confident_patterns(pii.scan_texts(d).cache(), d).collect()}
+    assert "seed" in found
+
+
+def test_navigation_lines_of_any_length(spark):
+    from quire.llm import line_quality
+
+    lines = "Home | " + " | ".join(f"item {i}" for i in range(2000))
+    words = "This is a full sentence, with more than a few words in it, and a stop at its end. "
+    d = spark.createDataFrame([(1, f"{lines}\n{words * 40}"), (2, "|" * 200_000 + ". x"), (3, "home " + "| " * 100_000 + "? y")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_quality.line_first_clean(d).collect()}
+    assert "Home" not in got[1]["clean_text"] and words.strip() in got[1]["clean_text"]
