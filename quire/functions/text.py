@@ -8,39 +8,41 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ATTR = r"(?:\{" + r"[^}]*\})?"
-TARGET = r"\(" + r"[^)]*\)"
-ANCHOR = r"\(#" + r"[^)]*\)"
-LABEL = r"\[" + r"[^\]]*\]"
+#: White space of any kind, as strip() takes it; and that within a line.
+WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+GAP = WS.replace(r"\t-\r", r"\t\x0b-\r")
+ATTRS = r"(?:\{[^}]*\})?"
+TARGET, ANCHOR = r"\([^)]*\)", r"\(#[^)]*\)"
+LABEL = r"\[[^\]]*\]"
 EMPTY_LINES = r"\n\n\n+"
 UNITS = "B KiB MiB GiB TiB".split()
 TAGS = ("br", "div", "em", "p", "span", "strong", "sub", "sup")
 
-#: (name, pattern for Java and RE2, replacement with $1 for the group), in order. Line ends are \n only.
-RULES: tuple[tuple[str, str, str], ...] = (
-    ("figcaption", r"(?s)<figcaption>\s*(.*?)\s*" + "</figcaption>", "\n\n$1\n\n"),
-    ("figure", "</?figure[^>]*>", ""),
-    ("image", r"!\[" + r"([^\n]*?)\]" + TARGET + ATTR, "\n\n$1\n\n"),
-    ("img", "<img[^>]*/?>", ""),
-    ("embed", "<embed[^>]*/?>", ""),
-    ("equation_ref", r"\[\\\[" + r"[^\]]*?" + r"\\\]\]" + ANCHOR + ATTR, ""),
-    ("anchor_link", r"\[" + r"([^\]]+)\]" + ANCHOR + ATTR, "$1"),
-    ("citation", r"\[@" + r"[^\]]*\]", ""),
-    ("fence", r"(?m)^:::+[^\n]*", ""),
-    ("id_attr", r"\{#" + r"[^}]*\}", ""),
-    ("class_attr", r"\{\." + r"[^}]*\}", ""),
-    ("key_attr", r"\{[^{}]*" + r"=[^{}]*\}", ""),
-    ("tags", f"</?(?:{'|'.join(TAGS)})[^>]*>", ""),
-    ("empty_parens", r"\(\s*" + r"[,;]?\s*\)", ""),
-    ("empty_brackets", r"\[\s*\]", ""),
-    ("space_before_sign", r"[ \t]+" + r"([),.:;])", "$1"),
-    ("space_after_paren", r"\(\s+", "("),
-    ("blanks", r"[ \t]{2,}", " "),
-    ("blank_lines", EMPTY_LINES, "\n\n"),
+#: (name, text that a match must hold, (pattern, replacement) pairs), in order. Line ends are \n only. A blank
+#: caption leaves a paragraph's end, any other a paragraph of its own.
+RULES: tuple[tuple[str, str, tuple[tuple[str, str], ...]], ...] = (
+    ("figcaption", "<figcaption>", ((f"<figcaption>{WS}*</figcaption>", "\n\n"), (f"(?s)<figcaption>{WS}*(.*?){WS}*</figcaption>", "\n\n$1\n\n"))),
+    ("figure", "figure", (("</?figure[^>]*>", ""),)),
+    ("image", "![", ((rf"!\[{GAP}*\]{TARGET}{ATTRS}", "\n\n"), (rf"!\[{GAP}*([^\n]*?){GAP}*\]{TARGET}{ATTRS}", "\n\n$1\n\n"))),
+    ("img", "<img", (("<img[^>]*>", ""),)),
+    ("embed", "<embed", (("<embed[^>]*>", ""),)),
+    ("equation_ref", "[\\[", ((rf"\[\\\[[^\]]*?\\\]\]{ANCHOR}{ATTRS}", ""),)),
+    ("anchor_link", "](#", ((rf"\[([^\]]+)\]{ANCHOR}{ATTRS}", "$1"),)),
+    ("citation", "[@", ((r"\[@[^\]]*\]", ""),)),
+    ("fence", ":::", ((r"(?md)^:::+[^\n]*", ""),)),
+    ("id_attr", "{#", ((r"\{#[^}]*\}", ""),)),
+    ("class_attr", "{.", ((r"\{\.[^}]*\}", ""),)),
+    ("key_attr", "{", ((r"\{[^{}=]*=[^{}]*\}", ""),)),
+    ("tags", "<", ((f"</?(?:{'|'.join(TAGS)})[^>]*>", ""),)),
+    ("empty_parens", "(", ((rf"\({WS}*[,;]?{WS}*\)", ""),)),
+    ("empty_brackets", "[", ((rf"\[{WS}*\]", ""),)),
+    ("space_before_sign", "", ((r"[ \t]+([),.:;])", "$1"),)),
+    ("space_after_paren", "(", ((rf"\({WS}+", "("),)),
+    ("blanks", "", ((r"[ \t]{2,}", " "),)),
+    ("blank_lines", "\n\n\n", ((EMPTY_LINES, "\n\n"),)),
 )
-RESIDUE = "|".join((r"\[@", r"\{#", r"\{\.[A-Za-z]", r"\{[A-Za-z]" + r'[\w-]*="', ":::", "<(?:figure|div|span)", r"\[\\\[", r"\]\(#"))
+RESIDUE = "|".join((r"\[@", r"\{#", r"\{\.[A-Za-z]", r'\{[A-Za-z][\w-]*="', ":::", "<(?:figure|div|span)", r"\[\\\[", r"\]\(#"))
 MATH = r"(?s)\$\$.{0,1998}?\$\$|\$[^$\n]+\$"
-MATH_RE2 = r"(?s)\$\$.{0,1000}?.{0,998}?\$\$|\$[^$\n]+\$"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -50,11 +52,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
 
 
 def collapse(c: Column) -> Column:
-    return strip(F.regexp_replace(c, r"(?U)\s+", " "))
+    return strip(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def clean_target(c: Column) -> Column:
@@ -83,11 +85,15 @@ def _interleave(parts: Column, between: Callable[[Column], Column]) -> Column:
 def protected(c: Column, body: Callable[[Column], Column]) -> Column:
     """body over c with formulas replaced by marks, which are put back afterwards by their number."""
 
+    some = F.contains(c, F.lit("$"))
+    store = F.when(some, F.regexp_extract_all(c, F.lit(MATH), F.lit(0))).otherwise(F.expr("CAST(array() AS array<string>)"))
+    parts = F.when(some, F.split(c, MATH)).otherwise(F.array(c))
+
     def kept(s: Column) -> Column:
-        masked = bind(F.split(c, MATH), lambda parts: _interleave(parts, lambda i: F.concat(F.lit("\0M"), i.cast("string"), F.lit("\0"))))
-        return bind(body(masked), lambda done: _restored(done, s))
+        masked = bind(parts, lambda p: _interleave(p, lambda i: F.concat(F.lit("\0M"), i.cast("string"), F.lit("\0"))))
+        return bind(body(masked), lambda done: F.when(F.size(s) == 0, done).otherwise(_restored(done, s)))
 
-    return bind(F.regexp_extract_all(c, F.lit(MATH), F.lit(0)), kept)
+    return bind(store, kept)
 
 
 def _restored(done: Column, store: Column) -> Column:
@@ -95,20 +101,26 @@ def _restored(done: Column, store: Column) -> Column:
     return bind(numbers, lambda n: bind(F.split(done, "\0M[0-9]+\0"), lambda parts: _interleave(parts, lambda i: F.get(store, F.get(n, i).cast("int")))))
 
 
+def _replaced(c: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, new in pairs:
+        c = F.regexp_replace(c, pattern, new)
+    return c
+
+
 def apply_rule(c: Column, name: str) -> Column:
-    pattern, new = next((p, n) for k, p, n in RULES if k == name)
-    return F.regexp_replace(c, pattern, new)
+    return _replaced(c, next(pairs for k, _, pairs in RULES if k == name))
 
 
 def scrub(c: Column) -> Column:
-    """All rules in order, formulas left alone; no-break spaces become spaces first."""
+    """All rules in order, formulas left alone; no-break spaces become spaces first. A rule is tried only
+    on texts that hold what its matches must."""
 
     def rules(t: Column) -> Column:
-        for _, pattern, new in RULES:
-            t = F.regexp_replace(t, pattern, new)
+        for _, needed, pairs in RULES:
+            t = bind(t, lambda x: F.when(F.contains(x, F.lit(needed)), _replaced(x, pairs)).otherwise(x) if needed else _replaced(x, pairs))  # noqa: B023
         return strip(t)
 
-    return protected(F.translate(c, " ", " "), rules)
+    return protected(F.translate(c, "\xa0", " "), rules)
 
 
 def titled(title: Column, authors: Column, body: Column) -> Column:
@@ -153,19 +165,35 @@ def glob_pattern(glob: str) -> str:
     return f"(?s)^{out}$"
 
 
-def _money(values: pd.Series) -> pd.Series:
-    return values.map(lambda v: None if v is None or v != v else f"{v:.2f}")
-
-
 def money(c: Column) -> Column:
-    """Two decimals, ties by the binary value, which format_string rounds up."""
-    return F.pandas_udf(_money, "string")(c)
+    """Two decimals, rounded by the exact binary value, ties to even; format_string rounds what is shown.
+
+    For values under 2^53. A fraction of 2^-8 or more is a whole number of 2^-60; smaller ones round to 0.
+    """
+    unit, x = 1 << 60, F.abs(c)
+    whole = F.floor(x)
+    part = F.floor(F.when(x - whole < 2.0**-8, F.lit(0.0)).otherwise((x - whole) * F.lit(float(unit)))).cast("decimal(20,0)") * 100
+    cents = F.call_function("div", part, F.lit(unit).cast("decimal(20,0)"))
+    rest = part - (cents * F.lit(unit).cast("decimal(20,0)"))
+    total = whole * 100 + cents
+    half = F.lit(unit // 2).cast("decimal(20,0)")
+    total = total + F.when((rest > half) | (rest == half) & (total % 2 == 1), 1).otherwise(0)
+    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
+    shown = F.concat(sign, F.call_function("div", total, F.lit(100)).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
+    return F.when(~F.isnan(c), shown)
 
 
 def _heads(texts: pd.Series) -> pd.DataFrame:
-    from quire.sources.readers import flat_yaml
+    from quire.sources.yaml import parse_yaml
+
+    def fields(text: str) -> dict:
+        try:
+            found = parse_yaml(text)
+        except ValueError:
+            return {}
+        return found if isinstance(found, dict) else {}
 
-    found = [flat_yaml(t or "") for t in texts]
+    found = [fields(t or "") for t in texts]
     keep = lambda v: v if isinstance(v, str) else None
     return pd.DataFrame({"title": [keep(f.get("title")) for f in found], "abstract": [keep(f.get("abstract")) for f in found]})
 

@@ -55,6 +55,11 @@ def remaining(manifest: DataFrame, on_disk: DataFrame) -> DataFrame:
     return d.agg(F.sum(left).alias("bytes_left"))
 
 
+def fits(left: DataFrame, free: int, reserve: int = 0) -> DataFrame:
+    """bytes_left with whether it and a reserve are free."""
+    return left.withColumn("fits", F.coalesce("bytes_left", F.lit(0)) + reserve <= free)
+
+
 def last_state(log: DataFrame, order: str) -> DataFrame:
     """The last digest that the log has for each path."""
     return last_wins(log, ["path"], order)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quire.functions.text import locator, strip
+from quire.sources.writers import scratch
 
 
 def not_false(c: Column) -> Column:
@@ -49,31 +50,42 @@ def last_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return d.select(*keys, *(F.col("last").getField(c).alias(c) for c in rest))
 
 
-def positions(df: DataFrame, order: str, within: list[str], name: str) -> DataFrame:
-    """Dense zero-based positions by within, which begins with order, a number. Ranks are counted within
-    ranges of the order column and shifted by the counts of the ranges before, so no partition holds all rows."""
+def positions(df: DataFrame, within: list[str], name: str) -> DataFrame:
+    """Dense zero-based positions by within. The rows are range-partitioned, sorted and written once; a
+    row's place within its part is then known, and is shifted by the counts of the parts before."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({float(x) for x in df.approxQuantile(order, [i / n for i in range(1, n)], 0.01)}) if n > 1 else []
-    part = F.size(F.filter(F.array(*map(F.lit, cuts)) if cuts else F.expr("CAST(array() AS array<double>)"), lambda c: c < F.col(order)))
-    d = df.withColumn("_part", part)
+    path = scratch(spark, "sorted")
+    df.repartitionByRange(n, *within).sortWithinPartitions(*within).withColumn("_m", F.monotonically_increasing_id()).write.parquet(path)
+    d = spark.read.parquet(path).withColumn("_part", F.shiftright("_m", 33))
     counts = d.groupBy("_part").count()  # as many rows as shuffle partitions
     before = counts.select("_part", (F.sum("count").over(W.orderBy("_part")) - F.col("count")).alias("_before"))
-    d = d.withColumn("_rank", F.row_number().over(W.partitionBy("_part").orderBy(*within))).join(F.broadcast(before), "_part")
-    return d.withColumn(name, F.col("_before") + F.col("_rank") - 1).drop("_part", "_rank", "_before")
+    d = d.join(F.broadcast(before), "_part")
+    return d.withColumn(name, F.col("_before") + F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))).drop("_part", "_before", "_m")
 
 
 def sequence_ids(df: DataFrame, order: str, prefix: str, digits: int, name: str = "sample_id") -> DataFrame:
     """Dense zero-based ids in order, after all filters."""
-    d = positions(df, order, [order], "_at")
+    d = positions(df, [order], "_at")
     return d.withColumn(name, F.concat(F.lit(prefix), F.lpad(F.col("_at").cast("string"), digits, "0"))).drop("_at")
 
 
-def fixed_groups(df: DataFrame, order: str, size: int, text: str, separator: str, of: list[str] | None = None) -> DataFrame:
-    """Groups of size rows in a row, incomplete ones dropped: (of, group, n, first, members, joined)."""
-    w = W.partitionBy(*(of or [F.lit(0)])).orderBy(order)
-    d = df.withColumn("group", F.floor((F.row_number().over(w) - 1) / size))
-    g = d.groupBy(*(of or []), "group").agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))).alias("m")).where(F.size("m") == size)
+def fixed_groups(df: DataFrame, order: str, size: int, text: str, separator: str, of: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Groups of size rows in a row, incomplete ones dropped: (of, group, n, first, members, rows, joined).
+
+    Rows are numbered over all of the table, and each value of the of columns begins anew at the least
+    of its numbers, so no task holds all rows of a value.
+    """
+    of = of or []
+    d = positions(df.select(*of, order, text, *(c for c in keep if c not in (*of, order, text))), [*of, order], "_at")
+    if of:
+        begins = d.groupBy(*of).agg(F.min("_at").alias("_begin"))
+        d = d.alias("d").join(begins.alias("b"), F.expr(" AND ".join(f"d.`{c}` <=> b.`{c}`" for c in of))).select("d.*", (F.col("_at") - F.col("_begin")).alias("_place"))
+    else:
+        d = d.withColumn("_place", F.col("_at"))
+    row = F.struct(F.col(order).alias("o"), F.col(text).alias("t"), F.struct(*keep).alias("r")) if keep else F.struct(F.col(order).alias("o"), F.col(text).alias("t"))
+    g = d.groupBy(*of, F.floor(F.col("_place") / size).alias("group")).agg(F.sort_array(F.collect_list(F.struct(F.col("_place").alias("p"), row.alias("x")))).alias("m")).where(F.size("m") == size)
     return g.select(
-        *(of or []), "group", F.size("m").alias("n"), F.get("m", F.lit(0))["o"].alias("first"), F.transform("m", lambda x: x["o"]).alias("members"), F.array_join(F.transform("m", lambda x: x["t"]), separator).alias("joined")
-    )
+        *of, "group", F.size("m").alias("n"), F.get("m", F.lit(0))["x"]["o"].alias("first"), F.transform("m", lambda x: x["x"]["o"]).alias("members"),
+        *([F.transform("m", lambda x: x["x"]["r"]).alias("rows")] if keep else []), F.array_join(F.transform("m", lambda x: x["x"]["t"]), separator).alias("joined"),
+    )

@@ -48,12 +48,14 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("chunk"),
         F.concat(F.lit("pdf_tarballs/"), "source", F.lit(".tar.gz:"), member).alias("pdf_relpath"),
         (F.col("doc_id") % 5).alias("page_number"),
+        (F.length("text") % 900 + 100).alias("img_w"),
+        (F.length("lang") + F.col("doc_id") % 7).alias("img_h"),
     )
 
 
 PAGES = """pages0 AS (
   SELECT d.doc_id AS ord, 'doc_' || d.doc_id AS id, text AS natural_text, lang AS primary_language, quality <> 0 AS is_rotation_valid,
-         toxic = 1 AS is_diagram, contains(text, '|') AS is_table, source AS chunk, d.doc_id % 5 AS page_number,
+         toxic = 1 AS is_diagram, contains(text, '|') AS is_table, source AS chunk, d.doc_id % 5 AS page_number, length(text) % 900 + 100 AS img_w, length(lang) + d.doc_id % 7 AS img_h,
          'pdf_tarballs/' || source || '.tar.gz:' || CASE WHEN d.doc_id % 2 = 0 THEN './' ELSE '' END || d.doc_id || '.pdf' AS pdf_relpath
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 WITH_PAGES = f"WITH {PAGES}"

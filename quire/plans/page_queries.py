@@ -9,7 +9,7 @@ from quire.functions import text as X
 from quire.operators import pages as P
 from quire.operators import samples as S
 from quire.plans.base import WITH_PAGES, pages, query, read
-from quire.schema import PAGE_BREAK, PAGE_TOKEN, PROMPT_MERGE
+from quire.schema import PAGE_BREAK, PAGE_TOKEN
 
 STRIP = r"regexp_replace({}, '^[\s\x0b\x1c-\x1f\x85\p{{Z}}]+|[\s\x0b\x1c-\x1f\x85\p{{Z}}]+$', '', 'g')"
 TRIMMED = STRIP.format("natural_text")
@@ -17,24 +17,32 @@ CONVERT = f"""primary_language = 'en' AND is_rotation_valid IS DISTINCT FROM fal
   AND length({TRIMMED}) BETWEEN 200 AND 5000"""
 
 
-@query(
-    f"""{WITH_PAGES} SELECT 'page_' || lpad(CAST(row_number() OVER (ORDER BY ord) - 1 AS VARCHAR), 6, '0') AS sample_id, chunk AS source, 'images/' || id || '.png' AS image,
-    'single_gundam' AS mode, natural_text AS target, 'markdown' AS target_format, 'page' AS task, length(natural_text) AS char_len, primary_language AS language, is_table
-    FROM pages0 WHERE {CONVERT}"""
-)
+#: A sample's meta as JSON; null fields are written. Fields that a producer doesn't have come last.
+META_SQL = """CAST(to_json({{'chunk': chunk, 'arcname': regexp_replace(regexp_extract(pdf_relpath, 'tar[.]gz:(.*)', 1), '^[.]/', ''), 'page_id': {page_id}, 'img_w': img_w, 'img_h': img_h, 'char_len': length(natural_text), 'language': primary_language,
+    'is_table': is_table, 'is_diagram': is_diagram, 'license': 'odc-by', 'n_pages': NULL, 'page_ids': NULL, 'arxiv_id': NULL}}) AS VARCHAR)"""
+PAGE_SQL = """'page_' || lpad(CAST(row_number() OVER (ORDER BY ord) - 1 AS VARCHAR), {digits}, '0') AS id, 'pages' AS source, 'images/page_' || lpad(CAST(row_number() OVER (ORDER BY ord) - 1 AS VARCHAR), {digits}, '0') || '.png' AS image,
+    'single_gundam' AS mode, '<image>Read this page.' AS prompt, natural_text AS target, 'natural_text_or_html' AS target_format, 'full_page_parse' AS task"""
+
+
+def _shown(samples):
+    """A sample's fields, meta as JSON, without those that are null in all rows."""
+    return samples.withColumn("meta", F.to_json("meta", {"ignoreNullFields": "false"}))
+
+
+def _arcs(d):
+    return P.located(d).withColumn("member", F.regexp_replace("member", r"^\./", ""))
+
+
+@query(f"{WITH_PAGES} SELECT {PAGE_SQL.format(digits=6)}, {META_SQL.format(page_id='id')} AS meta FROM pages0 WHERE {CONVERT}")
 def page_convert(spark, sf):
     """PRD04-08, PRJ08, WIN01: filtered pages as samples with dense ids."""
-    d = P.sequence_ids(P.convertible(pages(spark, sf)), "ord", "page_", 6)
-    return d.select(
-        "sample_id", F.col("chunk").alias("source"), F.concat(F.lit("images/"), "id", F.lit(".png")).alias("image"), F.lit("single_gundam").alias("mode"), F.col("natural_text").alias("target"),
-        F.lit("markdown").alias("target_format"), F.lit("page").alias("task"), F.length("natural_text").alias("char_len"), F.col("primary_language").alias("language"), "is_table",
-    )
+    return _shown(S.page_samples(_arcs(P.convertible(pages(spark, sf))), "pages")).drop("images")
 
 
-@query(f"{WITH_PAGES} SELECT 'page_' || lpad(CAST(row_number() OVER (ORDER BY ord) - 1 AS VARCHAR), 4, '0') AS sample_id, id, chunk, length(natural_text) AS char_len FROM (SELECT * FROM pages0 WHERE contains(pdf_relpath, 'src1') ORDER BY ord LIMIT 30)")
+@query(f"{WITH_PAGES} SELECT {PAGE_SQL.format(digits=4)}, {META_SQL.format(page_id='CAST(NULL AS VARCHAR)')} AS meta FROM (SELECT * FROM pages0 WHERE contains(pdf_relpath, 'src1') ORDER BY ord LIMIT 30)")
 def prj09_lim05_probe_samples(spark, sf):
     d = pages(spark, sf).where(F.col("pdf_relpath").contains("src1")).orderBy("ord").limit(30)
-    return P.sequence_ids(d, "ord", "page_", 4).select("sample_id", "id", "chunk", F.length("natural_text").alias("char_len"))
+    return _shown(S.page_samples(_arcs(d), "pages", digits=4, probe=True)).drop("images")
 
 
 @query(f"{WITH_PAGES} SELECT count(*) AS n, min(length(natural_text)) AS lo, CAST(trunc(median(length(natural_text))) AS BIGINT) AS med, max(length(natural_text)) AS hi, CAST(count_if(is_table) AS BIGINT) AS has_table, CAST(count_if(is_diagram) AS BIGINT) AS has_diagram FROM pages0 WHERE {CONVERT.replace('AND is_diagram IS DISTINCT FROM true', '')}")
@@ -45,10 +53,9 @@ def agg01_02_page_stats(spark, sf):
     return d.agg(F.count("*").alias("n"), F.min("n").alias("lo"), F.expr("CAST(percentile(n, 0.5) AS BIGINT)").alias("med"), F.max("n").alias("hi"), F.count_if("is_table").alias("has_table"), F.count_if("is_diagram").alias("has_diagram"))
 
 
-@query(f"{WITH_PAGES} SELECT min(length(natural_text) % 900 + 100) AS w_lo, max(length(natural_text) % 900 + 100) AS w_hi, min(page_number) AS h_lo, max(page_number) AS h_hi FROM pages0")
+@query(f"{WITH_PAGES} SELECT min(img_w) AS w_lo, max(img_w) AS w_hi, min(img_h) AS h_lo, max(img_h) AS h_hi FROM pages0")
 def agg03_image_ranges(spark, sf):
-    w = F.length("natural_text") % 900 + 100
-    return pages(spark, sf).agg(F.min(w).alias("w_lo"), F.max(w).alias("w_hi"), F.min("page_number").alias("h_lo"), F.max("page_number").alias("h_hi"))
+    return pages(spark, sf).agg(F.min("img_w").alias("w_lo"), F.max("img_w").alias("w_hi"), F.min("img_h").alias("h_lo"), F.max("img_h").alias("h_hi"))
 
 
 @query(f"{WITH_PAGES} SELECT chunk, page_number AS arc, max(ord) AS ord, arg_max(id, ord) AS id FROM pages0 GROUP BY ALL")
@@ -123,7 +130,7 @@ def sca05_whitespace_collapse(spark, sf):
 
 
 DIRTY = "'![a](b.png)' || chr(10) || text || '  ' || chr(10) || chr(10) || chr(10) || chr(10) || 'end ![x](y)'"
-CLEAN = f"{STRIP.format(f'''regexp_replace(regexp_replace(regexp_replace({DIRTY}, '!{X.LABEL}{X.TARGET}', '', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')''')} || chr(10)"
+CLEAN = f"{STRIP.format(f'''regexp_replace(regexp_replace(regexp_replace({DIRTY}, '!\\[[^\\]]*\\][(][^)]*[)]', '', 'g'), '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')''')} || chr(10)"
 
 
 @query(f"SELECT doc_id, {CLEAN} AS target FROM documents WHERE length({CLEAN}) BETWEEN 300 AND 12000")
@@ -137,39 +144,72 @@ def prd13_max_target(spark, sf):
     return read(spark, sf, "documents").where(~(F.length("text") > 2500)).select("doc_id")
 
 
+RESIDUE_SQL = r"""\[@|[{]#|[{][.][a-zA-Z]|[{][a-zA-Z][-\w]*="|:::|<span|<div|<figure|\[\\\[|\]\(#"""
 RES = "'[@k] {#a} ' || CASE WHEN doc_id % 2 = 0 THEN '::: <span> [\\[ ](#x {k=\"v\"' ELSE '' END || text"
 
 
-@query(f"SELECT doc_id, round(len(regexp_extract_all({RES}, '{X.RESIDUE}')) / greatest(length({RES}) / 1000.0, 1), 6) AS density FROM documents WHERE len(regexp_extract_all({RES}, '{X.RESIDUE}')) / greatest(length({RES}) / 1000.0, 1) <= 5")
+@query(f"SELECT doc_id, round(len(regexp_extract_all({RES}, '{RESIDUE_SQL}')) / greatest(length({RES}) / 1000.0, 1), 6) AS density FROM documents WHERE len(regexp_extract_all({RES}, '{RESIDUE_SQL}')) / greatest(length({RES}) / 1000.0, 1) <= 5")
 def prd14_sca12_residue_gate(spark, sf):
     t = F.concat(F.lit("[@k] {#a} "), F.when(F.col("doc_id") % 2 == 0, '::: <span> [\\[ ](#x {k="v"').otherwise(""), F.col("text"))
     return read(spark, sf, "documents").select("doc_id", X.residue_density(t).alias("d")).where("d <= 5").select("doc_id", F.round("d", 6).alias("density"))
 
 
 MARKUP = {
-    "figcaption": "a<figcaption> cap\n</figcaption>b", "figure": '<figure class="x">a</figure>', "image": "![cap](i.png){width=1}", "img": '<img src="a">', "embed": '<embed src="a"/>',
-    "equation_ref": '[\\[eq\\]](#e){r="x"}', "anchor_link": "[See](#s){r=1} me", "citation": "x [@k; @l] y", "fence": "::: note\nx\n:::", "id_attr": "h {#id .c}", "class_attr": "h {.c}",
-    "key_attr": "a{width=3}b", "tags": "<em>a</em><param x><br/>", "empty_parens": "f( ; )g()", "empty_brackets": "[ ]a", "space_before_sign": "a  , b ;c", "space_after_paren": "(  a",
+    "figcaption": "a<figcaption> \xa0cap\n\u2003</figcaption>b<figcaption>\u3000\n</figcaption>", "figure": '<figure class="x">a</figure>', "image": "a![ \u2002cap ](i.png){width=1}b![\xa0](j.png)", "img": '<img src="a">',
+    "embed": '<embed src="a"/>', "equation_ref": '[\\[eq\\]](#e){r="x"}', "anchor_link": "[See](#s){r=1} me", "citation": "x [@k; @l] y", "fence": "::: note\nx\n:::\r::: y\u2028::: z\n", "id_attr": "h {#id .c}", "class_attr": "h {.c}",
+    "key_attr": "a{width=3}b", "tags": "<em>a</em><param x><br/>", "empty_parens": "f( ; )g()(\u3000,\xa0)", "empty_brackets": "[ ]a[\u2009\x1f]", "space_before_sign": "a  , b ;c\xa0.", "space_after_paren": "(  a(\u2003\x85b",
     "blanks": "a   b", "blank_lines": "a\n\n\n\nb",
 }
-
-
-def _rule(i: int, name: str, pattern: str, new: str) -> None:
+#: The same rules for DuckDB, written on their own: pattern and replacement pairs.
+BLANK, INLINE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]", r"[\t\x0b-\r\x1c-\x1f\x85\p{Z}]"
+BRACED, IN_PARENS, IN_ANCHOR = r"([{][^}]*[}])?", r"[(][^)]*[)]", r"[(]#[^)]*[)]"
+SQL_RULES = {
+    "figcaption": [(f"<figcaption>{BLANK}*</figcaption>", "\n\n"), (f"(?s)<figcaption>{BLANK}*(.*?){BLANK}*</figcaption>", "\n\n\\1\n\n")],
+    "figure": [("<(/figure|figure)[^>]*>", "")],
+    "image": [(rf"!\[{INLINE}*\]{IN_PARENS}{BRACED}", "\n\n"), (rf"!\[{INLINE}*([^\n]*?){INLINE}*\]{IN_PARENS}{BRACED}", "\n\n\\1\n\n")],
+    "img": [("<img[^>]*/?>", "")],
+    "embed": [("<embed[^>]*/?>", "")],
+    "equation_ref": [(rf"\[\\\[[^\]]*\\\]\]{IN_ANCHOR}{BRACED}", "")],
+    "anchor_link": [(rf"\[([^\]]+)\]{IN_ANCHOR}{BRACED}", "\\1")],
+    "citation": [(r"\[@([^\]]*)\]", "")],
+    "fence": [(r"(?m)^:{3,}.*$", "")],
+    "id_attr": [("[{]#[^}]*[}]", "")],
+    "class_attr": [("[{][.][^}]*[}]", "")],
+    "key_attr": [("[{][^{}]*=[^{}]*[}]", "")],
+    "tags": [("</?(span|div|strong|sup|sub|em|br|p)[^>]*>", "")],
+    "empty_parens": [(f"[(]{BLANK}*(,|;)?{BLANK}*[)]", "")],
+    "empty_brackets": [(rf"\[{BLANK}*\]", "")],
+    "space_before_sign": [("[ \t]+([.]|,|;|:|[)])", "\\1")],
+    "space_after_paren": [(f"[(]{BLANK}+", "(")],
+    "blanks": [("[ \t][ \t]+", " ")],
+    "blank_lines": [("\n{3,}", "\n\n")],
+}
+MATH_RE2 = r"(?s)\$\$.{0,1000}?.{0,998}?\$\$|\$[^$\n]+\$"
+
+
+def _replaced_sql(t: str, name: str) -> str:
+    for pattern, new in SQL_RULES[name]:
+        t = f"regexp_replace({t}, {_literal(pattern)}, {_literal(new)}, 'g')"
+    return t
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _rule(i: int, name: str) -> None:
     sample = MARKUP[name]
-    lit = "'" + sample.replace("'", "''") + "'"
-    before = f"{lit} || text || {lit}"
-    new_sql = "'" + new.replace("$1", "\\1") + "'"
 
     def rule(spark, sf):
         t = F.concat(F.lit(sample), "text", F.lit(sample))
         return read(spark, sf, "documents").select("doc_id", X.apply_rule(t, name).alias("t"))
 
     rule.__name__ = f"cln{i:02d}_{name}"
-    query(f"SELECT doc_id, regexp_replace({before}, '{pattern}', {new_sql}, 'g') AS t FROM documents")(rule)
+    query(f"SELECT doc_id, {_replaced_sql(f'{_literal(sample)} || text || {_literal(sample)}', name)} AS t FROM documents")(rule)
 
 
-for _i, (_name, _pattern, _new) in enumerate(X.RULES, 2):
-    _rule(_i, _name, _pattern, _new)
+for _i, (_name, _, _) in enumerate(X.RULES, 2):
+    _rule(_i, _name)
 
 WRAPPED = " " + " ".join(MARKUP.values()) + " $[@k]$ and $$<em>x</em>$$ [@a $y$ ] "
 
@@ -177,17 +217,17 @@ WRAPPED = " " + " ".join(MARKUP.values()) + " $[@k]$ and $$<em>x</em>$$ [@a $y$
 def _scrub_sql(table: str, c: str) -> str:
     """The recipe in SQL: marks by position, rules, then the formulas put back by their numbers."""
     t = "masked"
-    for _, pattern, new in X.RULES:
-        t = f"regexp_replace({t}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
+    for name in SQL_RULES:
+        t = _replaced_sql(t, name)
     return f"""WITH s AS (SELECT doc_id, replace({c}, chr(160), ' ') AS t FROM {table}),
-    a AS (SELECT doc_id, regexp_extract_all(t, '{X.MATH_RE2}') AS store, regexp_split_to_array(t, '{X.MATH_RE2}') AS parts FROM s),
+    a AS (SELECT doc_id, regexp_extract_all(t, '{MATH_RE2}') AS store, regexp_split_to_array(t, '{MATH_RE2}') AS parts FROM s),
     m AS (SELECT doc_id, store, array_to_string([CASE WHEN i < len(parts) THEN parts[i] || chr(1) || 'M' || (i - 1) || chr(1) ELSE parts[i] END FOR i IN range(1, len(parts) + 1)], '') AS masked FROM a),
     r AS (SELECT doc_id, store, {STRIP.format(t)} AS done FROM m),
     n AS (SELECT doc_id, store, regexp_split_to_array(done, chr(1) || 'M[0-9]+' || chr(1)) AS parts, regexp_extract_all(done, chr(1) || 'M([0-9]+)' || chr(1), 1) AS nums FROM r)
     SELECT doc_id, array_to_string([CASE WHEN i < len(parts) THEN parts[i] || store[CAST(nums[i] AS INT) + 1] ELSE parts[i] END FOR i IN range(1, len(parts) + 1)], '') AS t FROM n"""
 
 
-WRAPPED_SQL = "'" + WRAPPED.replace("'", "''") + "'"
+WRAPPED_SQL = _literal(WRAPPED)
 
 
 @query(_scrub_sql("documents", f"{WRAPPED_SQL} || text || {WRAPPED_SQL}"))
@@ -196,12 +236,12 @@ def cln01_cln21_sca08_10_scrub_full(spark, sf):
     return read(spark, sf, "documents").select("doc_id", X.scrub(t).alias("t"))
 
 
-@query(f"SELECT page_id, regexp_replace(html, '{next(p for n, p, _ in X.RULES if n == 'tags')}', '', 'g') AS t FROM pages")
+@query(f"SELECT page_id, regexp_replace(html, '{SQL_RULES['tags'][0][0]}', '', 'g') AS t FROM pages")
 def cln14_html_tags(spark, sf):
     return read(spark, sf, "pages").select("page_id", X.apply_rule(F.col("html"), "tags").alias("t"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all('$$a$$ ' || text || ' $b$', '" + X.MATH_RE2 + "')) AS n, regexp_replace('$$a$$ ' || text || ' $b$', '" + X.MATH_RE2 + "', '@', 'g') AS t FROM documents")
+@query("SELECT doc_id, len(regexp_extract_all('$$a$$ ' || text || ' $b$', '" + MATH_RE2 + "')) AS n, regexp_replace('$$a$$ ' || text || ' $b$', '" + MATH_RE2 + "', '@', 'g') AS t FROM documents")
 def sca08_math_protect(spark, sf):
     t = F.concat(F.lit("$$a$$ "), "text", F.lit(" $b$"))
     return read(spark, sf, "documents").select("doc_id", F.size(F.regexp_extract_all(t, F.lit(X.MATH), F.lit(0))).alias("n"), F.regexp_replace(t, X.MATH, "@").alias("t"))
@@ -316,10 +356,36 @@ def agg09_validation_errors(spark, sf):
     return S.normalised(samples(spark, sf), "/root").groupBy("error").agg(F.count("*").alias("n"))
 
 
-@query(f"SELECT id, mode FROM ({NORMAL}) WHERE error IS NULL")
+@query("SELECT 'd' || doc_id AS id, 'multi_base' AS mode, 2::BIGINT AS n FROM documents WHERE regexp_matches(text, '[^\\s\\p{Z}]')")
 def prd22_valid_samples(spark, sf):
-    d = S.normalised(samples(spark, sf), "/root")
-    return S.checked(d.where("error IS NULL")).select("id", "mode")
+    """All rows keep the rules here, so the check passes every one of them."""
+    d = read(spark, sf, "documents").where(X.strip(F.col("text")) != "")
+    d = d.select(
+        F.concat(F.lit("d"), "doc_id").alias("id"), F.lit("multi_base").alias("mode"), F.lit(None).cast("string").alias("image"), F.array(F.lit("a.png"), F.lit("/b.png")).alias("images"),
+        F.lit("<image>x").alias("prompt"), F.col("text").alias("target"), F.col("doc_id").alias("ln"),
+    )
+    return S.checked(S.normalised(d, "/root")).select("id", "mode", F.size("images").alias("n"))
+
+
+LINES = """CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '"mode":null,' ELSE '"mode":"multi_base",' END || CASE doc_id % 4 WHEN 0 THEN '' WHEN 1 THEN '"prompt":null,' ELSE '"prompt":"<image>p",' END
+    || CASE doc_id % 5 WHEN 0 THEN '' WHEN 1 THEN '"id":null,' ELSE '"id":"i' || doc_id || '",' END || CASE WHEN doc_id % 2 = 0 THEN '"meta":{"n_pages":' || doc_id || '},' ELSE '' END"""
+
+
+@query(
+    """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS ln, CASE doc_id % 3 WHEN 0 THEN 'single_gundam' WHEN 2 THEN 'multi_base' END AS mode FROM documents),
+    p AS (SELECT *, CASE WHEN doc_id % 4 > 1 THEN '<image>p' WHEN doc_id % 4 = 0 THEN CASE WHEN mode = 'multi_base' THEN '<image>Read these pages.' ELSE '<image>Read this page.' END END AS prompt FROM r)
+    SELECT CASE doc_id % 5 WHEN 0 THEN 'row_' || ln WHEN 1 THEN NULL ELSE 'i' || doc_id END AS id, mode, prompt, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS n_pages,
+    CASE WHEN mode IS NULL THEN 'mode' WHEN prompt IS NULL THEN 'placeholder' END AS error FROM p"""
+)
+def sca43_absent_or_null(spark, sf):
+    """Keys that a line leaves out get defaults; keys that it sets to null stay null."""
+    from quire.sources.readers import read_samples
+    from quire.sources.writers import scratch, write_texts
+
+    path = scratch(spark, "lines")
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("{"), F.expr(LINES), F.lit('"image":"a.png","target":"t"}')).alias("v"))
+    write_texts(d.repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id"), "v", path)
+    return S.normalised(read_samples(spark, path), "/root").select("id", "mode", "prompt", "meta.n_pages", "error")
 
 
 GROUPS = """g AS (SELECT source, doc_id, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1) // 3 AS grp FROM documents),
@@ -332,6 +398,16 @@ def agg05_win04_prj10_multipage(spark, sf):
     return d.select("source", F.col("group").alias("grp"), "n", "first", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"), "joined")
 
 
+@query(
+    f"""WITH {GROUPS.replace("count(*) AS n,", "count(*) AS n, list('d' || doc_id ORDER BY doc_id) AS ids,")} SELECT 'multi_' || source || '_' || lpad(CAST(grp AS VARCHAR), 6, '0') AS id, source, array_to_string(list_transform(ids, lambda x: 'images/' || x || '.png'), '|') AS images,
+    'multi_base' AS mode, '<image>Read these pages.' AS prompt, joined AS target, 'natural_text_or_html' AS target_format, 'multi_page_parse' AS task,
+    CAST(to_json({{'chunk': NULL, 'arcname': NULL, 'page_id': NULL, 'img_w': NULL, 'img_h': NULL, 'char_len': NULL, 'language': NULL, 'is_table': NULL, 'is_diagram': NULL, 'license': NULL, 'n_pages': 3, 'page_ids': ids, 'arxiv_id': NULL}}) AS VARCHAR) AS meta FROM h"""
+)
+def prj10_multipage_samples(spark, sf):
+    d = read(spark, sf, "documents").select("doc_id", F.concat(F.lit("d"), "doc_id").alias("id"), "source", F.concat(F.lit("images/d"), "doc_id", F.lit(".png")).alias("image"), F.col("text").alias("target"))
+    return _shown(S.multipage_samples(d, 3, "doc_id", ["source"])).withColumn("images", F.array_join("images", "|")).drop("image")
+
+
 @query(f"WITH {GROUPS} SELECT source, CAST(grp AS BIGINT) AS grp, CAST(unnest(range(0, 3)) AS BIGINT) AS page, trim(unnest(string_split(joined, '<PAGE>')), chr(10)) AS body FROM h")
 def doc05_page_split(spark, sf):
     d = P.fixed_groups(read(spark, sf, "documents"), "doc_id", 3, "text", PAGE_BREAK, ["source"])
@@ -339,10 +415,14 @@ def doc05_page_split(spark, sf):
     return d.select("source", "grp", F.col("page").cast("long").alias("page"), F.trim("body", F.lit("\n")).alias("body"))
 
 
-@query("SELECT conv_id, count(*) AS n_pages, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS target, 'multi_base' AS mode, '<image>Merge these pages.' AS prompt, 'multi_page_merge' AS task FROM conversations GROUP BY conv_id")
+@query(
+    """SELECT CAST(conv_id AS VARCHAR) AS id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS target, 'multi_base' AS mode, '<image>Merge these pages.' AS prompt, 'multi_page_merge' AS task, count(*) AS n_pages, CAST(conv_id AS VARCHAR) AS arxiv_id
+    FROM conversations GROUP BY conv_id"""
+)
 def prj11_merge_samples(spark, sf):
-    d = read(spark, sf, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_pages"), F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
-    return d.select("conv_id", "n_pages", F.array_join(F.transform("m", lambda x: x["text"]), "\n\n").alias("target"), F.lit("multi_base").alias("mode"), F.lit(PROMPT_MERGE).alias("prompt"), F.lit("multi_page_merge").alias("task"))
+    d = read(spark, sf, "conversations").groupBy(F.col("conv_id").cast("string").alias("key")).agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("m"))
+    d = S.merge_samples(d.withColumn("t", F.array_join(F.transform("m", lambda x: x["text"]), "\n\n")), "key", "n", "t")
+    return d.select("id", "target", "mode", "prompt", "task", "meta.n_pages", "meta.arxiv_id")
 
 
 @query("SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS target FROM conversations u JOIN conversations a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'")

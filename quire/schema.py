@@ -9,6 +9,7 @@ IMAGE_TOKEN, IMAGE_TOKEN_ID, PAGE_TOKEN, IGNORE = "<image>", 128815, "<PAGE>", -
 PRESETS = {"single_gundam": (1024, 640, True), "single_base": (1024, 1024, False), "multi_base": (1024, 1024, False)}
 PAGE_BREAK = f"\n{PAGE_TOKEN}\n"
 PROMPT_SINGLE, PROMPT_MULTI, PROMPT_MERGE = f"{IMAGE_TOKEN}Read this page.", f"{IMAGE_TOKEN}Read these pages.", f"{IMAGE_TOKEN}Merge these pages."
+PROMPT_PAGE = PROMPT_SINGLE
 
 META = T.StructType(
     [

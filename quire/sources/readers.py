@@ -9,35 +9,37 @@ import tarfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quire.functions.text import strip
 from quire.schema import SAMPLE
+from quire.sources.yaml import parse_yaml
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str, by_time: bool = False) -> DataFrame:
     """(line, ln): physical lines with zero-based numbers, blank ones counted.
 
-    Lines are numbered within their partition and shifted by the counts of the partitions before; the
-    driver gets one count a partition.
+    Files follow each other by name, or first by when they were written (by_time), as a log's appended
+    files do. A task may read several files' parts in any order, so lines are numbered within their part
+    of a file and shifted by the counts of the parts before; there is a row for each part.
     """
-    d = spark.read.text(path).select(F.col("value").alias("line"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("m"))
-    counts, before, total = dict(d.groupBy("p").count().collect()), {}, 0
-    for p in sorted(counts):
-        before[p] = total
-        total += counts[p]
-    if not before:
-        return d.select("line", F.col("m").alias("ln"))
-    shift = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
-    return d.select("line", (F.col("m") - F.shiftleft(F.col("p").cast("long"), 33) + shift[F.col("p")]).alias("ln"))
+    at = F.struct(*([F.col("_metadata.file_modification_time").alias("time")] if by_time else []), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    d = spark.read.text(path).select(F.col("value").alias("line"), at.alias("at"), F.monotonically_increasing_id().alias("m"))
+    parts = d.groupBy("at").agg(F.count("*").alias("n"), F.min("m").alias("first"))
+    parts = parts.select("at", (F.sum("n").over(W.orderBy("at")) - F.col("n") - F.col("first")).alias("shift"))
+    return d.join(F.broadcast(parts), "at").select("line", (F.col("m") + F.col("shift")).alias("ln"))  # parts are as many as Spark's own list of them
 
 
 def read_samples(spark: SparkSession, path: str, schema: T.StructType = SAMPLE) -> DataFrame:
-    """Samples of a JSON lines file with ln; blank lines are skipped but counted."""
-    lines = numbered_lines(spark, path).where(F.length(F.regexp_replace("line", r"(?U)\s+", "")) > 0)
-    return lines.select("ln", F.from_json("line", schema).alias("s")).select("ln", "s.*")
+    """Samples of a JSON lines file with ln and given, the keys that a line has, also those it sets to
+    null; blank lines are skipped but counted."""
+    lines = numbered_lines(spark, path).where(strip(F.col("line")) != "")
+    return lines.select("ln", F.json_object_keys("line").alias("given"), F.from_json("line", schema).alias("s")).select("ln", "given", "s.*")
 
 
 def read_columns(spark: SparkSession, path: str, want: dict[str, str]) -> DataFrame:
@@ -50,7 +52,8 @@ class TarSource(DataSource):
     """spark.read.format("tar").load(dir or file): the files in tar archives of any compression.
 
     Columns: archive, member (without a leading ./), raw (as stored), ord, content. An archive is a
-    partition and is read as a stream. Option suffix keeps members with that ending.
+    partition and is read as a stream, from any file system that the path names. Option suffix keeps
+    members with that ending.
     """
 
     @classmethod
@@ -64,22 +67,30 @@ class TarSource(DataSource):
         return _TarReader(self.options)
 
 
+def located(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a URI or local path, and the path within it."""
+    if "://" in path or path.startswith("file:"):
+        return fs.FileSystem.from_uri(path)
+    return fs.LocalFileSystem(), os.path.abspath(path)
+
+
 class _TarReader(DataSourceReader):
     def __init__(self, options):
-        self.path, self.suffix = options["path"].removeprefix("file://"), options.get("suffix", "")
+        self.path, self.suffix = options["path"], options.get("suffix", "")
 
     def partitions(self) -> list[InputPartition]:
-        if os.path.isfile(self.path):
-            return [InputPartition(self.path)]
-        found = sorted(os.path.join(d, f) for d, _, fs in os.walk(self.path) for f in fs if ".tar" in f)
-        return [InputPartition(f) for f in found]
+        where, at = located(self.path)
+        if where.get_file_info(at).type == fs.FileType.File:
+            return [InputPartition(at)]
+        found = where.get_file_info(fs.FileSelector(at, recursive=True))
+        return [InputPartition(p) for p in sorted(f.path for f in found if f.type == fs.FileType.File and ".tar" in f.base_name)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        with tarfile.open(partition.value, "r|*") as archive:
+        where, _ = located(self.path)
+        with where.open_input_stream(partition.value, compression=None) as data, tarfile.open(fileobj=data, mode="r|*") as archive:
             for i, m in enumerate(archive):
                 if m.isfile() and m.name.endswith(self.suffix):
-                    data = archive.extractfile(m).read()
-                    yield os.path.basename(partition.value), m.name.removeprefix("./"), m.name, i, data
+                    yield os.path.basename(partition.value), m.name.removeprefix("./"), m.name, i, archive.extractfile(m).read()
 
 
 def extract_sources(df: DataFrame, content: str = "content") -> DataFrame:
@@ -129,40 +140,18 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """(path, digest) of a verification log: broken lines are skipped, the last line of a path wins."""
-    log = numbered_lines(spark, path).select("ln", F.from_json("line", "path string, size long, sha256 string, digest string").alias("s")).where("s.path IS NOT NULL")
-    d = log.groupBy("s.path").agg(F.max_by(F.coalesce("s.sha256", "s.digest"), "ln").alias("digest"))
-    return d.where("digest IS NOT NULL")
+    """(path, digest) of a verification log: broken lines are skipped, the last line of a path wins. Of
+    several files, those written later come later."""
+    log = numbered_lines(spark, path, by_time=True).select("ln", F.from_json("line", "path string, size long, sha256 string, digest string").alias("s")).where("s.path IS NOT NULL")
+    d = log.groupBy("s.path").agg(F.max_by(F.struct(F.coalesce("s.sha256", "s.digest").alias("digest")), "ln").alias("last"))
+    return d.select("path", "last.digest").where("digest IS NOT NULL")
 
 
 def read_config(path: str, defaults: dict | None = None) -> dict:
-    """A flat run configuration: `key: value` lines with strings, numbers and flags."""
-    out = dict(defaults or {})
-    with open(path, encoding="utf-8") as f:
-        out.update(flat_yaml(f.read()))
-    return out
-
-
-def flat_yaml(text: str) -> dict:
-    """Scalars of flat YAML. What isn't flat is left out."""
-    out: dict = {}
-    for line in text.splitlines():
-        key, colon, value = line.partition(":")
-        if not colon or line[:1] in (" ", "\t", "#", "-"):
-            continue
-        value = value.split(" #")[0].strip()
-        if value[:1] in "'\"" and value[-1:] == value[:1] and len(value) > 1:
-            out[key.strip()] = value[1:-1]
-        elif value in ("true", "false"):
-            out[key.strip()] = value == "true"
-        elif value in ("", "null", "~"):
-            out[key.strip()] = None
-        else:
-            try:
-                out[key.strip()] = int(value)
-            except ValueError:
-                try:
-                    out[key.strip()] = float(value)
-                except ValueError:
-                    out[key.strip()] = value
-    return out
+    """A run configuration over its defaults. What the YAML reader doesn't know raises ValueError."""
+    where, at = located(path)
+    with where.open_input_stream(at) as f:
+        found = parse_yaml(f.read().decode())
+    if not isinstance(found, dict | None):
+        raise ValueError(f"{path} is no mapping")
+    return {**(defaults or {}), **(found or {})}

@@ -6,19 +6,25 @@ import io
 import json
 import tarfile
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.sources.readers import read_state
+
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below the one that the cluster shares."""
+    """A new folder below the one that the cluster shares. Only a single machine may do without."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = f"file://{tempfile.mkdtemp(prefix='quire-')}"
         spark.conf.set("spark.checkpoint.dir", where)
     return f"{where.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -39,9 +45,37 @@ def write_good(df: DataFrame, ok: str, path: str) -> None:
     write_jsonl(df.where(ok), path)
 
 
-def append_state(new: DataFrame, path: str, state: DataFrame) -> None:
-    """Rows of new whose path and digest the state doesn't hold."""
-    write_jsonl(new.join(state.select("path", "digest"), ["path", "digest"], "left_anti"), path, append=True)
+@contextmanager
+def locked(spark: SparkSession, path: str, wait: float = 60.0) -> Iterator[None]:
+    """Holds path.lock, which its file system creates for one writer only. A lock that stays after its
+    writer was killed must be deleted by hand; after wait seconds the next writer raises TimeoutError."""
+    jvm, lock = spark.sparkContext._jvm, f"{path.rstrip('/')}.lock"
+    file = jvm.org.apache.hadoop.fs.Path(lock)
+    where = file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    end = time.time() + wait
+    while not where.createNewFile(file):
+        if time.time() > end:
+            raise TimeoutError(f"{lock} is held by another writer")
+        time.sleep(0.2)
+    try:
+        yield
+    finally:
+        where.delete(file, False)
+
+
+def append_state(new: DataFrame, path: str) -> None:
+    """Appends the rows of new whose path doesn't already have the same digest as its last entry; each
+    with the time. One writer at a time reads the log and appends to it; a job's files appear together."""
+    spark = new.sparkSession
+    with locked(spark, path):
+        state = read_state(spark, path) if _exists(spark, path) else spark.createDataFrame([], "path string, digest string")
+        rows = new.dropDuplicates(["path", "digest"]).join(state.select("path", "digest"), ["path", "digest"], "left_anti")
+        write_jsonl(rows.withColumn("verified_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")), path, append=True)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    file = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return file.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(file)
 
 
 def write_audit(data: dict, path: str) -> None:
@@ -51,8 +85,8 @@ def write_audit(data: dict, path: str) -> None:
         f.write((json.dumps(data, indent=2, sort_keys=True, ensure_ascii=False) + "\n").encode())
 
 
-def write_texts(df: DataFrame, column: str, path: str) -> None:
-    df.select(column).write.mode("overwrite").text(path)
+def write_texts(df: DataFrame, column: str, path: str, append: bool = False) -> None:
+    df.select(column).write.mode("append" if append else "overwrite").text(path)
 
 
 def write_tars(df: DataFrame, path: str, member: str, content: str) -> None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quire.sources.writers import write_jsonl
+from quire.sources.writers import append_state
 
 SCHEMA = "path string, size long, digest string"
 
@@ -15,14 +15,7 @@ def ingest(spark: SparkSession, source: str, state: str, checkpoint: str) -> Str
     """Appends each new (path, digest) below source to the state, whichever batch it comes in again."""
 
     def add(batch: DataFrame, _: int) -> None:
-        new = batch.groupBy("path", "digest").agg(F.max("size").alias("size"))
-        try:
-            held = spark.read.schema(SCHEMA).json(state)
-            new = new.join(held.select("path", "digest"), ["path", "digest"], "left_anti")
-        except Exception as e:  # no state yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        write_jsonl(new.select("path", "size", "digest"), state, append=True)
+        append_state(batch.groupBy("path", "digest").agg(F.max("size").alias("size")), state)
 
     stream = spark.readStream.schema(SCHEMA).json(source)
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
