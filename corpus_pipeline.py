@@ -1,4 +1,12 @@
-"""The corpus pipeline: stages over documents, each on what the one before it kept."""
+"""The corpus pipeline: stages over documents, each on what the one before it kept.
+
+Defined cases: a null or empty text has no words, so the first stage rejects it; later stages, run by
+themselves, keep such a text (toxicity scores it by the intercept; all of them are copies of one another;
+it has no personal data; it is packed as its end alone). Rows with a null id are kept like others. Of
+repeated rows the near-duplicate stage keeps one; of a class's texts it keeps that with the least id, null
+ids last. Columns beside those of documents are dropped by each stage, whatever their names. An empty table
+gives an empty one. Nothing is bounded but the number of labelled texts that the classifier is fitted on.
+"""
 
 from __future__ import annotations
 
