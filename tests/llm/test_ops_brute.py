@@ -53,6 +53,19 @@ def brute_fingerprint(t):
 def test_simhash_links(spark, docs, texts):
     got = {r["doc_id"]: r for r in simhash.near_classes(docs).collect()}
     assert all(got[i]["fp"] & (1 << 64) - 1 == brute_fingerprint(t) for i, t in texts)
+    own, root = {i: r["fp"] & (1 << 64) - 1 for i, r in got.items()}, {i: i for i in got}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in own:
+        for j in own:
+            if i < j and (own[i] ^ own[j]).bit_count() <= 3:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    assert {i: r["component_id"] for i, r in got.items()} == {i: find(i) for i in own}
     rng = random.Random(3)
     fps = {rng.getrandbits(64) for _ in range(300)}
     for f in list(fps):
@@ -129,6 +142,12 @@ def test_fingerprints(spark, docs, texts):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
         assert (r["fingerprint"], r["edited_fingerprint"]) == (str(multiset.fingerprint(t)), str(multiset.fingerprint(edited)))
+    groups = lambda t: Counter(" ".join(w[i : i + 8]) for p in t.split("\n") for w in [p.split()] for i in range(0, len(w), 8))
+    for k, (i, t) in enumerate(texts[:60]):
+        following = texts[(k + 1) % len(texts)][1]
+        a, b = groups(t), groups(following)
+        apart, both = sum((a[g] - b[g]) ** 2 for g in a | b), sum(v * v for v in a.values()) + sum(v * v for v in b.values())
+        assert abs(got[i]["near_next"] - (1 - apart / both)) < 0.35  # an estimate from 128 sums
     near = [r["near_edited"] for r in got.values() if r["n_chars"] > 500]
     assert sum(x > 0.4 for x in near) > 0.95 * len(near)
 
