@@ -254,12 +254,12 @@ def confident_patterns(scanned: DataFrame, df: DataFrame, text_col: str = "text"
     else:
         totals = spark.createDataFrame([], "pattern string, total long")
     known = written(edges.where("seed").select("kind", "value").distinct(), "known")
-    count = known.count()
+    count, scores = known.count(), None
     while True:
         held = edges.join(known, ["kind", "value"]).groupBy("kind", "pattern").agg(F.sum("n").alias("held"), F.count("*").alias("support"))
-        scores = held.where(F.col("support") >= min_support).join(totals, "pattern").select("kind", "pattern", F.least(F.lit(1.0), F.col("held") / F.col("total")).alias("confidence"))
-        scores = written(scores.where(F.col("confidence") >= min_confidence), "scores")
-        known = written(known.unionByName(edges.join(scores, ["kind", "pattern"]).select("kind", "value")).distinct(), "known")
+        held = held.where(F.col("support") >= min_support).join(totals, "pattern").select("kind", "pattern", F.least(F.lit(1.0), F.col("held") / F.col("total")).alias("confidence"))
+        scores = written(held.where(F.col("confidence") >= min_confidence), "scores", *([scores] if scores else []))
+        known = written(known.unionByName(edges.join(scores, ["kind", "pattern"]).select("kind", "value")).distinct(), "known", known)
         before, count = count, known.count()
         if count == before:
             return scores
