@@ -232,16 +232,17 @@ def verified(found: DataFrame, files: DataFrame) -> DataFrame:
     """
     jumps = found.select("path", "offset", "out")
     reached = files.where("bytes > 0").select("path", F.lit(0).cast("long").alias("offset"))
-    count = -1
+    count, old, made = -1, [], []
     while True:
         step = reached.join(jumps, ["path", "offset"]).select("path", F.col("out").alias("offset"))
-        now = written(reached.unionByName(step).distinct(), "reached")
+        now = written(reached.unionByName(step).distinct(), "reached", *old)
         n = now.count()
         if n == count:
             return now
-        reached, count = now, n
+        reached, count, old = now, n, [now]
         double = jumps.alias("x").join(jumps.alias("y"), F.expr("x.path = y.path AND x.out = y.offset"), "left")
-        jumps = written(double.select("x.path", "x.offset", F.coalesce("y.out", "x.out").alias("out")), "jumps")
+        jumps = written(double.select("x.path", "x.offset", F.coalesce("y.out", "x.out").alias("out")), "jumps", *made)
+        made = [jumps]
 
 
 def _whole(files: DataFrame, reached: DataFrame, entries: DataFrame) -> None:
