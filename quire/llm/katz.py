@@ -32,7 +32,9 @@ from __future__ import annotations
 
 import io
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -99,6 +101,18 @@ def _fetch(path: str, size: int) -> dict[str, np.ndarray]:
         return dict(np.load(io.BytesIO(pa.decompress(f.read(), size, codec="zstd", asbytes=True))))
 
 
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys in order, a place of each, each key's number, how the keys sort, where each begins)."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    begins = np.flatnonzero(new)
+    numbers = np.empty(len(keys), np.int64)
+    numbers[order] = np.cumsum(new) - 1
+    return ordered[begins], order[begins], numbers, order, begins
+
+
 class Chunk:
     """Documents' tokens as numbers of the chunk's own words, which are sorted by hash."""
 
@@ -143,29 +157,29 @@ class Chunk:
         self.asked[1][start] = True
         self.inner = np.ones(n, bool)  # tokens with two words before them, of which one may be the start
         self.inner[firsts] = False
+        hashes = self.words[self.tokens]
+        before = np.empty(n, np.int64)
+        before[1:] = self.tokens[:-1]
+        before[firsts] = start
+        keys = pair_keys(self.words[before], hashes)
         for k in range(2, order + 1):
-            before = np.empty(n, np.int64)
-            before[1:] = self.of[k - 1][:-1]
-            where = slice(None)
-            if k == 2:
-                before[firsts] = start
+            where = np.arange(n) if k == 2 else np.flatnonzero(self.inner)
+            if k == 3:
+                before = np.concatenate([[0], self.of[2][:-1]])
+                keys = pair_keys(keys[where - 1], hashes[where])
+            self.keys[k], at, numbers, sort, begins = grouped(keys)
+            at = where[at]
+            self.first[k], self.last[k] = before[at], self.tokens[at]
+            if len(begins):
+                trained = np.add.reduceat((~held[where])[sort], begins, dtype=np.uint32)
             else:
-                where = self.inner
-            pair = before[where] << 32 | self.tokens[where]
-            distinct, at, back = np.unique(pair, return_index=True, return_inverse=True)
-            first, last = (distinct >> 32).astype(np.uint32), (distinct & 0xFFFFFFFF).astype(np.uint32)
-            keys = pair_keys(self.keys[k - 1][first], self.words[last])
-            by_key = np.argsort(keys, kind="stable")
-            rank = np.empty(len(by_key), np.int64)
-            rank[by_key] = np.arange(len(by_key))
-            self.keys[k], self.first[k], self.last[k] = keys[by_key], first[by_key], last[by_key]
-            out = held[where]
-            self.counts[k] = np.bincount(back, ~out, len(distinct)).astype(np.uint32)[by_key]
-            self.asked[k] = (np.bincount(back, out, len(distinct)) > 0)[by_key]
+                trained = np.zeros(0, np.uint32)
+            self.counts[k] = trained
+            self.asked[k] = np.diff([*begins, len(keys)]) > trained
             self.of[k] = np.full(n, -1, np.int64)
-            self.of[k][where] = rank[back]
-            if k == 3:  # the bigram of a trigram's last two words, and its own middle word
-                self.tail = self.of[2][where][at][by_key]
+            self.of[k][where] = numbers
+            if k == 3:
+                self.tail = self.of[2][at]  # the bigram of a trigram's last two words
 
 
 def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
@@ -176,7 +190,10 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -
     schema = "chunk long, path string, size long, tokens long, words long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, numbers, tokens, total, task = [], {}, [], 0, TaskContext.get().partitionId()
+        # 0 is the end; 1 the start, which no text has
+        fresh = lambda: ([], defaultdict(count(2).__next__), [], 0)
+        docs, numbers, tokens, total = fresh()
+        task = TaskContext.get().partitionId()
         serial = task * CHUNKS_PER_TASK
 
         def flush() -> pa.RecordBatch:
@@ -187,15 +204,14 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -
         for part in slices(batches):
             for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
                 words = (text or "").encode().lower().split()
-                number = numbers.setdefault
-                # 0 is the end; 1 the start, which no text has
-                found = np.array([*(number(w, len(numbers) + 2) for w in words), 0], np.uint32)
+                found = np.array([*map(numbers.__getitem__, words), 0], np.uint32)
                 docs.append((doc_id, fold(doc_id, FOLDS) == HELD_OUT))
                 tokens.append(found)
                 total += len(found)
                 if total >= chunk:
                     yield flush()
-                    docs, numbers, tokens, total, serial = [], {}, [], 0, serial + 1
+                    docs, numbers, tokens, total = fresh()
+                    serial += 1
         if docs:
             yield flush()
 
@@ -237,7 +253,7 @@ def ask_counts(chunks: DataFrame, order: int, bits: int) -> DataFrame:
 def _joined(part: pd.DataFrame) -> tuple[pd.DataFrame, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     part = part.sort_values(["chunk", "at"], kind="stable")
     keys = [unpack_keys(x) for x in part["keys"]]
-    return part, keys, *np.unique(np.concatenate(keys), return_index=True, return_inverse=True)
+    return part, keys, *grouped(np.concatenate(keys))[:3]
 
 
 def _cut(values: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
@@ -318,13 +334,13 @@ class Answered(Chunk):
     """A chunk with its n-grams' counts in the corpus, and what its contexts have given up."""
 
     @classmethod
-    def of(cls, places: list[dict]) -> Answered:
-        """The chunk and the answers that are stored in the given places."""
+    def of(cls, places: list[dict], order: int = ORDER) -> Answered:
+        """The chunk, its n-grams up to an order, and the answers that are stored in the given places."""
         at = {p["kind"]: (p["path"], p["size"]) for p in places}
         c = cls.load(*at[PLACE])
-        c.index()
+        c.index(order)
         c.c, c.owned, c.wanted, c.sums = {}, {}, {}, {}
-        for k in COUNTS:
+        for k in COUNTS[:order]:
             n = len(c.keys[k])
             # texts that are all empty have no trigrams
             data = _fetch(*at[k]) if k in at else {name: np.zeros(0, np.uint8) for name in "xyz"}
@@ -336,15 +352,15 @@ class Answered(Chunk):
                 c.sums[k] = [unplanes(data[name].tobytes(), "f8") for name in ("x", "y")]
         return c
 
-    def needs(self) -> dict[int, np.ndarray]:
-        """The contexts whose weights this chunk's tokens need: of one word and of two."""
-        unseen = self.c[3] == 0
+    def needs(self, k: int) -> np.ndarray:
+        """The contexts of k words whose weights this chunk's tokens may need. All that training text has
+        is seen, so only words of held-out text, and the start; and pairs before an unseen word or a count
+        too high for a discount."""
+        if k == 1:
+            return self.asked[1] & (self.c[1] > 0)
         two = np.zeros(len(self.keys[2]), bool)
-        two[self.first[3][unseen | (self.c[3] > K)]] = True
-        one = np.zeros(len(self.words), bool)
-        one[self.last[2][self.first[3][unseen]]] = True
-        one[np.searchsorted(self.words, START)] = True
-        return {1: one & (self.c[1] > 0), 2: two & (self.c[2] > 0)}
+        two[self.first[3][(self.c[3] == 0) | (self.c[3] > K)]] = True
+        return two & (self.c[2] > 0)
 
     def given(self, model: Model, k: int) -> tuple[np.ndarray, np.ndarray]:
         """What the chunk's own n-grams add to the sums of their contexts of k words: discounted counts, and
@@ -357,21 +373,21 @@ class Answered(Chunk):
 
     def logs(self, model: Model) -> np.ndarray:
         """Each token's log10 probability."""
-        needs, kept, weight = self.needs(), {}, {}
+        kept, weight = {}, {}
         lower = model.kept / max(model.tokens, 1.0)  # what makes the lower order's discounted counts probabilities
         for k in (1, 2):
-            count, needed = self.c[k].astype(float), needs[k]
-            held, seen = np.zeros(len(count)), np.zeros(len(count))
+            context, needed = self.c[k].astype(float), self.needs(k)
+            held, seen = np.zeros(len(context)), np.zeros(len(context))
             if needed.any():
                 held[needed], seen[needed] = self.sums[k]
             if k == 2:
                 lower = kept[1][self.last[2]] / np.maximum(self.c[1][self.last[2]], 1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                left = np.where(needed, 1 - held / count, 1.0)
+                left = np.where(needed, 1 - held / context, 1.0)
                 # a context all of whose counts are too high for a discount: one more count is taken as given up
                 full = left <= 1e-9
-                kept[k] = np.where(full, count / (count + 1), 1.0)
-                weight[k] = np.where(full, 1 / (count + 1), left) / (1 - lower * seen)
+                kept[k] = np.where(full, context / (context + 1), 1.0)
+                weight[k] = np.where(full, 1 / (context + 1), left) / (1 - lower * seen)
         c1, c2, c3 = (self.c[k].astype(float) for k in COUNTS)
         with np.errstate(divide="ignore", invalid="ignore"):
             f2, f3 = self.first[2], self.first[3]
@@ -386,8 +402,8 @@ class Answered(Chunk):
 def ask_weights(chunk: int, places: list[dict], model: Model, k: int, bits: int) -> pa.RecordBatch:
     """A chunk's part of the sums of its contexts of k words (x, two numbers a key), and which of them it
     needs (y)."""
-    c = Answered.of(places)
-    need, (held, seen) = c.needs()[k], c.given(model, k)
+    c = Answered.of(places, k + 1)
+    need, (held, seen) = c.needs(k), c.given(model, k)
     some = np.flatnonzero((held > 0) | need)
     keys, held, seen, need = c.keys[k][some], held[some], seen[some], need[some]
     rows = [(p, chunk, WEIGHTS[k - 1], a, pack_keys(keys[a:b]), planes(held[a:b]) + planes(seen[a:b]), np.packbits(need[a:b]).tobytes()) for p, a, b in _blocks(keys, bits)]
