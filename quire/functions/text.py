@@ -22,16 +22,16 @@ TAGS = ("br", "div", "em", "p", "span", "strong", "sub", "sup")
 #: caption leaves a paragraph's end, any other a paragraph of its own.
 RULES: tuple[tuple[str, str, tuple[tuple[str, str], ...]], ...] = (
     ("figcaption", "<figcaption>", ((f"<figcaption>{WS}*</figcaption>", "\n\n"), (f"(?s)<figcaption>{WS}*(.*?){WS}*</figcaption>", "\n\n$1\n\n"))),
-    ("figure", "figure", (("</?figure[^>]*>", ""),)),
+    ("figure", "figure", (("</?figure[^>]*+>", ""),)),
     ("image", "![", ((rf"!\[{GAP}*\]{TARGET}{ATTRS}", "\n\n"), (rf"!\[{GAP}*([^\n]*?){GAP}*\]{TARGET}{ATTRS}", "\n\n$1\n\n"))),
     ("img", "<img", (("<img[^>]*>", ""),)),
     ("embed", "<embed", (("<embed[^>]*>", ""),)),
-    ("equation_ref", "[\\[", ((rf"\[\\\[[^\]]*?\\\]\]{ANCHOR}{ATTRS}", ""),)),
+    ("equation_ref", "[\\[", ((rf"\[\\\[[^\]]*\\\]\]{ANCHOR}{ATTRS}", ""),)),
     ("anchor_link", "](#", ((rf"\[([^\]]+)\]{ANCHOR}{ATTRS}", "$1"),)),
-    ("citation", "[@", ((r"\[@[^\]]*\]", ""),)),
+    ("citation", "[@", ((r"\[@[^\]]*+\]", ""),)),
     ("fence", ":::", ((r"(?md)^:::+[^\n]*", ""),)),
-    ("id_attr", "{#", ((r"\{#[^}]*\}", ""),)),
-    ("class_attr", "{.", ((r"\{\.[^}]*\}", ""),)),
+    ("id_attr", "{#", ((r"\{#[^}]*+\}", ""),)),
+    ("class_attr", "{.", ((r"\{\.[^}]*+\}", ""),)),
     ("key_attr", "{", ((r"\{[^{}=]*=[^{}]*\}", ""),)),
     ("tags", "<", ((f"</?(?:{'|'.join(TAGS)})[^>]*>", ""),)),
     ("empty_parens", "(", ((rf"\({WS}*[,;]?{WS}*\)", ""),)),
@@ -41,7 +41,7 @@ RULES: tuple[tuple[str, str, tuple[tuple[str, str], ...]], ...] = (
     ("blanks", "", ((r"[ \t]{2,}", " "),)),
     ("blank_lines", "\n\n\n", ((EMPTY_LINES, "\n\n"),)),
 )
-RESIDUE = "|".join((r"\[@", r"\{#", r"\{\.[A-Za-z]", r'\{[A-Za-z][\w-]*="', ":::", "<(?:figure|div|span)", r"\[\\\[", r"\]\(#"))
+RESIDUE = "|".join((r"\[@", r"\{#", r"\{\.[A-Za-z]", r'\{[A-Za-z][-\w]*="', ":::", "<(?:figure|div|span)", r"\[\\\[", r"\]\(#"))
 MATH = r"(?s)\$\$.{0,1998}?\$\$|\$[^$\n]+\$"
 
 
@@ -170,17 +170,23 @@ def money(c: Column) -> Column:
 
     For values under 2^53. A fraction of 2^-8 or more is a whole number of 2^-60; smaller ones round to 0.
     """
-    unit, x = 1 << 60, F.abs(c)
-    whole = F.floor(x)
-    part = F.floor(F.when(x - whole < 2.0**-8, F.lit(0.0)).otherwise((x - whole) * F.lit(float(unit)))).cast("decimal(20,0)") * 100
-    cents = F.call_function("div", part, F.lit(unit).cast("decimal(20,0)"))
-    rest = part - (cents * F.lit(unit).cast("decimal(20,0)"))
-    total = whole * 100 + cents
-    half = F.lit(unit // 2).cast("decimal(20,0)")
-    total = total + F.when((rest > half) | (rest == half) & (total % 2 == 1), 1).otherwise(0)
-    sign = F.when(c.cast("string").startswith("-"), "-").otherwise("")
-    shown = F.concat(sign, F.call_function("div", total, F.lit(100)).cast("string"), F.lit("."), F.lpad((total % 100).cast("string"), 2, "0"))
-    return F.when(~F.isnan(c), shown)
+    unit = F.lit(1 << 60).cast("decimal(20,0)")
+
+    def parts(x: Column) -> Column:
+        whole = F.floor(x)
+        part = F.floor(F.when(x - whole < 2.0**-8, F.lit(0.0)).otherwise((x - whole) * float(1 << 60))).cast("decimal(20,0)") * 100
+        return F.struct(whole.alias("whole"), part.alias("part"), F.call_function("div", part, unit).alias("cents"))
+
+    def rounded(p: Column) -> Column:
+        rest, half, total = p["part"] - p["cents"] * unit, F.lit(1 << 59).cast("decimal(20,0)"), p["whole"] * 100 + p["cents"]
+        return total + F.when((rest > half) | (rest == half) & (total % 2 == 1), 1).otherwise(0)
+
+    def shown(v: Column) -> Column:
+        sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
+        digits = bind(bind(F.abs(v), lambda x: bind(parts(x), rounded)), lambda t: F.concat(F.call_function("div", t, F.lit(100)).cast("string"), F.lit("."), F.lpad((t % 100).cast("string"), 2, "0")))
+        return F.when(~F.isnan(v), F.concat(sign, digits))
+
+    return bind(c, shown)
 
 
 def _heads(texts: pd.Series) -> pd.DataFrame:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.text import money
+from quire.functions.text import bind, money
 from quire.schema import PAGE_TOKEN, PROMPT_MULTI, PROMPT_SINGLE
 
 PRODUCTS = ("bolt", "cog", "gear", "hinge", "nut", "pin", "washer")
@@ -35,12 +35,16 @@ def invoice_markdown(title: Column, number: Column, date: Column, customer: Colu
     """An invoice's page: heading, three lines of its data, a table with a row for each item and for the
     total, the total as a formula, and a note. lines: an array of (name, qty, price)."""
     cell = lambda *c: F.concat(F.lit("<tr>"), *(F.concat(F.lit("<td>"), x, F.lit("</td>")) for x in c), F.lit("</tr>"))
-    rows = F.array_join(F.transform(lines, lambda x: cell(x["name"], x["qty"].cast("string"), money(x["price"]), money(x["qty"] * x["price"]))), "\n")
-    shown = money(total(lines))
     head = F.concat(F.lit("# "), title, F.lit("\n\nInvoice ID: "), number, F.lit("\nDate: "), date, F.lit("\nCustomer: "), customer)
     names = "".join(f"<th>{n}</th>" for n in ("Item", "Qty", "Price", "Amount"))
-    table = F.concat(F.lit(f"<table>\n<tr>{names}</tr>\n"), rows, F.lit("\n"), cell(F.lit("Total"), F.lit(""), F.lit(""), shown), F.lit("\n</table>"))
-    return F.concat(head, F.lit("\n\n"), table, F.lit("\n\n$$\n\\mathrm{Total} = "), shown, F.lit("\n$$\n\n"), note)
+
+    def body(own: Column, shown: Column) -> Column:
+        rows = F.array_join(F.transform(own, lambda x: cell(x["name"], x["qty"].cast("string"), money(x["price"]), money(x["qty"] * x["price"]))), "\n")
+        table = F.concat(F.lit(f"<table>\n<tr>{names}</tr>\n"), rows, F.lit("\n"), cell(F.lit("Total"), F.lit(""), F.lit(""), shown), F.lit("\n</table>"))
+        return F.concat(table, F.lit("\n\n$$\n\\mathrm{Total} = "), shown, F.lit("\n$$"))
+
+    inner = bind(lines, lambda own: bind(money(total(own)), lambda shown: body(own, shown)))
+    return F.concat(head, F.lit("\n\n"), inner, F.lit("\n\n"), note)
 
 
 def page(seed: int, at: Column) -> Column:

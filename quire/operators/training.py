@@ -9,7 +9,7 @@ LAYER = r"^model\.layers\.[0-9]+\."
 ATTENTION = r"self_attn\.[qkvo]_proj"
 DENSE = r"mlp\.(?:gate|up|down)_proj"
 SHARED = r"mlp\.shared_experts\.(?:gate|up|down)_proj"
-MODES = ("lora_attn", "lora_decoder", "full_backbone", "full_decoder", "full_lm")
+MODES = tuple("lora_attn lora_decoder full_backbone full_decoder full_lm".split())
 
 
 def trained(name: Column, mode: str, embeddings: bool = False) -> Column:

@@ -415,18 +415,30 @@ def agg15_invoice_total(spark, sf):
     return l.groupBy("l_orderkey").agg(F.round(F.sum(F.col("l_quantity").cast("int") * F.col("p_retailprice")), 2).alias("total"), F.count("*").alias("lines"))
 
 
-#: The page in SQL; DuckDB's printf rounds the exact binary value as well.
-CELLS = "'<tr><td>' || name || '</td><td>' || qty || '</td><td>' || printf('%.2f', price) || '</td><td>' || printf('%.2f', qty * price) || '</td></tr>'"
-INVOICE_SQL = """'# ' || {title} || chr(10) || chr(10) || 'Invoice ID: ' || {number} || chr(10) || 'Date: ' || {date} || chr(10) || 'Customer: ' || {customer} || chr(10) || chr(10) || '<table>' || chr(10)
-    || '<tr><th>Item</th><th>Qty</th><th>Price</th><th>Amount</th></tr>' || chr(10) || rows || chr(10) || '<tr><td>Total</td><td></td><td></td><td>' || printf('%.2f', total) || '</td></tr>' || chr(10) || '</table>' || chr(10) || chr(10)
-    || '$$' || chr(10) || '\\mathrm{{Total}} = ' || printf('%.2f', total) || chr(10) || '$$' || chr(10) || chr(10) || {note}"""
+def _cells(*values: str, tag: str = "td") -> str:
+    """A table row in SQL."""
+    return " || ".join(["'<tr>'", *(f"'<{tag}>' || {v} || '</{tag}>'" for v in values), "'</tr>'"])
+
+
+def _invoice_sql(title: str, number: str, date: str, customer: str, note: str) -> str:
+    """The page in SQL; DuckDB's printf rounds the exact binary value as well."""
+    total = "printf('%.2f', total)"
+    lines = [
+        f"'# ' || {title}", "''", f"'Invoice ID: ' || {number}", f"'Date: ' || {date}", f"'Customer: ' || {customer}", "''", "'<table>'", _cells("'Item'", "'Qty'", "'Price'", "'Amount'", tag="th"), "rows",
+        _cells("'Total'", "''", "''", total), "'</table>'", "''", "'$$'", f"'\\mathrm{{Total}} = ' || {total}", "'$$'", "''", note,
+    ]
+    return " || chr(10) || ".join(lines)
+
+
+def _item_cells(x: str = "") -> str:
+    return _cells(f"{x}name", f"{x}qty", f"printf('%.2f', {x}price)", f"printf('%.2f', {x}qty * {x}price)")
 
 
 @query(
     f"""WITH {ITEMS}, s AS (SELECT k, list({{'n': n, 'name': name, 'qty': qty, 'price': price}} ORDER BY n, name, qty, price) AS l FROM items GROUP BY k),
-    o AS (SELECT k, array_to_string(list_transform(l, lambda x: '<tr><td>' || x.name || '</td><td>' || x.qty || '</td><td>' || printf('%.2f', x.price) || '</td><td>' || printf('%.2f', x.qty * x.price) || '</td></tr>'), chr(10)) AS rows,
+    o AS (SELECT k, array_to_string(list_transform(l, lambda x: {_item_cells("x.")}), chr(10)) AS rows,
       list_reduce(list_prepend(0.0::DOUBLE, list_transform(l, lambda x: x.qty * x.price)), lambda a, b: a + b) AS total FROM s)
-    SELECT o_orderkey, {INVOICE_SQL.format(title="'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0')", number="'INV-' || o_orderkey", date="strftime(o_orderdate, '%Y-%m-%d')", customer="o_custkey", note="'Status ' || o_orderstatus")} AS md FROM orders JOIN o ON o_orderkey = k"""
+    SELECT o_orderkey, {_invoice_sql(title="'Order ' || lpad(CAST(o_orderkey AS VARCHAR), 7, '0')", number="'INV-' || o_orderkey", date="strftime(o_orderdate, '%Y-%m-%d')", customer="o_custkey", note="'Status ' || o_orderstatus")} AS md FROM orders JOIN o ON o_orderkey = k"""
 )
 def prj12_invoice_markdown(spark, sf):
     d = read(spark, sf, "orders").join(invoice_items(spark, sf), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -444,8 +456,8 @@ PRODUCTS_SQL = ", ".join(f"('{n}')" for n in Y.PRODUCTS)
 @query(
     f"""WITH pg AS (SELECT unnest(range(0, 7)) AS p), d AS (SELECT p, name, 1 + {DRAW_SQL.format("name || ':qty'")} % 6 AS qty, (350 + {DRAW_SQL.format("name || ':price'")} % 3641) / 100.0 AS price, {DRAW_SQL.format("name")} AS k FROM pg, (VALUES {PRODUCTS_SQL}) v(name)),
     it AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY p ORDER BY k, name) <= 3),
-    s AS (SELECT p, string_agg({CELLS}, chr(10) ORDER BY k, name) AS rows, list_reduce(list_prepend(0.0::DOUBLE, list(qty * price ORDER BY k, name)), lambda a, b: a + b) AS total FROM it GROUP BY p),
-    t AS (SELECT p, {INVOICE_SQL.format(title="'Invoice ' || lpad(CAST(p AS VARCHAR), 4, '0')", number="'INV-' || lpad(CAST(p AS VARCHAR), 5, '0')", date="'2026-07-' || lpad(CAST(p % 28 + 1 AS VARCHAR), 2, '0')", customer="'Customer ' || ['North', 'South', 'East', 'West'][" + DRAW_SQL.format("'customer'") + " % 4 + 1]", note="'A made-up page that tests the pipeline.'")} AS md FROM s)
+    s AS (SELECT p, string_agg({_item_cells()}, chr(10) ORDER BY k, name) AS rows, list_reduce(list_prepend(0.0::DOUBLE, list(qty * price ORDER BY k, name)), lambda a, b: a + b) AS total FROM it GROUP BY p),
+    t AS (SELECT p, {_invoice_sql(title="'Invoice ' || lpad(CAST(p AS VARCHAR), 4, '0')", number="'INV-' || lpad(CAST(p AS VARCHAR), 5, '0')", date="'2026-07-' || lpad(CAST(p % 28 + 1 AS VARCHAR), 2, '0')", customer="'Customer ' || ['North', 'South', 'East', 'West'][" + DRAW_SQL.format("'customer'") + " % 4 + 1]", note="'A made-up page that tests the pipeline.'")} AS md FROM s)
     SELECT 'single_' || lpad(CAST(p AS VARCHAR), 4, '0') AS id, 'single_gundam' AS mode, 'page_markdown' AS target_type, 'images/single_' || lpad(CAST(p AS VARCHAR), 4, '0') || '.png' AS images, '<image>Read this page.' AS prompt, md AS target, 'synthetic_markdown' AS source FROM t WHERE p < 3
     UNION ALL SELECT 'multi_' || lpad(CAST((p - 3) // 2 AS VARCHAR), 4, '0'), 'multi_base', 'page_markdown', string_agg('images/multi_' || lpad(CAST((p - 3) // 2 AS VARCHAR), 4, '0') || '_page_' || lpad(CAST((p - 3) % 2 + 1 AS VARCHAR), 2, '0') || '.png', '|' ORDER BY p),
     '<image>Read these pages.', string_agg('<PAGE>' || chr(10) || md, chr(10) ORDER BY p), 'synthetic_multi_page_markdown' FROM t WHERE p >= 3 GROUP BY (p - 3) // 2"""
