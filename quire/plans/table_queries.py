@@ -530,12 +530,10 @@ def doc03_verifiers(spark, sf):
 
 @query()
 def doc03_error_rates(spark, sf):
-    """Whole pages against their visible text: character and word errors, order of paragraphs. Without SQL:
+    """Whole generated texts against the truth: character and word errors, order of paragraphs. Without SQL:
     DuckDB has no edit distance of lists; tests compare with a plain version."""
-    shown = F.regexp_replace("html", r"(?s)<[^>]*>", "\n")
-    d = read(spark, sf, "pages").select("page_id", F.regexp_replace("html", r"(?s)</?p[^>]*>", "\n\n").alias("a"), shown.alias("b"))
-    a, b = F.col("a"), F.col("b")
-    return d.select("page_id", E.char_error_rate(a, b).alias("cer"), E.word_error_rate(a, b).alias("wer"), E.block_order(a, b).alias("order_error"))
+    a, b = F.col("gt"), F.coalesce("gen", F.lit(""))
+    return _pairs(spark, sf).select("item_id", E.char_error_rate(a, b).alias("cer"), E.word_error_rate(a, b).alias("wer"), E.block_order(a, b).alias("order_error"))
 
 
 @query(
