@@ -32,7 +32,7 @@ from quire.llm.common import slices, table
 
 CAPACITY, GROUP, PIECE = 1024, 256, 256
 #: Bytes of ids and texts that a worker keeps for parts of texts seen before; longer parts aren't kept.
-CACHE_BYTES, LONGEST_KEPT = 300 << 20, 64
+CACHE_BYTES, LONGEST_KEPT = 128 << 20, 64
 #: Letters for Python's and the tokenizer's Unicode alike; words of these alone are one piece of the pattern.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+").fullmatch
 
