@@ -175,7 +175,7 @@ class Chunk:
             else:
                 trained = np.zeros(0, np.uint32)
             self.counts[k] = trained
-            self.asked[k] = np.diff([*begins, len(keys)]) > trained
+            self.asked[k] = np.diff(begins, append=len(keys)) > trained
             self.of[k] = np.full(n, -1, np.int64)
             self.of[k][where] = numbers
             if k == 3:
