@@ -32,7 +32,7 @@ from quire.llm.common import map_rows, table
 MAX_STATES, MAX_WORDS = 250_000, 500_000
 #: A stop or comma before a space or line feed that follows another sign.
 SIGNS = re.compile(r"[.,](?<=[\W_].)[ \n]")
-#: White space beside a space or line feed, white space of other kinds, the mark that cut_at_spaces uses.
+#: White space beside a space or line feed, white space of other kinds, the mark that mark_cuts uses.
 ODD_ASCII = ("  ", " \n", "\n ", "\n\n", "\0", *"\t\r\x0b\x0c\x1c\x1d\x1e\x1f")
 ODD_WIDE = tuple("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
@@ -211,15 +211,21 @@ class Stream:
         return self.held + t.rest[t.state(self.key)] if whole is None else t.packed[whole]
 
 
-def cut_at_spaces(text: str) -> list[str] | None:
-    """The text in parts that no piece of the pattern crosses, or None where cutting isn't that simple."""
+def mark_cuts(text: str) -> str | None:
+    """The text with a mark (a null sign) where no piece of the pattern crosses, or None where that isn't so simple."""
     for odd in ODD_ASCII if text.isascii() else ODD_ASCII + ODD_WIDE:
         if odd in text:
             return None
     if SIGNS.search(text):
         return None
     text = text.replace(" ", "\0 ").replace("\n", "\0\n\0")
-    return text.replace(".\0", "\0.\0").replace(",\0", "\0,\0").split("\0")
+    return text.replace(".\0", "\0.\0").replace(",\0", "\0,\0")
+
+
+def cut_at_spaces(text: str) -> list[str] | None:
+    """The text in parts that no piece of the pattern crosses, or None where cutting isn't that simple."""
+    marked = mark_cuts(text)
+    return None if marked is None else marked.split("\0")
 
 
 class Words(dict):

@@ -22,17 +22,21 @@ import zlib
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quire.llm.common import slices, table
+from quire.llm.common import SLICE_BYTES, slices, table
 
 CAPACITY, GROUP, PIECE = 1024, 256, 256
 #: Bytes of ids and texts that a worker keeps for parts of texts seen before; longer parts aren't kept.
 CACHE_BYTES, LONGEST_KEPT = 128 << 20, 64
+#: New words that are encoded as one text.
+WORDS_JOINED = 256
 #: Letters for Python's and the tokenizer's Unicode alike; words of these alone are one piece of the pattern.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+").fullmatch
 
@@ -89,47 +93,69 @@ class Tokens:
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.sign = self.tokenizer.model, _signs()
+        self.signs = _signs()
+        line, vocabulary = chr(self.signs[0x0A]), self.tokenizer.get_vocab()
+        self.line = vocabulary[line]
+        # no token has a line feed and other signs than white space's: then none joins it to a word before it
+        alone = not any(line in t and t.strip(line + chr(self.signs[0x20])) for t in vocabulary)
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Split(line, "merged_with_previous" if alone else "isolated")
         self.parts: dict[str, bytes] = {"": b""}
         self.held = 0
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        from quire.llm.bpe import cut_at_spaces
+        """Arrow finds a slice's different parts and joins their ids, so Python sees each part once a slice."""
+        from quire.llm.bpe import mark_cuts
 
-        cut = [cut_at_spaces(t) for t in texts]
-        used = set().union(*(parts for parts in cut if parts))
+        marked = [mark_cuts(t) for t in texts]
+        cut = pc.split_pattern(pa.array([m for m in marked if m is not None], pa.large_string()), "\0")
+        coded = cut.flatten().dictionary_encode()
+        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if self.held > CACHE_BYTES:
             self.parts, self.held = {"": b""}, 0
-        new = list(used.difference(self.parts))
-        rest, long = [], [p for p in new if len(p) > LONGEST_KEPT]
-        tokenize, sign, space = self.model.tokenize, self.sign.__getitem__, self.sign[0x20]
+        known = list(map(self.parts.get, parts))
+        new = [p for p, ids in zip(parts, known) if ids is None]
+        long, words, rest = [p for p in new if len(p) > LONGEST_KEPT], [], []
         for p in new:
-            core = p[1:] if p[0] == " " else p
-            if LETTERS(core):  # one piece of the pattern: the model alone gives its ids
-                shown = p.replace(" ", space) if p.isascii() else "".join(map(sign, p.encode()))
-                self.parts[p] = _packed([t.id for t in tokenize(shown)])
-            else:
-                rest.append(p)
-        whole = [t for t, parts in zip(texts, cut) if parts is None]
+            (words if LETTERS(p, p[0] == " ") else rest).append(p)
+        self.parts.update(zip(words, self._words(words), strict=True))
+        whole = [t for t, m in zip(texts, marked) if m is None]
         found = [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest + whole, add_special_tokens=False)]
         self.parts.update(zip(rest, found))
-        odd, known = iter(found[len(rest) :]), self.parts.__getitem__
-        out = [next(odd) if parts is None else b"".join(map(known, parts)) for parts in cut]
+        known = [self.parts[p] if ids is None else ids for p, ids in zip(parts, known)]
+        joined = pa.array(known, pa.large_binary()).take(coded.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[cut.offsets.to_numpy()].tolist() if len(joined) else [0]
+        data, odd, at = joined.buffers()[2], iter(found[len(rest) :]), zip(ends, ends[1:])
+        out = [next(odd) if m is None else _between(data, *next(at)) for m in marked]
         for p in long:
             del self.parts[p]
         self.held += 200 * (len(new) - len(long))  # a short text, its ids and their place take so many bytes
         return out
 
+    def _words(self, words: list[str]) -> Iterator[bytes]:
+        """Words of LETTERS, each one piece of the pattern wherever it stands, so the model alone gives their
+        ids: many are encoded as the lines of one text, whose ids are cut at those of the line feeds."""
+        texts = ["\n".join(words[i : i + WORDS_JOINED]).encode() for i in range(0, len(words), WORDS_JOINED)]
+        shown = [self.signs[np.frombuffer(t, np.uint8)].tobytes().decode("utf-32-le") for t in texts]
+        for e in self.words.encode_batch_fast(shown, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint32)
+            data, ends = ids.tobytes(), 4 * np.flatnonzero(ids == self.line)
+            yield from (data[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)]))
 
-def _signs() -> list[str]:
+
+def _signs() -> np.ndarray:
     """The character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     others = iter(range(0x100, 0x200))
-    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+    return np.array([b if b in plain else next(others) for b in range(256)], "<u4")
+
+
+def _between(data: pa.Buffer | None, a: int, b: int) -> bytes:
+    return data.slice(a, b - a).to_pybytes() if a < b else b""
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -175,6 +201,19 @@ class Packer:
             self.next += 1
 
 
+def gathered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short slices in a row as one of about SLICE_BYTES at most: the more texts at once, the fewer look-ups."""
+    held, size = [], 0
+    for part in parts:
+        if held and size + part.nbytes > SLICE_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(part)
+        size += part.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, unless with_ids is
     off, ids (packed little-endian unsigned 32-bit integers)."""
@@ -191,7 +230,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, packer = tokens(path), Packer(TaskContext.get().partitionId(), capacity)
-        for part in slices(batches):
+        for part in gathered(slices(batches)):
             packed = encoder.encode([t or "" for t in part.column(1).to_pylist()])
             yield rows(x for d, p in zip(part.column(0).to_pylist(), packed) for x in packer.add(d, p + end))
         yield rows(packer.flush())

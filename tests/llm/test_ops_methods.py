@@ -200,6 +200,26 @@ def test_packing_cache_keeps_no_long_parts(monkeypatch):
     assert t.encode([text, "a few words"]) == first and t.encode(["a few words"]) == first[1:] and len(t.parts) < 10
 
 
+def test_packing_encodes_many_new_words_as_one_text():
+    P = pytest.importorskip("public_tokenizers")
+    import itertools
+
+    import pyarrow as pa
+
+    from quire.llm import packing
+
+    t = packing.Tokens(P.path("byte_bpe_50k.json"))
+    words = [f" {a}{b}" for a, b in itertools.product(("ab", "Ünter", "мир", "世", "zzqx"), ("", "cd", "é", "한국", "ß"))] * 30
+    words += [w[1:] for w in words]
+    want = [packing._packed(e.ids) for e in t.tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert list(t._words(words)) == want
+    texts = ["".join(x) for x in itertools.product(("a", "'s", ".", " ", ",", "\n", "1", "é"), repeat=4)] + ["", "\0", "<|endoftext|>", " a\tb"]
+    got, again = t.encode(texts), t.encode(texts)
+    assert got == again == [packing._packed(e.ids) for e in t.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    parts = [pa.record_batch({"x": ["a" * n]}) for n in (1 << 22, 1 << 21, 5, 1 << 22, 1 << 24, 7)]
+    assert [[len(x) for x in b.column(0).to_pylist()] for b in packing.gathered(iter(parts))] == [[1 << 22, 1 << 21, 5], [1 << 22], [1 << 24], [7]]
+
+
 def test_whole_licence_texts_match_exactly():
     from quire.llm import license_texts, licenses
 
