@@ -39,6 +39,7 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,9 +102,34 @@ def _fetch(path: str, size: int) -> dict[str, np.ndarray]:
         return dict(np.load(io.BytesIO(pa.decompress(f.read(), size, codec="zstd", asbytes=True))))
 
 
-def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sorting(keys: np.ndarray) -> np.ndarray:
+    """How keys sort, equal ones in their order. Numbers sort much faster than places by them, so what is
+    sorted is each key's first bits with its place as the last ones; the few keys that differ, but not in
+    those first bits, are put in order afterwards."""
+    n = len(keys)
+    if n < 2:
+        return np.arange(n)
+    bits = np.uint64((n - 1).bit_length())
+    shared = np.uint64(64 - int(keys.max() ^ keys.min()).bit_length())
+    if shared == 64:
+        return np.arange(n)
+    mixed = (keys << shared) >> bits << bits
+    mixed |= np.arange(n, dtype=np.uint64)
+    mixed.sort()
+    order = (mixed & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+    ordered = keys[order]
+    wrong = np.flatnonzero(ordered[1:] < ordered[:-1])
+    if len(wrong):
+        prefix = mixed >> bits
+        runs = np.unique(prefix[wrong])
+        for a, b in zip(np.searchsorted(prefix, runs).tolist(), np.searchsorted(prefix, runs, "right").tolist()):
+            order[a:b] = order[a:b][np.argsort(ordered[a:b], kind="stable")]
+    return order
+
+
+def grouped(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(distinct keys in order, a place of each, each key's number, how the keys sort, where each begins)."""
-    order = np.argsort(keys)
+    order = sorting(keys)
     ordered = keys[order]
     new = np.ones(len(keys), bool)
     new[1:] = ordered[1:] != ordered[:-1]
@@ -143,9 +169,10 @@ class Chunk:
         ids = [i if known else None for i, known in zip(data["ids"].tolist(), data["known"].tolist())]
         return cls(unpack_keys(data["words"].tobytes()), unplanes(data["tokens"].tobytes(), "u4"), data["starts"], data["held"], ids)
 
-    def index(self, order: int = ORDER) -> None:
+    def index(self, order: int = ORDER, counts: bool = True, places: bool = True) -> None:
         """The chunk's different n-grams up to an order: keys (sorted), training counts, whether held-out
-        text has them; their first part (the context) and last word; each token's n-gram."""
+        text has them; their first part (the context) and last word; each token's n-gram. Without counts, those
+        of single words only; without places, keys and counts of the highest order only."""
         n, start = len(self.tokens), int(np.searchsorted(self.words, START))
         firsts = self.starts[:-1]
         held = np.repeat(self.held, np.diff(self.starts))
@@ -157,31 +184,49 @@ class Chunk:
         self.asked[1][start] = True
         self.inner = np.ones(n, bool)  # tokens with two words before them, of which one may be the start
         self.inner[firsts] = False
+        if order == 1:
+            return
+        trained_at = ~held
         hashes = self.words[self.tokens]
         before = np.empty(n, np.int64)
         before[1:] = self.tokens[:-1]
         before[firsts] = start
         keys = pair_keys(self.words[before], hashes)
         for k in range(2, order + 1):
-            where = np.arange(n) if k == 2 else np.flatnonzero(self.inner)
             if k == 3:
-                before = np.concatenate([[0], self.of[2][:-1]])
-                keys = pair_keys(keys[where - 1], hashes[where])
+                where = np.flatnonzero(self.inner)
+                keys, trained_at = pair_keys(keys[where - 1], hashes[where]), trained_at[where]
+            if k < order and not places:
+                continue
             self.keys[k], at, numbers, sort, begins = grouped(keys)
-            at = where[at]
+            if counts:
+                trained = np.add.reduceat(trained_at[sort], begins, dtype=np.uint32) if len(begins) else np.zeros(0, np.uint32)
+                self.counts[k] = trained
+                self.asked[k] = np.diff(begins, append=len(keys)) > trained
+            if not places:
+                continue
+            if k == 3:
+                at = where[at]
+                before = np.concatenate([[0], self.of[2][:-1]])
             self.first[k], self.last[k] = before[at], self.tokens[at]
-            if len(begins):
-                trained = np.add.reduceat((~held[where])[sort], begins, dtype=np.uint32)
-            else:
-                trained = np.zeros(0, np.uint32)
-            self.counts[k] = trained
-            self.asked[k] = np.diff(begins, append=len(keys)) > trained
-            self.of[k] = np.full(n, -1, np.int64)
-            self.of[k][where] = numbers
+            self.of[k] = numbers
             if k == 3:
+                self.of[k] = np.full(n, -1, np.int64)
+                self.of[k][where] = numbers
                 self.tail = self.of[2][at]  # the bigram of a trigram's last two words
 
 
+def word_codes(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(different words of a slice, each word's place among them, where each text's words begin and end)."""
+    cut = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+    flat = cut.flatten()
+    some = pc.greater(pc.binary_length(flat), 0)  # white space at a text's ends leaves empty words
+    coded = flat.filter(some).dictionary_encode()
+    before = np.concatenate([[0], np.cumsum(some.to_numpy(zero_copy_only=False))])
+    words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+    return words, coded.indices.to_numpy(), before[cut.offsets.to_numpy()]
+
+
 def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -> DataFrame:
     """(chunk, path, size, tokens, words): the chunks, written to the shared folder."""
     out = fresh_dir(df.sparkSession, "chunks")
@@ -202,12 +247,21 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -
             return _batch([(serial, path, made.save(path), total, len(made.words))], schema)
 
         for part in slices(batches):
-            for doc_id, text in zip(*(c.to_pylist() for c in part.columns)):
-                words = (text or "").encode().lower().split()
-                found = np.array([*map(numbers.__getitem__, words), 0], np.uint32)
-                docs.append((doc_id, fold(doc_id, FOLDS) == HELD_OUT))
-                tokens.append(found)
-                total += len(found)
+            words, codes, edges = word_codes(part.column(1))
+            ids, at = part.column(0).to_pylist(), 0
+            while at < len(ids):
+                # as many texts as the chunk takes: the one that fills it is its last
+                full = int(np.searchsorted(edges[at + 1 :] - edges[at] + np.arange(1, len(ids) - at + 1), chunk - total))
+                to = min(at + full + 1, len(ids))
+                own = codes[edges[at] : edges[to]]
+                used = np.flatnonzero(np.bincount(own, minlength=len(words)))
+                table = np.zeros(len(words), np.uint32)
+                table[used] = np.fromiter(map(numbers.__getitem__, map(words.__getitem__, used.tolist())), np.uint32, len(used))
+                # each text's words and its end
+                found = np.insert(table[own], edges[at + 1 : to + 1] - edges[at], 0)
+                docs += [(i, fold(i, FOLDS) == HELD_OUT) for i in ids[at:to]]
+                tokens += np.split(found, np.cumsum(np.diff(edges[at : to + 1]) + 1)[:-1])
+                total, at = total + len(found), to
                 if total >= chunk:
                     yield flush()
                     docs, numbers, tokens, total = fresh()
@@ -242,7 +296,7 @@ def ask_counts(chunks: DataFrame, order: int, bits: int) -> DataFrame:
         for batch in batches:
             for chunk, path, size in zip(*(c.to_pylist() for c in batch.columns)):
                 c = Chunk.load(path, size)
-                c.index(order)
+                c.index(order, places=False)
                 keys, counts, asked = c.keys[order], c.counts[order], c.asked[order]
                 rows = [(p, chunk, order, a, pack_keys(keys[a:b]), planes(counts[a:b]), np.packbits(asked[a:b]).tobytes()) for p, a, b in _blocks(keys, bits)]
                 yield _batch(rows, ASKED)
@@ -338,7 +392,7 @@ class Answered(Chunk):
         """The chunk, its n-grams up to an order, and the answers that are stored in the given places."""
         at = {p["kind"]: (p["path"], p["size"]) for p in places}
         c = cls.load(*at[PLACE])
-        c.index(order)
+        c.index(order, counts=False)
         c.c, c.owned, c.wanted, c.sums = {}, {}, {}, {}
         for k in COUNTS[:order]:
             n = len(c.keys[k])

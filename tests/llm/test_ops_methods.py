@@ -95,6 +95,48 @@ def test_components_at_a_hub_and_of_odd_links(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_katz_sorts_keys_by_their_first_bits():
+    import numpy as np
+
+    from quire.llm import katz
+
+    r = np.random.default_rng(1)
+    many = [r.integers(a, b, 5000, dtype=np.uint64) for a, b in ((0, 1 << 64), (0, 50), (1 << 60, (1 << 60) + (1 << 20)))]
+    alike = np.repeat(r.integers(0, 1 << 60, 10, dtype=np.uint64) << np.uint64(4), 500) | r.integers(0, 8, 5000, dtype=np.uint64)
+    for keys in (*many, alike, *(np.array(x, np.uint64) for x in ([], [5], [5, 5], [3, 1], [0, (1 << 64) - 1, 0, 1]))):
+        assert (katz.sorting(keys) == np.argsort(keys, kind="stable")).all()
+
+
+def test_katz_words_of_a_slice():
+    import pyarrow as pa
+
+    from quire.llm import katz
+
+    for texts in ([None], [""], ["", None, "  a B\t\nc ", "\x0b\x0c\r\x1c x\x1f\x85y\xa0z Ä É", " ", "a", "\0 \0a ", "İ K a b"]):
+        words, codes, edges = katz.word_codes(pa.array(texts, pa.string()))
+        assert [[words[i] for i in codes[a:b]] for a, b in zip(edges, edges[1:])] == [(t or "").encode().lower().split() for t in texts]
+        assert len(set(words)) == len(words)
+
+
+def test_katz_chunks_end_with_the_text_that_fills_them(spark):
+    from quire.llm import katz
+
+    texts = [" ".join(f"w{j % 7}" for j in range(i % 11)) for i in range(60)]
+    docs = spark.createDataFrame([(i, t or None) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    ids, sizes = [], []
+    for r in katz.make_chunks(docs, "doc_id", "text", 20).orderBy("chunk").collect():
+        c = katz.Chunk.load(r["path"], r["size"])
+        ids += c.ids
+        sizes.append([int(n) for n in c.starts[1:] - c.starts[:-1]])
+        whole, some = (katz.Chunk.load(r["path"], r["size"]) for _ in range(2))
+        whole.index(3)
+        some.index(3, places=False)
+        assert all((getattr(whole, x)[3] == getattr(some, x)[3]).all() for x in ("keys", "counts", "asked"))
+        assert r["tokens"] == sum(sizes[-1]) == len(c.tokens) and set(c.tokens) | {0, 1} >= set(range(len(c.words))) - {1}
+    assert ids == list(range(60)) and sum(sizes, []) == [len(t.split()) + 1 for t in texts]
+    assert all(sum(x[:-1]) < 20 for x in sizes) and all(sum(x) >= 20 for x in sizes[:-1])
+
+
 def test_katz_of_empty_and_short_texts(spark):
     import math
 
