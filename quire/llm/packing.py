@@ -35,8 +35,10 @@ from quire.llm.common import SLICE_BYTES, slices, table
 CAPACITY, GROUP, PIECE = 1024, 256, 256
 #: Bytes of ids and texts that a worker keeps for parts of texts seen before; longer parts aren't kept.
 CACHE_BYTES, LONGEST_KEPT = 128 << 20, 64
-#: New words that are encoded as one text.
-WORDS_JOINED = 256
+#: Bytes a part kept, while a slice is looked up: an entry of Arrow's hash table, and its copy of the text.
+LOOKED_UP = 100
+#: New words that are encoded as one text; code points that are given to the tokenizer at once.
+WORDS_JOINED, ENCODED = 256, 1 << 16
 #: Letters for Python's and the tokenizer's Unicode alike; words of these alone are one piece of the pattern.
 LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0391-\u03a1\u03a3-\u03c9\u0400-\u0481\u05d0-\u05ea\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]+").fullmatch
 
@@ -104,47 +106,77 @@ class Tokens:
         alone = not any(line in t and t.strip(line + chr(self.signs[0x20])) for t in vocabulary)
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Split(line, "merged_with_previous" if alone else "isolated")
-        self.parts: dict[str, bytes] = {"": b""}
-        self.held = 0
+        self._forget()
+
+    def _forget(self) -> None:
+        self.seen, self.ids = pa.array([""], pa.large_string()), pa.array([b""], pa.large_binary())
+
+    @property
+    def parts(self) -> list[str]:
+        """The parts whose ids are kept."""
+        return self.seen.to_pylist()
+
+    def held(self) -> int:
+        """Bytes of what is kept, twice as a slice's new parts are added, and of the table by which it is looked up."""
+        return 2 * (self.seen.nbytes + self.ids.nbytes) + LOOKED_UP * len(self.seen)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Arrow finds a slice's different parts and joins their ids, so Python sees each part once a slice."""
+        """Arrow finds a slice's different parts, looks them up and joins their ids; Python sees new parts only."""
         from quire.llm.bpe import mark_cuts
 
         marked = [mark_cuts(t) for t in texts]
         cut = pc.split_pattern(pa.array([m for m in marked if m is not None], pa.large_string()), "\0")
-        coded = cut.flatten().dictionary_encode()
-        parts = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if self.held > CACHE_BYTES:
-            self.parts, self.held = {"": b""}, 0
-        known = list(map(self.parts.get, parts))
-        new = [p for p, ids in zip(parts, known) if ids is None]
-        long, words, rest = [p for p in new if len(p) > LONGEST_KEPT], [], []
-        for p in new:
-            (words if LETTERS(p, p[0] == " ") else rest).append(p)
-        self.parts.update(zip(words, self._words(words), strict=True))
-        whole = [t for t, m in zip(texts, marked) if m is None]
-        found = [_packed(e.ids) for e in self.tokenizer.encode_batch_fast(rest + whole, add_special_tokens=False)]
-        self.parts.update(zip(rest, found))
-        known = [self.parts[p] if ids is None else ids for p, ids in zip(parts, known)]
-        joined = pa.array(known, pa.large_binary()).take(coded.indices)
-        ends = np.frombuffer(joined.buffers()[1], np.int64)[cut.offsets.to_numpy()].tolist() if len(joined) else [0]
-        data, odd, at = joined.buffers()[2], iter(found[len(rest) :]), zip(ends, ends[1:])
-        out = [next(odd) if m is None else _between(data, *next(at)) for m in marked]
-        for p in long:
-            del self.parts[p]
-        self.held += 200 * (len(new) - len(long))  # a short text, its ids and their place take so many bytes
-        return out
+        coded, offsets = cut.flatten().dictionary_encode(), cut.offsets.to_numpy()
+        del cut
+        if self.held() > CACHE_BYTES:
+            self._forget()
+        place = pc.index_in(coded.dictionary, value_set=self.seen)
+        new = coded.dictionary.filter(place.is_null())
+        found = pa.array(self._new(new.to_pylist()), pa.large_binary())
+        ids = pa.concat_arrays([self.ids, found])
+        place = place.to_numpy(zero_copy_only=False)
+        place = np.where(np.isnan(place), len(self.ids) - 1 + np.isnan(place).cumsum(), place).astype(np.int64)
+        short = pc.less_equal(pc.utf8_length(new), LONGEST_KEPT)
+        self.seen, self.ids = pa.concat_arrays([self.seen, new.filter(short)]), pa.concat_arrays([self.ids, found.filter(short)])
+        joined = ids.take(pa.array(place).take(coded.indices))
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[offsets].tolist() if len(joined) else [0]
+        data, at = joined.buffers()[2], zip(ends, ends[1:])
+        odd = self._whole([t for t, m in zip(texts, marked) if m is None])
+        return [next(odd) if m is None else _between(data, *next(at)) for m in marked]
+
+    def _new(self, parts: list[str]) -> list[bytes]:
+        plain = [bool(LETTERS(p, p[:1] == " ")) for p in parts]
+        words = self._words([p for p, w in zip(parts, plain) if w])
+        rest = self._whole([p for p, w in zip(parts, plain) if not w])
+        return [next(words if w else rest) for w in plain]
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        for some in _batches(texts):
+            yield from (_packed(e.ids) for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False))
 
     def _words(self, words: list[str]) -> Iterator[bytes]:
         """Words of LETTERS, each one piece of the pattern wherever it stands, so the model alone gives their
         ids: many are encoded as the lines of one text, whose ids are cut at those of the line feeds."""
         texts = ["\n".join(words[i : i + WORDS_JOINED]).encode() for i in range(0, len(words), WORDS_JOINED)]
         shown = [self.signs[np.frombuffer(t, np.uint8)].tobytes().decode("utf-32-le") for t in texts]
-        for e in self.words.encode_batch_fast(shown, add_special_tokens=False):
-            ids = np.array(e.ids, np.uint32)
-            data, ends = ids.tobytes(), 4 * np.flatnonzero(ids == self.line)
-            yield from (data[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)]))
+        for some in _batches(shown):
+            for e in self.words.encode_batch_fast(some, add_special_tokens=False):
+                ids = np.array(e.ids, np.uint32)
+                data, ends = ids.tobytes(), 4 * np.flatnonzero(ids == self.line)
+                yield from (data[a:b] for a, b in zip([0, *(ends + 4).tolist()], [*ends.tolist(), len(data)]))
+
+
+def _batches(texts: list[str]) -> Iterator[list[str]]:
+    """Texts in a row of about ENCODED code points together: what the tokenizer returns takes many times the ids' bytes."""
+    some, size = [], 0
+    for t in texts:
+        some.append(t)
+        size += len(t)
+        if size >= ENCODED:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
 
 
 def _signs() -> np.ndarray:
@@ -232,6 +264,7 @@ def pack(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text
         encoder, packer = tokens(path), Packer(TaskContext.get().partitionId(), capacity)
         for part in gathered(slices(batches)):
             packed = encoder.encode([t or "" for t in part.column(1).to_pylist()])
+            pa.default_memory_pool().release_unused()  # workers stay, and their memory adds to the executor's
             yield rows(x for d, p in zip(part.column(0).to_pylist(), packed) for x in packer.add(d, p + end))
         yield rows(packer.flush())
 

@@ -262,6 +262,30 @@ def test_packing_encodes_many_new_words_as_one_text():
     assert [[len(x) for x in b.column(0).to_pylist()] for b in packing.gathered(iter(parts))] == [[1 << 22, 1 << 21, 5], [1 << 22], [1 << 24], [7]]
 
 
+def test_packing_keeps_parts_in_few_bytes():
+    P = pytest.importorskip("public_tokenizers")
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quire.llm import packing
+
+    t = packing.Tokens(P.path("byte_bpe_50k.json"))
+    t.encode(["some words"])
+    text = " ".join(f"w{i:x}" if i % 2 else f"x{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + i // 17576)}" for i in range(60_000))
+    tracemalloc.start()
+    try:
+        before = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes()
+        t.encode([text])
+        kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    finally:
+        tracemalloc.stop()
+    n = len(t.parts)
+    assert n > 60_000 and kept < 64 * n
+    again = t.encode([text, text[::-1], "", "x" * 100])
+    assert again == [packing._packed(e.ids) for e in t.tokenizer.encode_batch([text, text[::-1], "", "x" * 100], add_special_tokens=False)]
+
+
 def test_whole_licence_texts_match_exactly():
     from quire.llm import license_texts, licenses
 
