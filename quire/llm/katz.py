@@ -18,7 +18,9 @@ are cut so that each holds about PART keys asked for; a hot n-gram is asked for
 token. A block is a row: there are (chunks x partitions) of them as long as blocks are full, and never
 more than different n-grams of each chunk, so rows grow in proportion to the text at most. Answers are
 stored beside their chunk, listed in a table, and an exchange's shuffle files are let go once they are:
-lost executors cost one exchange at most, and the disk holds the files of one.
+lost executors cost one exchange at most, and the disk holds the files of one. Lists and results are
+brought together before they are written, not left as a file a chunk: for every file that Hadoop's local
+file system creates, an executor starts two processes (chmod).
 
 Of n different n-grams, n^2 / 2^65 pairs share a hash: none is expected below 6e9, and at 1e13 one n-gram
 in four million takes part in one. Such a pair counts as one n-gram, in all orders and in V.
@@ -269,7 +271,13 @@ def make_chunks(df: DataFrame, id_col: str, text_col: str, chunk: int = CHUNK) -
         if docs:
             yield flush()
 
-    return written(df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema), "chunk-list")
+    return listed(df.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, schema), "chunk-list")
+
+
+def listed(rows: DataFrame, name: str) -> DataFrame:
+    """A list's few rows as a table of few files. They are placed by their chunk's number, which a task that
+    runs again finds again; paths are new."""
+    return written(rows.repartition("chunk"), name)
 
 
 ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
@@ -523,10 +531,10 @@ def stored(answers: DataFrame, least: int, tasks: int, serials: int, name: str)
 
     number = F.shiftright("chunk", 20) * serials + F.pmod("chunk", F.lit(CHUNKS_PER_TASK))
     d = answers.withColumn("p", F.pmod(number, F.lit(tasks)).cast("int")).repartitionById(tasks, F.col("p")).drop("p")
-    found = written(d.sortWithinPartitions("chunk").mapInArrow(run, LISTED), f"{name}-list")
-    listed = found.select("chunk").distinct().count()
-    if listed < least:
-        raise ValueError(f"{name}: {listed} of {least} chunks have their answers")
+    found = listed(d.sortWithinPartitions("chunk").mapInArrow(run, LISTED), f"{name}-list")
+    answered = found.select("chunk").distinct().count()
+    if answered < least:
+        raise ValueError(f"{name}: {answered} of {least} chunks have their answers")
     return found
 
 
@@ -569,7 +577,7 @@ def score_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
         del asked
         settle(spark)
     arrow = to_arrow_schema(T._parse_datatype_string(result))
-    return over_chunks(places, n, lambda _, held: score_chunk(held, model, arrow), result)
+    return over_chunks(places, n, lambda _, held: score_chunk(held, model, arrow), result).hint("rebalance")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -137,6 +137,19 @@ def test_katz_chunks_end_with_the_text_that_fills_them(spark):
     assert all(sum(x[:-1]) < 20 for x in sizes) and all(sum(x) >= 20 for x in sizes[:-1])
 
 
+def test_katz_tables_have_few_files(spark, tmp_path, monkeypatch):
+    from quire.llm import katz
+
+    lists, write = [], katz.written
+    monkeypatch.setattr(katz, "written", lambda *x: lists.append(write(*x)) or lists[-1])
+    docs = spark.createDataFrame([(i, f"a b{i % 9} c{i % 4} d") for i in range(80)], "doc_id long, text string").coalesce(1)
+    katz.score_texts(docs, chunk=10).write.parquet(str(tmp_path / "out"))
+    assert [t.select("chunk").distinct().count() for t in lists[:4]] == [40] * 4 and len(lists) == 6
+    assert [len(t.inputFiles()) for t in lists] == [1] * 6
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(80)) and len(out.inputFiles()) == 1
+
+
 def test_katz_of_empty_and_short_texts(spark):
     import math
 
