@@ -116,7 +116,8 @@ def _first_fit(x: str) -> str:
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Pairs (a, b), a < b, of distinct fingerprints (column fp) at most three bits apart, each once."""
     x = "(fp ^ filed)"
-    pairs = _keyed(fps, False).join(_keyed(fps, True), "key").where(f"fp < filed AND bit_count{x} <= {MAX_BITS} AND shiftright(key, 28) = {_first_fit(x)}")
+    # keys are sized as fingerprints are, of which each has dozens: without the hint Spark may broadcast them
+    pairs = _keyed(fps, False).join(_keyed(fps, True).hint("merge"), "key").where(f"fp < filed AND bit_count{x} <= {MAX_BITS} AND shiftright(key, 28) = {_first_fit(x)}")
     return pairs.select(F.col("fp").alias("a"), F.col("filed").alias("b"))
 
 
@@ -241,7 +242,8 @@ def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
     reps = written(sketches.groupBy("node").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.first(F.length("shingles") / 4).alias("n")), "nodes")
     banded = reps.select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "a")
-    stars = banded.join(hubs, "band").where("a != node").select("a", F.col("node").alias("b"))
+    # thirty rows a node, which Spark sizes as one
+    stars = banded.hint("merge").join(hubs, "band").where("a != node").select("a", F.col("node").alias("b"))
     by_fp = written(reps.groupBy("fp").agg(F.min("node").alias("a")), "fingerprints")
     same = reps.join(by_fp, "fp").where("a != node").select("a", F.col("node").alias("b"))
     near = fingerprint_links(by_fp).alias("l").join(by_fp.alias("x"), F.expr("l.a = x.fp")).join(by_fp.alias("y"), F.expr("l.b = y.fp"))
@@ -268,7 +270,7 @@ def similar_classes(sketches: DataFrame, similarity: float) -> DataFrame:
     per = rest.groupBy("root").agg(F.first("r_of").alias("r_of"))
     others = marked.select("root", "node", "label", "block").join(per, "root").select("root", "node", "label", F.lit(OTHER).alias("side"), "block", numbers("r_of").alias("r_block"))
     ones = rest.join(sets.select("node", "of"), "node").select("root", "node", "label", F.lit(ONE).alias("side"), numbers("of").alias("block"), "r_block")
-    tasks = others.unionByName(ones).join(sets.select("node", "shingles"), "node")
+    tasks = others.unionByName(ones).hint("merge").join(sets.select("node", "shingles"), "node")  # a node is sized as one row
     more = tasks.groupBy("root", "block", "r_block").applyInPandas(_spanning_links(similarity), "a string, b string")
     return components(links.unionByName(more))
 

@@ -357,3 +357,13 @@ def test_navigation_lines_of_any_length(spark):
     d = spark.createDataFrame([(1, f"{lines}\n{words * 40}"), (2, "|" * 200_000 + ". x"), (3, "home " + "| " * 100_000 + "? y")], "doc_id long, text string")
     got = {r["doc_id"]: r for r in line_quality.line_first_clean(d).collect()}
     assert "Home" not in got[1]["clean_text"] and words.strip() in got[1]["clean_text"]
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    """A table of fingerprints that Spark may broadcast; its keys are dozens of times as large."""
+    from quire.llm import simhash
+
+    fps = spark.createDataFrame([(1,), (3,), (1 << 40,)], "fp long")
+    links = simhash.fingerprint_links(fps)
+    assert "BroadcastHashJoin" not in links._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, links.collect())) == [(1, 3), (1, 1 << 40), (3, 1 << 40)]
