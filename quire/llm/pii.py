@@ -244,7 +244,7 @@ def confident_patterns(scanned: DataFrame, df: DataFrame, text_col: str = "text"
     edges = places.groupBy("kind", "pattern", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     # a two-word pattern needs its last word's pattern, which stands before at least the same values
     wide = edges.groupBy("kind", "pattern").agg(F.count("*").alias("values")).where(F.col("values") >= min_support).select("kind", "pattern")
-    edges = written(edges.join(wide, ["kind", "pattern"]), "edges")
+    edges = written(edges.hint("merge").join(wide, ["kind", "pattern"]), "edges")  # sized as the texts they were exploded from
     marks = edges.select((F.crc32(F.col("pattern").cast("binary")) % BITS).alias("bit")).distinct()
     bits = np.zeros(BITS, np.uint8)
     for (bit,) in marks.toLocalIterator():  # at most BITS numbers
