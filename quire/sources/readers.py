@@ -6,6 +6,7 @@ import gzip
 import io
 import os
 import tarfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -118,7 +119,33 @@ def extract_sources(df: DataFrame, content: str = "content") -> DataFrame:
 
 
 def tex_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tex").load(path).select("path", "length", "content")
+    """(path, length) of the .tex files below path, empty ones too, which Spark's own file sources leave out.
+
+    A level's folders are listed by tasks, level by level; the driver gets only the folders.
+    """
+    from quire.sources.writers import scratch
+
+    _, root = located(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where, _ = located(path)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                found = where.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+                for at in range(0, len(found), 10_000):
+                    part = [f for f in found[at : at + 10_000] if f.type == fs.FileType.Directory or f.type == fs.FileType.File and f.base_name.endswith(".tex")]
+                    yield pa.RecordBatch.from_arrays([pa.array([f.path for f in part], pa.string()), pa.array([None if f.type == fs.FileType.Directory else f.size for f in part], pa.int64())], names=["path", "length"])
+
+    schema, out, folders = "path string, length long", scratch(spark, "listing"), [root]
+    spark.createDataFrame([], schema).write.parquet(out)
+    while folders:
+        level = f"{out}-{uuid.uuid4().hex}"
+        rows = spark.sparkContext.parallelize([(f,) for f in folders], min(len(folders), 1000)).toDF("path string")
+        rows.mapInArrow(run, schema).write.parquet(level)
+        d = spark.read.schema(schema).parquet(level)
+        d.where("length IS NOT NULL").write.mode("append").parquet(out)
+        folders = [r["path"] for r in d.where("length IS NULL").toLocalIterator()]
+    return spark.read.schema(schema).parquet(out)
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:

@@ -33,6 +33,13 @@ def test_listing_has_all_documents(spark, docs):
     assert sorted(tuple(r) for r in rows(spark, "src08_recursive_listing")) == sorted((i, len(t.encode())) for i, t in docs.items())
 
 
+def test_listing_has_empty_and_null_texts(spark, tmp_path):
+    made = [(0, ""), (1, "é"), (20_004, ""), (-5, "abc"), (6, None)]
+    spark.createDataFrame(made, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalog.QUERIES["src08_recursive_listing"](spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in got) == [(-5, 3), (0, 0), (1, 2), (6, None), (20_004, 0)]
+
+
 def test_human_bytes_of_all_events(spark):
     def human(n):
         for unit, size in (("B", 1), ("KiB", 1 << 10), ("MiB", 1 << 20)):
