@@ -32,23 +32,10 @@ def layout(q: Column, rows: Column) -> Column:
     return F.flatten(F.array_repeat(line, rows.cast("int")))
 
 
-def label_mask(ids: Column, image: Column, prompt_len: Column) -> Column:
-    """ids with the prompt's and the image's ignored; image is a flag for each id. Linear in the ids."""
-    rest = F.transform(ids, lambda x, i: F.when(i < prompt_len, F.lit(IGNORE)).otherwise(x))
-    return F.zip_with(rest, image, lambda x, m: F.when(m, F.lit(IGNORE)).otherwise(x))
-
-
-def encoded(text: Column, run: int) -> Column:
-    """Code points as ids, with the flag of an image: a start id, and a run of image ids for each mark."""
-    one = lambda ids, image: F.transform(ids, lambda x: F.struct(x.cast("int").alias("id"), F.lit(image).alias("image")))
-    codes = lambda p: F.when(p == "", F.expr("CAST(array() AS array<int>)")).otherwise(F.transform(F.split(p, ""), lambda c: F.ascii(c)))
-    images = one(F.array_repeat(F.lit(IMAGE_TOKEN_ID), run), True)
-    parts = F.transform(F.split(text, IMAGE_TOKEN), lambda p, i: F.when(i > 0, F.concat(images, one(codes(p), False))).otherwise(one(codes(p), False)))
-    return F.concat(one(F.array(F.lit(0)), False), F.flatten(parts))
-
-
-def pad(a: Column, value: Column, to: Column) -> Column:
-    return F.concat(a, F.array_repeat(value, (to - F.size(a)).cast("int")))
+def encoded_size(text: Column, run: int) -> Column:
+    """Ids of a text: a start id, a run of image ids for each mark, and one for each other code point."""
+    marks = (F.length(text) - F.length(F.replace(text, F.lit(IMAGE_TOKEN), F.lit("")))) / len(IMAGE_TOKEN)
+    return F.length(text) + 1 + marks.cast("int") * (run - len(IMAGE_TOKEN))
 
 
 def first_supervised(labels: Column) -> Column:

@@ -9,6 +9,7 @@ from quire.operators import evaluation as E
 from quire.operators import manifest as M
 from quire.operators import pages as P
 from quire.operators import samples as S
+from quire.operators import sequences as Q
 from quire.operators import synthetic as Y
 from quire.operators import training as N
 from quire.schema import IGNORE, SAMPLE
@@ -223,3 +224,34 @@ def test_samples_keep_meta_and_absent_keys(spark, tmp_path):
     (tmp_path / "x.jsonl").write_text('{"mode": null, "image": "a", "target": "t"}\n{"image": "a", "target": "t", "meta": {"chunk": "c"}}\n{"id": null, "image": "a", "target": "t"}\n')
     got = S.normalised(R.read_samples(spark, str(tmp_path / "x.jsonl")), "/r").collect()
     assert [(r["id"], r["mode"], r["error"], r["meta"]["chunk"]) for r in got] == [("row_0", None, "mode", None), ("row_1", "single_gundam", None, "c"), (None, "single_gundam", None, None)]
+
+
+@pytest.mark.parametrize("text", ["abc", "x" * 40, "a\0b\0\0" * 9, "\0", "one<image>two\0", "é\U0001f600" * 50])
+def test_digests_of_what_positions_see(text, monkeypatch):
+    """Shared passes, ids that aren't real and chunks' borders, against each position by itself."""
+    import hashlib
+
+    monkeypatch.setattr(Q, "CHUNK", 7)
+    samples = [Q.sample("<image>en", text, 6), Q.sample("<image>en", text * 2, 6), None, Q.sample("<image>de", "word " * 9, 6), Q.sample("", text, 6)]
+    for s, got in zip(samples, Q.visible_digests(samples, 4)):
+        if s is None:
+            assert got is None
+            continue
+        bound, ids = Q.first_supervised(s.labels), s.ids.tolist()
+        want = ";".join(",".join(str(k) for k in range(q + 1) if (k < bound or q - k < 4) and ids[k]) for q in range(len(ids)))
+        assert got == hashlib.sha256(want.encode()).hexdigest()
+
+
+def test_size_of_encoded_texts(spark):
+    texts = ["", "a", "<image>", "a<image>b<image><image>", "<ima<image>ge>", "é\U0001f600\0"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", K.encoded_size(F.col("t"), 6).alias("n"))
+    assert {r["t"]: r["n"] for r in d.collect()} == {t: len(Q.encoded(t, 6)[0]) for t in texts}
+
+
+def test_visibility_makes_a_shared_prefix_once(monkeypatch):
+    made = []
+    seen = Q._seen
+    monkeypatch.setattr(Q, "_seen", lambda real, bound, window, start, end: made.append(end - start) or seen(real, bound, window, start, end))
+    samples = [Q.sample("<image>en", "x" * n, 6) for n in range(1, 300)]
+    Q.visible_digests(samples, 4)
+    assert sum(made) == len(samples[-1].ids)
