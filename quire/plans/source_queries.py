@@ -12,12 +12,13 @@ from quire.sources import writers as Z
 
 @query("SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ln, CAST(doc_id AS VARCHAR) AS id, lang AS source, text AS target FROM documents")
 def src01_win03_numbered_lines(spark, sf):
-    """Several files, the first of them the smallest: tasks read the largest first."""
+    """Several files, the first of them the smallest: tasks read the largest first. The last folder's are as many as the rows need."""
     d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("source"), F.col("text").alias("target"), "doc_id")
-    path = Z.scratch(spark, "jsonl")
-    part = F.when(F.col("doc_id") < 20, 0).when(F.col("doc_id") < 80, 1).otherwise(2)
-    Z.write_jsonl(d.repartitionById(3, part.cast("int")).sortWithinPartitions("doc_id").drop("doc_id"), path)
-    return R.read_samples(spark, path).select("ln", "id", "source", "target")
+    path, at = Z.scratch(spark, "jsonl"), F.col("doc_id").asc_nulls_last()
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), d.rdd.getNumPartitions())
+    for i, (part, files) in enumerate((("doc_id < 20", 1), ("doc_id >= 20 AND doc_id < 80", 1), ("doc_id >= 80 OR doc_id IS NULL", n))):
+        Z.write_jsonl(d.where(part).repartitionByRange(files, at).sortWithinPartitions(at).drop("doc_id"), f"{path}/{i}")
+    return R.read_samples(spark, f"{path}/*").select("ln", "id", "source", "target")
 
 
 @query("SELECT conv_id, turn, text FROM conversations")

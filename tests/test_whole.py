@@ -4,6 +4,7 @@ import hashlib
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from quire.plans import catalog
 
@@ -40,6 +41,30 @@ def test_listing_has_empty_and_null_texts(spark, tmp_path):
     assert sorted((r["doc_id"], r["length"]) for r in got) == [(-5, 3), (0, 0), (1, 2), (6, None), (20_004, 0)]
 
 
+def test_numbered_lines_are_spread_over_files(spark, tmp_path, monkeypatch):
+    from quire.plans import source_queries as Q
+
+    spark.range(3000).selectExpr("id AS doc_id", "'en' AS lang", "concat('t', id) AS text").orderBy(F.rand(1)).write.parquet(str(tmp_path / "documents.parquet"))
+    at = f"file://{tmp_path}/lines"
+    monkeypatch.setattr(Q.Z, "scratch", lambda spark, name: at)
+    got = catalog.QUERIES["src01_win03_numbered_lines"](spark, str(tmp_path)).collect()
+    assert sorted((r["ln"], r["id"], r["target"]) for r in got) == [(i, str(i), f"t{i}") for i in range(3000)]
+    counts = [r["n"] for r in spark.read.option("recursiveFileLookup", "true").text(at).groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert max(counts) < 1500
+
+
+def test_bundles_come_in_small_batches(spark, tmp_path):
+    """What a worker holds doesn't grow with the rows of a partition."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        catalog.QUERIES["src07_source_bundles"](spark, SF)
+        assert int(spark.conf.get(key)) <= 1000
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_human_bytes_of_all_events(spark):
     def human(n):
         for unit, size in (("B", 1), ("KiB", 1 << 10), ("MiB", 1 << 20)):
