@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.batches import small_batches
 from quire.operators import nodes
 from quire.plans.base import query, read
 from quire.sources import readers as R
@@ -68,6 +69,7 @@ def src06_tar_scan(spark, sf):
 def src07_source_bundles(spark, sf):
     import gzip
 
+    small_batches(spark)
     d = read(spark, sf, "documents")
     packed = d.select(F.col("doc_id").cast("string").alias("path"), F.pandas_udf(lambda s: s.map(lambda t: gzip.compress(t.encode())), "binary")("text").alias("content"))
     return R.extract_sources(packed).select(F.col("path").cast("long").alias("id"), "name", "text")

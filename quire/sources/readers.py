@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from quire.batches import small_batches
 from quire.functions.text import strip
 from quire.schema import SAMPLE
 from quire.sources.yaml import parse_yaml
@@ -111,10 +112,11 @@ def extract_sources(df: DataFrame, content: str = "content") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = [(path, n, x.decode("utf-8", "replace")) for n, x in files(data or b"")]
+            for path, data in zip(*batch.columns):  # a bundle at a time
+                rows = [(path.as_py(), n, x.decode("utf-8", "replace")) for n, x in files(data.as_py() or b"")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)] if rows else [pa.array([], pa.string())] * 3, names=["path", "name", "text"])
 
+    small_batches(df.sparkSession)
     return df.select("path", content).mapInArrow(run, "path string, name string, text string")
 
 
