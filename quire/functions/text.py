@@ -169,6 +169,8 @@ def money(c: Column) -> Column:
     """Two decimals, rounded by the exact binary value, ties to even; format_string rounds what is shown.
 
     For values under 2^53. A fraction of 2^-8 or more is a whole number of 2^-60; smaller ones round to 0.
+    Under 2^30 a hundred times the value is off by 2^-16 at most, so unless that is near a half cent, its
+    nearest whole number is right; only the rest take exact decimals.
     """
     unit = F.lit(1 << 60).cast("decimal(20,0)")
 
@@ -179,11 +181,16 @@ def money(c: Column) -> Column:
 
     def rounded(p: Column) -> Column:
         rest, half, total = p["part"] - p["cents"] * unit, F.lit(1 << 59).cast("decimal(20,0)"), p["whole"] * 100 + p["cents"]
-        return total + F.when((rest > half) | (rest == half) & (total % 2 == 1), 1).otherwise(0)
+        return (total + F.when((rest > half) | (rest == half) & (total % 2 == 1), 1).otherwise(0)).cast("long")
+
+    def cents(x: Column) -> Column:
+        near = F.floor(x * 100.0 + 0.5)
+        sure = (x < float(1 << 30)) & (F.abs(x * 100.0 - near) < 0.499)
+        return F.when(sure, near).otherwise(bind(parts(x), rounded))
 
     def shown(v: Column) -> Column:
         sign = F.when(v.cast("string").startswith("-"), "-").otherwise("")
-        digits = bind(bind(F.abs(v), lambda x: bind(parts(x), rounded)), lambda t: F.concat(F.call_function("div", t, F.lit(100)).cast("string"), F.lit("."), F.lpad((t % 100).cast("string"), 2, "0")))
+        digits = bind(bind(F.abs(v), cents), lambda t: F.concat(F.call_function("div", t, F.lit(100)).cast("string"), F.lit("."), F.lpad((t % 100).cast("string"), 2, "0")))
         return F.when(~F.isnan(v), F.concat(sign, digits))
 
     return bind(c, shown)

@@ -255,3 +255,12 @@ def test_visibility_makes_a_shared_prefix_once(monkeypatch):
     samples = [Q.sample("<image>en", "x" * n, 6) for n in range(1, 300)]
     Q.visible_digests(samples, 4)
     assert sum(made) == len(samples[-1].ids)
+
+
+def test_money_near_half_cents(spark):
+    """Where the nearest whole number of cents is taken, and where exact decimals decide."""
+    import math
+
+    values = [x for k in (1, 3, 7, 2**29, 2**30 - 1, 2**30, 2**30 + 1) for c in (0.005, 0.125, 0.375, 0.00499, 0.00501, 0.995) for x in (k + c, math.nextafter(k + c, 0), math.nextafter(k + c, 2**40), -k - c)]
+    d = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.money(F.col("v")).alias("m"))
+    assert [(r["v"], r["m"]) for r in d.collect()] == [(v, f"{v:.2f}") for v in values]
