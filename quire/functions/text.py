@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: White space of any kind, as strip() takes it; and that within a line.
 WS = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+BLANKS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 GAP = WS.replace(r"\t-\r", r"\t\x0b-\r")
 ATTRS = r"(?:\{[^}]*\})?"
 TARGET, ANCHOR = r"\([^)]*\)", r"\(#[^)]*\)"
@@ -52,7 +53,7 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without leading and trailing white space of any kind."""
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(BLANKS))  # looks at the ends only, while a pattern tries every gap
 
 
 def collapse(c: Column) -> Column:

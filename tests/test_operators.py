@@ -264,3 +264,14 @@ def test_money_near_half_cents(spark):
     values = [x for k in (1, 3, 7, 2**29, 2**30 - 1, 2**30, 2**30 + 1) for c in (0.005, 0.125, 0.375, 0.00499, 0.00501, 0.995) for x in (k + c, math.nextafter(k + c, 0), math.nextafter(k + c, 2**40), -k - c)]
     d = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.money(F.col("v")).alias("m"))
     assert [(r["v"], r["m"]) for r in d.collect()] == [(v, f"{v:.2f}") for v in values]
+
+
+def test_strip_takes_white_space_of_any_kind(spark):
+    """As Python's; and not by a pattern, which would try every gap of a text."""
+    import sys
+
+    blank = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace())
+    texts = [blank, "", "a", f"{blank}a{blank}\U0001f600{blank}", "\u200b a \u200b", " \n é\r\n", "x\0\n", "\u2028b\u2029\n"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.strip(F.col("t")).alias("s"))
+    assert [(r["t"], r["s"]) for r in d.collect()] == [(t, t.strip()) for t in texts]
+    assert "regexp_replace" not in d._jdf.queryExecution().optimizedPlan().toString()
